@@ -27,6 +27,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm import minhash
+
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm import decontam
 
@@ -87,6 +93,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_decontamination": op5_decontamination,
     "op8_token_store": op8_token_store,
     "op9_licenses": op9_licenses,

@@ -9,8 +9,9 @@
 4. Every class is tied to a pivot of each of its buckets, the smallest id under one of four masks. Those
    pairs, no more than bands in number for each class, are verified on full sets.
 5. Links are joined to components. Buckets that then still hold several components, if they hold more than
-   two classes, have pairs that no pivot has tested; those pairs across components are verified as well.
-   So no link that shares a bucket is lost, while groups that one pivot ties together emit no pairs.
+   two classes, have pairs that no pivot has tested. An exact prefix filter over their members finds all that
+   can link two components, and those are verified as well. So no link that shares a bucket is lost,
+   while groups that pivots tie together emit no pairs.
 
 Results: null and blank texts have an empty set and are linked with nothing; a text of fewer than ``k``
 words has one run, the whole. Rows with one id are one document. Rows with a null id belong to the class of
@@ -176,6 +177,34 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return map_batches(rows.select("a", "b", "text"), run, "u long, v long")
 
 
+def across_components(rest: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, of ``rest (node, component)`` that can be links between components.
+
+    Exact prefix filter: a link of sets of m and n runs shares at least o = ceil(percent (m + n) / (100 + percent))
+    of them, so the rarest run that both have is among the m - o + 1 rarest of the one and the n - o + 1
+    rarest of the other. Runs that few nodes have come first, and edited copies have some of their own, so a
+    group of copies gives few pairs.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("text is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [found.view(np.int64) for found in run_sets(batch.column(2).to_pylist(), k)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], ["node", "component", "runs"])
+
+    sets = map_batches(rest.join(texts, "node").select("node", "component", "text"), run, "node long, component long, runs array<long>")
+    runs = written(sets.withColumn("n", F.size("runs")).select("node", "component", "n", F.explode("runs").alias("run")).distinct(), "runs")
+    spread = runs.groupBy("run").agg(F.count("*").alias("nodes"), F.min("component").alias("low"), F.max("component").alias("high"))
+    ranked = runs.join(spread, "run").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("nodes", "run", (F.col("low") < F.col("high")).alias("shared")))).alias("all"))
+    length = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1
+    prefix = ranked.select("node", "component", "n", F.posexplode(F.slice("all", F.lit(1), length)).alias("at", "p")).where("p.shared").select("node", "component", "n", "at", "p.run")
+    x, y = prefix.alias("x"), prefix.alias("y")
+    both = F.col("x.n") + F.col("y.n")
+    least = F.ceil(F.lit(percent) * both / (100 + percent))
+    near = (F.col("x.component") < F.col("y.component")) & (F.col("x.at") <= F.col("x.n") - least) & (F.col("y.at") <= F.col("y.n") - least)
+    return x.join(y, (F.col("x.run") == F.col("y.run")) & near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` of every row."""
     signed = written(signatures(docs, k, bands, rows), "signatures")
@@ -190,11 +219,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     # Buckets of more than two classes that components do not explain.
     marked = buckets.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     split = marked.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("n > 2 and low <> high")
-    rest = written(marked.join(split.select("key"), "key"), "rest")
+    rest = written(marked.join(split.select("key"), "key").select("node", "component").distinct(), "rest")
     tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    left, right = rest.alias("x"), rest.alias("y")
-    across = left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")))
-    untested = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    untested = across_components(rest, docs, k, percent).join(tested, ["a", "b"], "left_anti")
     more = written(verified(written(untested, "untested"), docs, k, percent), "verified-more")
     if not more.isEmpty():
         ties = joined.select(F.col("node").alias("u"), F.col("component").alias("v"))

@@ -27,6 +27,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm import html
+
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm import minhash
 
@@ -49,6 +55,22 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines, removed lines, whether it stays, and a digest of the text that is left (of '' for null)."""
+    from siltstone.llm import line_dedup
+
+    found = line_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    left = F.coalesce("text", F.lit(""))
+    return found.select("doc_id", F.length(left).cast("long").alias("n_chars"), "removed_lines", "kept", F.sha2(left, 256).alias("text_sha256"))
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm import ann
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors.where(F.col("vec_id") % 50 == 0), vectors, k=5)
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -93,8 +115,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_main_text": op3_main_text,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_decontamination": op5_decontamination,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_nearest": op7_nearest,
     "op8_token_store": op8_token_store,
     "op9_licenses": op9_licenses,
     "op10_secrets": op10_secrets,

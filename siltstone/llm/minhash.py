@@ -34,6 +34,8 @@ from siltstone.llm.components import components
 BANDS, ROWS = 40, 5
 #: Pairs of one pivot that go to one task together.
 PIVOT_PAIRS = 256
+#: Ids that may be broadcast, 8 bytes each.
+BROADCAST_IDS = 1_000_000
 #: Bytes of texts that are hashed at once.
 SLAB = 1 << 20
 #: Masks for the choice of pivots.
@@ -137,22 +139,32 @@ def _masked(column: str):
     return F.col(column).bitwiseXOR(F.element_at(masks, (F.pmod("key", F.lit(len(MASKS))) + 1).cast("int")))
 
 
-def pivot_pairs(buckets: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of a bucket's pivot and each other member of ``buckets (key, node)``, each pair once."""
+def shared_buckets(buckets: DataFrame) -> DataFrame:
+    """``(key, node, pivot)`` of the buckets ``(key, node)`` that several nodes share."""
     least = buckets.groupBy("key").agg(F.min(_masked("node")).alias("least"), F.count("*").alias("n")).where("n > 1")
-    pivots = least.select("key", _masked("least").alias("pivot"))
-    tied = buckets.join(pivots, "key").where("node <> pivot")
-    once = tied.groupBy(F.least("node", "pivot").alias("low"), F.greatest("node", "pivot").alias("high")).agg(F.min("pivot").alias("a"))
+    return buckets.join(least.select("key", _masked("least").alias("pivot")), "key")
+
+
+def pivot_pairs(shared: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of a bucket's pivot and each other node of it, each pair once."""
+    once = shared.where("node <> pivot").groupBy(F.least("node", "pivot").alias("low"), F.greatest("node", "pivot").alias("high")).agg(F.min("pivot").alias("a"))
     return once.select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` of some nodes. Up to ``BROADCAST_IDS`` ids are broadcast, so that texts stay where they are; more are joined by a shuffle."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    ids = written(nodes.select(F.col("node").alias("doc_id")).distinct(), "nodes")
+    few = ids.count() <= BROADCAST_IDS
+    return written(texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), "texts")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs with 100 * intersection >= percent * union on full sets.
 
     The end with more pairs (``a``) is the one others are compared with. Its text goes once to each of the
     tasks that its pairs are dealt to, and texts of ``b`` follow it, so a task holds one set and one batch.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     size = pairs.groupBy("a").agg(F.ceil(F.count("*") / PIVOT_PAIRS).cast("int").alias("parts"))
     heads = size.join(texts, size.a == texts.doc_id).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
     dealt = pairs.join(size, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
@@ -177,7 +189,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return map_batches(rows.select("a", "b", "text"), run, "u long, v long")
 
 
-def across_components(rest: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def across_components(rest: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs ``(a, b)``, a < b, of ``rest (node, component)`` that can be links between components.
 
     Exact prefix filter: a link of sets of m and n runs shares at least o = ceil(percent (m + n) / (100 + percent))
@@ -185,14 +197,13 @@ def across_components(rest: DataFrame, docs: DataFrame, k: int, percent: int) ->
     rarest of the other. Runs that few nodes have come first, and edited copies have some of their own, so a
     group of copies gives few pairs.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [found.view(np.int64) for found in run_sets(batch.column(2).to_pylist(), k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], ["node", "component", "runs"])
 
-    sets = map_batches(rest.join(texts, "node").select("node", "component", "text"), run, "node long, component long, runs array<long>")
+    sets = map_batches(rest.join(texts, rest.node == texts.doc_id).select("node", "component", "text"), run, "node long, component long, runs array<long>")
     runs = written(sets.withColumn("n", F.size("runs")).select("node", "component", "n", F.explode("runs").alias("run")).distinct(), "runs")
     spread = runs.groupBy("run").agg(F.count("*").alias("nodes"), F.min("component").alias("low"), F.max("component").alias("high"))
     ranked = runs.join(spread, "run").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("nodes", "run", (F.col("low") < F.col("high")).alias("shared")))).alias("all"))
@@ -211,18 +222,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     named = signed.where("set_key is not null")
     classes = written(named.groupBy("set_key").agg(F.min("doc_id").alias("node")), "classes")
     of_class = named.join(classes, "set_key").where("doc_id = node")
-    buckets = written(of_class.select(F.explode("keys").alias("key"), "node").distinct(), "buckets")
-    pairs = written(pivot_pairs(buckets), "pairs")
-    links = written(verified(pairs, docs, k, percent), "verified")
+    buckets = of_class.select(F.explode("keys").alias("key"), "node")
+    shared = written(shared_buckets(buckets), "shared")
+    texts = texts_of(docs, shared)
+    pairs = written(pivot_pairs(shared), "pairs")
+    links = written(verified(pairs, texts, k, percent), "verified")
     joined = components(links)
 
     # Buckets of more than two classes that components do not explain.
-    marked = buckets.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    marked = shared.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     split = marked.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("n > 2 and low <> high")
     rest = written(marked.join(split.select("key"), "key").select("node", "component").distinct(), "rest")
     tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    untested = across_components(rest, docs, k, percent).join(tested, ["a", "b"], "left_anti")
-    more = written(verified(written(untested, "untested"), docs, k, percent), "verified-more")
+    untested = across_components(rest, texts, k, percent).join(tested, ["a", "b"], "left_anti")
+    more = written(verified(written(untested, "untested"), texts, k, percent), "verified-more")
     if not more.isEmpty():
         ties = joined.select(F.col("node").alias("u"), F.col("component").alias("v"))
         joined = components(ties.unionAll(more))
@@ -231,3 +244,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     found = found.join(joined, "node", "left")
     component = F.coalesce("component", "node", "doc_id")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates, the one with the smallest id.
+
+    Of rows that share an id one stays. Rows with a null id can't be told apart by it and stay.
+    """
+    found = written(near_duplicates(docs, k, percent).select("doc_id", "kept"), "kept")
+    kept = docs.join(found.where("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))

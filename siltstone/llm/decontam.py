@@ -214,8 +214,8 @@ def hit_words() -> Column:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = batch.schema.names
-        texts = []
-        for text, matches in zip(batch.column(names.index("text")).to_pylist(), batch.column(names.index("matches")).to_pylist(), strict=True):
+        texts, lengths = [], batch.column(names.index("n_chars")).to_pylist() if "n_chars" in names else []
+        for n, (text, matches) in enumerate( zip(batch.column(names.index("text")).to_pylist(), batch.column(names.index("matches")).to_pylist(), strict=True)):
             if matches["runs"]:
                 places = [m.span() for m in WORD.finditer(text)]
                 kept, at = [], 0
@@ -223,12 +223,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     kept.append(text[at : places[run["start"]][0]])
                     at = places[run["end"] - 1][1]
                 text = "".join(kept) + text[at:]
+                if lengths:
+                    lengths[n] = len(text)
             texts.append(text)
-        kept_names = [n for n in names if n != "matches"]
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(names.index(n)) for n in kept_names], kept_names)
+        columns = {name: batch.column(names.index(name)) for name in names if name != "matches"} | {"text": pa.array(texts, pa.string())}
+        if lengths:
+            columns["n_chars"] = pa.array(lengths, columns["n_chars"].type)
+        yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, item_share: float = ITEM_SHARE, window: int = WINDOW) -> DataFrame:
-    """Documents without the benchmark: those that hold ``item_share`` of an item in one run go, shorter hit runs are cut out."""
+    """Documents without the benchmark: those that hold ``item_share`` of an item in one run go, shorter hit runs are cut out; ``n_chars`` follows the text."""
     found = match(docs, benchmark, window=window).where(F.col("matches.share") < item_share)
     return map_batches(found, _cut, docs._jdf.schema().toDDL())

@@ -182,16 +182,18 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTAL,
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``(doc_id, lang_pred, score)`` of every text. The model's size is bounded by labels and buckets."""
+    """Every row of ``docs`` with ``lang_pred`` and ``score``. The model's size is bounded by labels and buckets."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [n for n in docs.columns if n not in ("lang_pred", "score")]
+    rows = docs.select(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            found = [known.predict(text.as_py()) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+            found = [known.predict(text.as_py()) for text in batch.column(batch.schema.get_field_index("text"))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, lang_pred string, score double")
+    return map_batches(rows, run, rows._jdf.schema().toDDL() + ", lang_pred string, score double")
 
 
 def held_out(column: str = "doc_id", folds: int = 5):

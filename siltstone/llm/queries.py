@@ -15,7 +15,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(~langid.held_out()))
-    found = langid.predict(docs, model)
+    found = langid.predict(docs.select("doc_id", "text"), model)
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 

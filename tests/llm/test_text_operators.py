@@ -1,0 +1,336 @@
+"""Operators on whole texts, held against brute force, round trips and held-out accuracy."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from siltstone.llm import bpe, decontam, langid, license, line_dedup, secrets, token_store
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+SF = "/root/testdata/sf0.001"
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+
+
+def docs(spark, texts, extra=False):
+    rows = [(n, t, "en", "s", len(t or "")) for n, t in enumerate(texts)]
+    made = spark.createDataFrame(rows, DOCS)
+    return made.withColumn("key", F.lit("x")).withColumn("hash", F.lit(1)).withColumn("a", F.lit(2)).withColumn("at", F.lit(3)) if extra else made
+
+
+# --- byte-level BPE
+
+
+@pytest.mark.parametrize("leaf,window", [(1, 1), (5, 2), (40, 7)])
+def test_tree_equals_library(leaf, window):
+    codec = bpe.TreeCodec(RANKS, public_tokenizers.PATTERN, leaf, window)
+    draw = random.Random(leaf)
+    parts = ["a", "b", "é", " ", "  ", "\n", "'s", "'", "1", "22", "!", "漢", " the", "\t", "\x1f", "　", "\xa0", "😀", "\r\n"]
+    for _ in range(3000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(0, 50)))
+        ids = codec.encode(text)
+        assert ids == codec.library.encode_ordinary(text), repr(text)
+        assert codec.decode(ids) == text.encode()
+
+
+def test_tree_on_long_texts():
+    codec = bpe.TreeCodec(RANKS, public_tokenizers.PATTERN, leaf=1000)
+    for text in ("word " * 60_000, "x" * 30_000, " " * 20_000, "漢字" * 5_000 + " a", "1" * 9_999 + "\n" + "b" * 9_999):
+        ids = codec.encode(text)
+        assert ids == codec.library.encode_ordinary(text)
+        assert codec.decode(ids) == text.encode()
+
+
+def test_encode_and_decode_frames(spark):
+    texts = ["the cat", None, "", "the cat", "é 漢\x00"]
+    encoded = bpe.encode_texts(docs(spark, texts, extra=True), RANKS, public_tokenizers.PATTERN)
+    decoded = {r.doc_id: bytes(r.decoded) for r in bpe.decode_ids(encoded, RANKS, public_tokenizers.PATTERN).collect()}
+    assert decoded == {n: (t or "").encode() for n, t in enumerate(texts)}
+    empty = bpe.round_trip_digests(docs(spark, []), RANKS, public_tokenizers.PATTERN)
+    assert empty.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and empty.count() == 0
+
+
+def test_op2_digests(spark):
+    from siltstone.llm.queries import op2_byte_bpe
+
+    codec = bpe.TreeCodec(RANKS, public_tokenizers.PATTERN)
+    found = {r.doc_id: r for r in op2_byte_bpe(spark, SF).collect()}
+    for row in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = codec.library.encode_ordinary(row.text or "")
+        assert found[row.doc_id].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert found[row.doc_id].decoded_sha256 == hashlib.sha256((row.text or "").encode()).hexdigest()
+
+
+# --- language ID
+
+
+def test_held_out_accuracy(spark):
+    from siltstone.llm.queries import op1_language_id
+
+    sf = SF.replace("0.001", "0.01")
+    truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = op1_language_id(spark, sf).collect()
+    assert len(found) == len(truth)
+    for row in found:
+        assert row.held_out == (zlib.crc32(str(row.doc_id).encode()) % 5 == 0) and 0 <= row.score <= 1
+    held = [r for r in found if r.held_out]
+    assert sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held) > 0.97
+
+
+def test_language_edges(spark):
+    texts = ["the cat sat on the mat and", "le chat est sur la table et", "der hund ist auf dem tisch und", "el perro come en la mesa y"] * 5
+    rows = [(n, t, ("en", "fr", "de", "es")[n % 4], "s", 1) for n, t in enumerate(texts)]
+    train = spark.createDataFrame(rows, DOCS)
+    model = langid.train(train)
+    assert model.family == {"de": "germanic", "en": "germanic", "es": "romance", "fr": "romance"}
+    for text, want in [("the mat", "en"), ("le chat la", "fr"), (None, "und"), ("", "und"), ("123 %%% ́", "und"), ("der tisch " * 20_000, "de")]:
+        assert model.predict(text)[0] == want
+    got = langid.predict(docs(spark, ["the mat", None], extra=True), model)
+    assert [r.lang_pred for r in got.orderBy("doc_id").collect()] == ["en", "und"] and "key" in got.columns
+    nothing = langid.train(train.where("false"))
+    assert nothing.predict("the cat") == ("und", 0.0)
+    one = langid.train(train.where("lang = 'fr'"))
+    assert one.predict("the cat")[0] == "fr"
+    assert langid.predict(docs(spark, []), model).count() == 0
+
+
+# --- decontamination
+
+
+def brute_hits(text, items, window=8):
+    found, hit, at = words(text), set(), set()
+    for name, item in items:
+        item = words(item)
+        size = min(window, len(item))
+        for k in range(len(item) - size + 1 if item else 0):
+            part = item[k : k + size]
+            for n in range(len(found) - size + 1):
+                if found[n : n + size] == part:
+                    hit.add(str(name))
+                    at |= set(range(n, n + size))
+    return len(found), len(at), sorted(hit)
+
+
+def test_matches_equal_brute_force(spark):
+    draw = random.Random(5)
+    text = lambda n: " ".join(draw.choice("abc") for _ in range(n))
+    items = [(n, text(draw.randint(0, 14))) for n in range(25)] + [(3, "a B-c a"), (99, None), (None, "a b")]
+    texts = [text(draw.randint(0, 60)) for _ in range(150)] + [None, "", "a;B,c A", "x " * 30_000 + items[5][1]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for limit in (decontam.GROUP_WORDS, 20):
+        got = decontam.match(docs(spark, texts, extra=True), bench, limit=limit)
+        rows = got.select("doc_id", "matches", decontam.hit_words().alias("n")).collect()
+        assert len(rows) == len(texts)
+        for row in rows:
+            want = brute_hits(texts[row.doc_id], [i for i in items if i[0] is not None])
+            assert (row.matches.n_words, row.n, row.matches["items"]) == want
+
+
+def test_removal(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    part = "two Three four, five six seven eight NINE"
+    texts = [f"clean start. {item} end", f"Clean start. {part}! end", "quite clean", None]
+    got = {r.doc_id: r for r in decontam.remove(docs(spark, texts, extra=True), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert set(got) == {1, 2, 3}
+    assert got[1].text == "Clean start. ! end" and got[1].n_chars == len(got[1].text) and got[1].key == "x"
+    assert got[2].text == "quite clean" and got[3].text is None
+    assert decontam.remove(docs(spark, texts), spark.createDataFrame([], "item_id long, text string")).count() == 4
+
+
+def test_op5_equals_brute_force(spark):
+    from siltstone.llm.queries import op5_decontamination
+
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    windows = {}
+    for name, text in items:
+        found = words(text)
+        for k in range(max(1, len(found) - 7)):
+            windows.setdefault(tuple(found[k : k + 8]), set()).add(str(name))
+    got = {r.doc_id: r for r in op5_decontamination(spark, SF).collect()}
+    for row in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        found, at, names = words(row.text), set(), set()
+        for k in range(len(found) - 7):
+            if hit := windows.get(tuple(found[k : k + 8])):
+                names |= hit
+                at |= set(range(k, k + 8))
+        digest = hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+        assert tuple(got[row.doc_id])[1:] == (len(found), len(at), len(names), digest, len(names) >= 2)
+
+
+# --- line dedup
+
+
+def brute_lines(texts):
+    seen, out = {}, {}
+    for n, text in enumerate(texts):
+        if text is None:
+            out[n] = None
+            continue
+        lines, left = text.split("\n"), []
+        for start, end in line_dedup.chunks(text):
+            body = "\n".join(lines[start:end])
+            if end - start >= line_dedup.LEAST and body.strip() and seen.setdefault(body, (n, start)) != (n, start):
+                continue
+            left += lines[start:end]
+        if left:
+            out[n] = "\n".join(left)
+    return out
+
+
+def test_line_dedup_equals_brute_force(spark):
+    draw = random.Random(9)
+    line = lambda: f"line {draw.randint(0, 12)}"
+    shared = [f"shared {n}" for n in range(12)]
+    texts = ["\n".join([line() for _ in range(draw.randint(0, 9))] + shared * draw.randint(0, 2) + [line()]) for _ in range(60)]
+    texts += [texts[3], None, "", "\n\n\n", "single", "\n".join(shared * 2000)]
+    got = line_dedup.remove_repeats(docs(spark, texts, extra=True)).where("kept").collect()
+    assert {r.doc_id: r.text for r in got} == brute_lines(texts)
+    assert all(r.key == "x" and (r.removed_lines == 0 or r.n_chars == len(r.text)) for r in got)
+    assert line_dedup.remove_repeats(docs(spark, [])).count() == 0
+
+
+def test_chunks_are_shift_resistant():
+    lines = [f"text of line {n}" for n in range(400)]
+    bodies = lambda t: {tuple(t.split("\n")[a:b]) for a, b in line_dedup.chunks(t)}
+    before, after = bodies("\n".join(lines)), bodies("\n".join(["new"] + lines[:200] + ["other"] + lines[201:]))
+    assert len(before - after) <= 4
+    assert sum(b - a for a, b in line_dedup.chunks("\n".join(lines))) == 400
+
+
+def test_line_dedup_repeated_ids(spark):
+    body = "\n".join(f"l{n}" for n in range(9))
+    rows = [(1, body, "en", "s", 1), (1, body, "en", "s", 1), (None, body, "en", "s", 1), (2, body + "\ntail", "en", "s", 1)]
+    got = line_dedup.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.doc_id or -1, r.text == body) for r in got if r.kept)[:3] == [(-1, True), (1, True), (1, True)]
+
+
+# --- token store
+
+
+def test_store_round_trip(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["The cat's 77 seats", None, "", "  a\x0bB <|endoftext|>q\n", "é́ x y\x1cz\x85w", "The cat's 77 seats", "long word" * 20_000]
+    stored = token_store.store(docs(spark, texts, extra=True), path).cache()
+    got = {r.doc_id: list(r.ids) for r in stored.collect()}
+    want = {n: [*library.encode(t or "", add_special_tokens=False).ids, 2] for n, t in enumerate(texts)}
+    assert got == want
+    rows = token_store.digests(stored).orderBy("doc_id").collect()
+    starts = np.cumsum([0] + [len(want[n]) for n in range(len(texts))])
+    assert [r.start for r in rows] == starts[:-1].tolist()
+    assert [r.ids_crc32 for r in rows] == [zlib.crc32(np.array(want[n], "<u4").tobytes()) for n in range(len(texts))]
+    assert {r.doc_id for r in token_store.lookup(stored, [2, 5]).collect()} == {2, 5}
+    assert token_store.digests(token_store.store(docs(spark, []), path)).count() == 0
+
+
+def test_store_writes_bloom_filters(spark):
+    stored = token_store.store(docs(spark, ["a b", "c"]), public_tokenizers.path("word_bpe_49k.json"))
+    import glob
+
+    data = b"".join(open(f.removeprefix("file://"), "rb").read() for p in stored.inputFiles() for f in glob.glob(p.removeprefix("file://")))
+    assert data.startswith(b"ORC")
+    plan = token_store.lookup(stored, [1])._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(doc_id" in plan or "EqualTo(doc_id" in plan
+
+
+def test_memo_is_bounded():
+    import pyarrow as pa
+
+    encoder = token_store.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), memo_words=50)
+    for n in range(30):
+        texts = [f"word{k} seven7 w{k + 1}" for k in range(n, n + 20)]
+        got = encoder.encode(pa.array(texts), 2).to_pylist()
+        assert got == [[*encoder.library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        assert len(encoder.young) <= 100
+
+
+# --- licences
+
+
+def test_templates():
+    scanner = license.Scanner()
+    labels = lambda t: {x[2] for x in scanner.scan(t)[2]}
+    assert labels("Released under the MIT License.") == {"mit"}
+    assert labels("released under the terms of the MIT license") == {"mit"}
+    assert labels("This work is licensed under the GNU General Public License, version 3.") == {"gpl"}
+    assert labels("This fine little work is licensed under the GNU Lesser General Public License") == {"gpl"}
+    assert labels("Licensed under CC BY-NC 4.0.") == {"cc-by-nc"}
+    assert labels("licensed under the terms of Apache License") == set()
+    assert labels("Licensed under the Apache\nLicense , version 2 0 (the license) you may not use this file except in compliance with the license") == {"apache"}
+    assert labels("") == labels(None) == set()
+    with pytest.raises(ValueError):
+        license.compile_template("x", "a <<beginOptional>> b")
+
+
+def test_op9_base_equals_brute_force(spark):
+    from siltstone.llm.queries import op9_licenses
+
+    got = {r.doc_id: r for r in op9_licenses(spark, SF).collect()}
+    for row in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        found, places = words(row.text), []
+        for phrase, label in license.PHRASES.items():
+            part = phrase.split()
+            places += [(k, label) for k in range(len(found)) if found[k : k + len(part)] == part]
+        own = got[row.doc_id]
+        assert (own.n_words, own.n_base, own.first_word, own.last_word) == (len(found), len(places), min(places)[0] if places else None, max(places)[0] if places else None)
+        assert own.base_labels == ",".join(sorted({p[1] for p in places})) and set(own.base_labels.split(",")) - {""} <= set(own.labels.split(","))
+    assert license.scan(docs(spark, [None, ""], extra=True)).where("n_words = 0 and size(base) = 0").count() == 2
+
+
+# --- secrets
+
+
+def brute_secrets(text):
+    text = text or ""
+    assign = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+    found = [(m.start(), 0, m.end(), "assign") for m in assign.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return ",".join(f"{k}:{a}:{z}" for a, _, z, k in sorted(found))
+
+
+TEXTS = ["password=abcdef12 Token: 'xx' secret=token:abcdefg", "😀 api_key = \"AKIA" + "A1" * 10 + "\"", "f" * 30 + "g" + "0" * 23, None, "", "apikey=password=abcdefgh1", "AKIA" + "B" * 15 + " AKIAAKIA" + "C" * 20, "passwd:=x==----", "password=abcdef12 Token: 'xx' secret=token:abcdefg", "tail " + "token=abcdef " * 5000]
+
+
+def test_secrets_equal_brute_force(spark):
+    found, ledger, by_blob = secrets.scan(docs(spark, TEXTS, extra=True))
+    base = F.filter("findings", lambda f: f["rank"] < 3)
+    got = {r.path: r.base for r in found.select("path", secrets.rendered(base).alias("base")).collect()}
+    assert got == {n: brute_secrets(t) for n, t in enumerate(TEXTS)}
+    assert ledger.count() == len({t or "" for t in TEXTS})
+
+
+def test_ledger_scans_unseen_pairs_only(spark):
+    _, ledger, by_blob = secrets.scan(docs(spark, TEXTS[:3]))
+    more = docs(spark, TEXTS)
+    new = secrets.unseen(secrets.content_addressed(more), ledger)
+    assert new.count() == len({t or "" for t in TEXTS}) - 3
+    assert secrets.unseen(secrets.content_addressed(more), ledger, "2").count() == len({t or "" for t in TEXTS})
+    found, ledger, by_blob = secrets.scan(more, ledger, by_blob)
+    base = F.filter("findings", lambda f: f["rank"] < 3)
+    assert {r.path: r.base for r in found.select("path", secrets.rendered(base).alias("base")).collect()} == {n: brute_secrets(t) for n, t in enumerate(TEXTS)}
+    assert secrets.scan(docs(spark, []))[0].count() == 0
+
+
+def test_op10_equals_brute_force(spark):
+    from siltstone.llm.queries import op10_secrets
+
+    got = {r.doc_id: r for r in op10_secrets(spark, SF).collect()}
+    for row in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        assert got[row.doc_id].base_sha256 == hashlib.sha256(brute_secrets(row.text).encode()).hexdigest()
+    assert secrets.scan(docs(spark, ["-----BEGIN RSA PRIVATE KEY-----"]))[2].first().findings[0].kind == "pem"

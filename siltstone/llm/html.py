@@ -184,14 +184,13 @@ def parse(source: str | None) -> tuple[Node, list[Block]]:
             close = re.compile(rf"</{name}", re.I).search(source, at)
             at = close.start() if close else stop
             if name in DROPPED:
-                if close:
-                    end = source.find(">", at)
-                    at = end + 1 if end >= 0 else stop
+                end = source.find(">", at) if close else -1
+                at = end + 1 if end >= 0 else len(source)
                 continue
         if found[3].endswith("/") and name not in BLOCK:
             continue
         stack.append((name, node, dropped, region))
-    if stop <= at < len(source) or at <= stop < len(source):
+    if max(at, stop) < len(source):
         tail = source[max(at, stop) :]
         broken = tail.find("<")
         parts.append(tail if broken < 0 or not re.match(r"<[a-zA-Z/!?]", tail[broken:]) else tail[:broken])

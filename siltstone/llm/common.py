@@ -79,3 +79,16 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
 def crc_fold(column: str, folds: int):
     """The fold of a row: crc32 of an id's decimal text."""
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(folds))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], text: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until their column ``text`` has ``size`` bytes."""
+    held, bytes_held = [], 0
+    for batch in batches:
+        held.append(batch)
+        bytes_held += batch.column(text).nbytes
+        if bytes_held >= size:
+            yield pa.concat_batches(held)
+            held, bytes_held = [], 0
+    if held:
+        yield pa.concat_batches(held)

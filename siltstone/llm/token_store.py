@@ -16,45 +16,115 @@ a null doc_id stands first.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import map_batches, written
+from siltstone.llm.common import gathered, map_batches, written
 
 END_ID = 2
-#: Words that a worker remembers before it starts anew.
-MEMO_WORDS = 400_000
+#: Words in each generation that a worker remembers.
+MEMO_WORDS = 500_000
+#: New words are encoded in lines of 50, a digit between two of them: the tokenizer keeps digits apart, and
+#: words with that digit go one by one.
+SEPARATOR = "7"
+SEPARATOR_WORD = f" {SEPARATOR} "
+#: Latin letters of the first blocks of Unicode (but for one whose small form has a mark), and marks that close words.
+LETTERS, TAILS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]", (".", ",")
+#: Bytes of texts whose distinct words are looked up together.
+GATHER_BYTES = 8 << 20
 STRIPE_BYTES, STRIDE = 16 << 20, 2000
 
 
 class WordEncoder:
+    """Ids of whole texts by way of their distinct words.
+
+    Words are remembered in two generations: a full young one becomes the old one, and what is still used
+    moves back, so frequent words stay and memory is bounded.
+    """
+
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
+        (self.separator_id,) = self.library.encode(SEPARATOR, add_special_tokens=False).ids
+        self.tail_ids = [i for tail in TAILS for i in self.library.encode(tail, add_special_tokens=False).ids]
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.memo_words = memo_words
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
-        if len(self.memo) > self.memo_words:
-            self.memo = {}
-        memo = self.memo
-        new = list({word for words in split for word in words if word not in memo})
-        for start in range(0, len(new), 10_000):
-            part = new[start : start + 10_000]
-            for word, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memo[word] = np.array(found.ids, "<u4").tobytes()
-        known = memo.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        if len(self.young) + len(words) > self.memo_words:
+            self.young, self.old = {}, self.young
+        young, found = self.young, list(map(self.young.get, words))
+        missing = [n for n, ids in enumerate(found) if ids is None]
+        new = []
+        for n in missing:
+            ids = self.old.get(words[n])
+            if ids is None:
+                new.append(n)
+            else:
+                found[n] = young[words[n]] = ids
+        joined = [n for n in new if SEPARATOR not in words[n]]
+        for start in range(0, len(joined), 5000):
+            part = joined[start : start + 5000]
+            lines = [(SEPARATOR_WORD.join([words[n] for n in part[k : k + 50]]) + SEPARATOR_WORD) for k in range(0, len(part), 50)]
+            ids = np.concatenate([np.array(made.ids, "<u4") for made in self.library.encode_batch_fast(lines, add_special_tokens=False)])
+            ends = np.flatnonzero(ids == self.separator_id).tolist()
+            if len(ends) != len(part):
+                raise AssertionError("a word holds the separator's id")
+            data, at = ids.tobytes(), 0
+            for n, end in zip(part, ends, strict=True):
+                found[n] = young[words[n]] = data[at : 4 * end]
+                at = 4 * end + 4
+        for n in new:
+            if found[n] is None:
+                made = self.library.encode(words[n], add_special_tokens=False)
+                found[n] = young[words[n]] = struct.pack(f"<{len(made)}I", *made.ids)
+        return found
+
+    def encode(self, texts: pa.Array, end_id: int) -> pa.ListArray:
+        """Lists of ids, each with the end id; nulls are empty texts."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        tailed, keys = _parts(coded.dictionary)
+        pieces = [*self._of_words(keys.dictionary.to_pylist()), *(struct.pack("<I", i) for i in (*self.tail_ids, end_id))]
+        sizes = np.array([len(ids) // 4 for ids in pieces], np.int32)
+        flat, starts = np.frombuffer(b"".join(pieces), "<i4"), np.cumsum(sizes, dtype=np.int64) - sizes
+        # A word is one piece, or two with a mark after it; a text ends with the piece of the end id.
+        word, tail = coded.indices.to_numpy(), tailed.to_numpy()
+        count = np.where(tail < 0, 1, 2).astype(np.int32)[word]
+        order = np.repeat(keys.indices.to_numpy()[word], count)
+        place = np.cumsum(count, dtype=np.int64)
+        marks = np.flatnonzero(count == 2)
+        order[place[marks] - 1] = tail[word[marks]] + len(keys.dictionary)
+        ends = np.concatenate(([0], place))[np.cumsum(pc.list_value_length(split).to_numpy(), dtype=np.int64)]
+        order = np.insert(order, ends, len(pieces) - 1)
+        size = sizes[order]
+        stop = np.cumsum(size, dtype=np.int64)
+        ids = flat[np.repeat(starts[order] - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
+        offsets = np.concatenate(([0], stop[ends + np.arange(len(texts))])).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
+
+
+def _parts(words: pa.Array) -> tuple[pa.Array, pa.DictionaryArray]:
+    """For each word the number of its closing mark, or -1, and what is left of it.
+
+    The tokenizer keeps letters and marks apart and takes capitals as small letters. So Latin letters and one
+    full stop or comma are the letters' ids and the mark's, and capital A-Z are small ones.
+    """
+    tailed = pc.match_substring_regex(words, f"^{LETTERS}+[{''.join(TAILS)}]$")
+    mark = pc.cast(pc.case_when(pc.make_struct(*(pc.and_(tailed, pc.ends_with(words, t)) for t in TAILS)), *(pa.scalar(n) for n in range(len(TAILS))), pa.scalar(-1)), pa.int64())
+    left = pc.if_else(tailed, pc.utf8_slice_codeunits(words, 0, -1), words)
+    return mark, pc.if_else(pc.match_substring_regex(left, "^[A-Za-z]+$"), pc.ascii_lower(left), left).dictionary_encode()
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -67,19 +137,13 @@ def store(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFra
         if tokenizer_path not in _ENCODERS:
             _ENCODERS[tokenizer_path] = WordEncoder(tokenizer_path)
         encoder, part, total = _ENCODERS[tokenizer_path], TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for start in range(0, batch.num_rows, 128):
-                rows = batch.slice(start, 128)
-                lists = [np.frombuffer(b, "<u4") for b in encoder.encode([text or "" for text in rows.column(1).to_pylist()])]
-                sizes = np.array([len(x) + 1 for x in lists], np.int64)
-                ends = np.cumsum(sizes)
-                flat = np.empty(int(ends[-1]), np.int32)
-                for x, end, size in zip(lists, ends, sizes, strict=True):
-                    flat[end - size : end - 1] = x
-                flat[ends - 1] = end_id
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([rows.column(0), ids, pa.array(sizes), pa.array(np.full(len(sizes), part, np.int64)), pa.array(total + ends - sizes)], ["doc_id", "ids", "n_tokens", "part", "before"])
-                total += int(ends[-1])
+        for batch in gathered(batches, 1, GATHER_BYTES):
+            if batch.num_rows:
+                ids = encoder.encode(batch.column(1), end_id)
+                sizes = np.diff(ids.offsets.to_numpy()).astype(np.int64)
+                ends = total + np.cumsum(sizes)
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(sizes), pa.array(np.full(len(sizes), part, np.int64)), pa.array(ends - sizes)], ["doc_id", "ids", "n_tokens", "part", "before"])
+                total = int(ends[-1])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")

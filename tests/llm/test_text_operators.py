@@ -334,3 +334,14 @@ def test_op10_equals_brute_force(spark):
     for row in spark.read.parquet(f"{SF}/documents.parquet").collect():
         assert got[row.doc_id].base_sha256 == hashlib.sha256(brute_secrets(row.text).encode()).hexdigest()
     assert secrets.scan(docs(spark, ["-----BEGIN RSA PRIVATE KEY-----"]))[2].first().findings[0].kind == "pem"
+
+
+def test_words_equal_whole_texts():
+    import pyarrow as pa
+
+    encoder = token_store.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), memo_words=500)
+    draw = random.Random(3)
+    parts = ["a", "The", "é", "É", ".", ",", "...", ".,", " ", "  ", "\n", "'s", "7", "22", "!", "漢", "ǅ", "ß", "×", "<|endoftext|>", "İ.", "Ω.", "x.", "Word,", " word. ", "\t", "́"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 20))) for _ in range(4000)]
+    for text, ids in zip(texts, encoder.encode(pa.array(texts), 2).to_pylist(), strict=True):
+        assert ids == [*encoder.library.encode(text, add_special_tokens=False).ids, 2], repr(text)

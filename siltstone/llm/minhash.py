@@ -252,7 +252,10 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Of rows that share an id one stays. Rows with a null id can't be told apart by it and stay.
     """
     found = written(near_duplicates(docs, k, percent).select("doc_id", "kept"), "kept")
-    kept = docs.join(found.where("kept").select("doc_id").distinct(), "doc_id", "left_semi")
-    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    gone = found.where("not kept and doc_id is not null").select("doc_id").distinct()
+    few = gone.count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if twice.isEmpty():
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))

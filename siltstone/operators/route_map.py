@@ -161,10 +161,10 @@ def errors(lines: DataFrame, units: DataFrame, sizes: DataFrame) -> DataFrame:
     c, u = arrays.where("source is null").alias("c"), per_unit.alias("u")
     same = reduce(lambda a, b: a & b, (F.col(f"c.{k}").eqNullSafe(F.col(f"u.{k}")) for k in ("doc_id", "code", "parent_code", "parent")))
     both = c.join(u, same, "full").select(*(F.coalesce(f"c.{k}", f"u.{k}").alias(k) for k in ("doc_id", "code", "parent_code", "parent")), F.col("c.n").alias("n"), "used", "low", "high")
-    undeclared = both.where("n is null")
     unequal = both.where("n is not null and (coalesce(used, 0) <> n or coalesce(high, n - 1) <> n - 1 or coalesce(low, 0) <> 0)")
     orphan = used.where("parent_code is not null").select("doc_id", F.col("parent_code").alias("code"), F.col("parent").alias("item")).distinct().join(used.where("parent_code is null").select("doc_id", "code", "item"), ["doc_id", "code", "item"], "left_anti")
     sources = told.where("source is not null")
+    undeclared = both.where("n is null").join(sources.select("doc_id", "code"), ["doc_id", "code"], "left_anti")
     mapped = used.where("parent_code is null").select("doc_id", F.col("code").alias("source")).distinct()
     groundless = sources.join(mapped, ["doc_id", "source"], "left_anti")
     drawn = sources.join(used.select("doc_id", "code").distinct(), ["doc_id", "code"], "left_semi")

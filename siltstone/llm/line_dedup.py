@@ -26,6 +26,8 @@ from siltstone.llm.common import map_batches, written
 SPAN, PERIOD, LEAST = 2, 3, 2
 #: Hashes of repeated chunks that may be broadcast, 8 bytes each.
 BROADCAST_HASHES = 1_000_000
+#: Numbers in the list of removed places that may be broadcast; a longer list meets the texts in a shuffle.
+BROADCAST_PLACES = 4_000_000
 FACTOR, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
@@ -87,7 +89,9 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Documents without repeated chunks; ``removed_lines`` tells how many lines went, ``kept`` whether any line is left."""
-    gone = repeats(docs, least).withColumnsRenamed({"doc_id": "gone_id", "row_key": "gone_key"})
+    gone = written(repeats(docs, least).withColumnsRenamed({"doc_id": "gone_id", "row_key": "gone_key"}), "gone")
+    places = gone.agg(F.sum(F.size("places") + 4)).first()[0] or 0
+    gone = F.broadcast(gone) if places <= BROADCAST_PLACES else gone
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -140,13 +140,15 @@ def _error(rows: DataFrame, rule: str, *parts) -> DataFrame:
 
 def errors(lines: DataFrame, units: DataFrame, sizes: DataFrame) -> DataFrame:
     """``doc_id, rule, detail`` of all that is wrong with a map; ``sizes (doc_id, size)`` counts the chunks."""
-    dests, told = destinations(lines, units), declarations(lines, units)
+    # Each rule reads these, so they are made once; what a lost executor held is made again.
+    lines = lines.persist()
+    dests, told = destinations(lines, units).persist(), declarations(lines, units).persist()
     known = [MAP_LINE, COUNT, CHAIN_COUNT, ENTRY_COUNT, DERIVED]
     unread = lines.where(~reduce(lambda a, b: a | b, (F.col("line").rlike(p) for p in known)))
     first_map = lines.where(F.col("line").rlike(MAP_LINE)).groupBy("doc_id").agg(F.min("line_no").alias("first"))
     early = told.join(first_map, "doc_id", "left").where("line_no < first or first is null")
     wrong = dests.where("error is not null")
-    ranges = dests.where("error is null").select("doc_id", "start", "end", "parent_code", "parent", "code").distinct()
+    ranges = dests.where("error is null").select("doc_id", "start", "end", "parent_code", "parent", "code").distinct().persist()
     chains = ranges.where("parent_code is not null")
     plain = claims(dests).where("parent_code is null").select("doc_id", "code", "item", "start", "end").distinct()
     inside = intervals.hosted(chains, plain).select("doc_id", "start", "end", "parent_code", "parent", "code")
@@ -155,7 +157,7 @@ def errors(lines: DataFrame, units: DataFrame, sizes: DataFrame) -> DataFrame:
     beyond = ranges.select("doc_id", "start", "end").distinct().join(sizes, "doc_id").where("end >= size")
     bare = intervals.holes(ranges.select("doc_id", "start", "end"), sizes)
     kinds = F.broadcast(units.select("code", "kind"))
-    used = claims(dests).select("doc_id", "code", "parent_code", "parent", "item").distinct()
+    used = claims(dests).select("doc_id", "code", "parent_code", "parent", "item").distinct().persist()
     arrays = told.join(kinds.where("kind = 'array'").select("code"), "code", "left_semi")
     per_unit = used.where("item is not null").groupBy("doc_id", "code", "parent_code", "parent").agg(F.count("*").alias("used"), F.min("item").alias("low"), F.max("item").alias("high"))
     c, u = arrays.where("source is null").alias("c"), per_unit.alias("u")

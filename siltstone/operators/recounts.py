@@ -56,3 +56,43 @@ def laid(points: DataFrame, found: DataFrame) -> DataFrame:
     from siltstone.operators.intervals import latest_anchor
 
     return latest_anchor(points, found).where("item is not null")
+
+
+def claims_of(replies: DataFrame, labels: list[str]) -> DataFrame:
+    """``doc_id, label, n, quotes``: what a fresh count says of each label, as ``label: n`` and a quote a line.
+
+    Quotes outvote a zero. ``labels`` are the units asked about.
+    """
+    head = r"^\s*([A-Za-z.0-9]+)\s*[:=]\s*(\d+)\s*$"
+    label = F.regexp_extract("line", head, 1)
+    known = F.when(label.isin(labels), F.concat_ws(":", label, F.regexp_extract("line", head, 2)))
+    lines = replies.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw")).withColumn("line", unmarked(F.trim("raw"))).where("line <> ''").withColumn("own", known)
+    order = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    under = lines.withColumn("head", F.last("own", ignorenulls=True).over(order)).where("head is not null")
+    rows = F.sort_array(F.collect_list(F.when(F.col("own").isNull(), F.struct("line_no", "line"))))
+    found = under.groupBy("doc_id", "head").agg(F.transform(rows, lambda r: r["line"]).alias("quotes"))
+    n = F.get(F.split("head", ":"), F.lit(1)).cast("long")
+    return found.select("doc_id", F.get(F.split("head", ":"), F.lit(0)).alias("label"), F.when((n == 0) & (F.size("quotes") > 0), F.size("quotes").cast("long")).otherwise(n).alias("n"), "quotes")
+
+
+def resplit(assigned: DataFrame, found: DataFrame, code: str) -> DataFrame:
+    """Assignments ``(doc_id, code, item, parent_code, parent, chunk_id)`` in which a merged unit's chunks go to the instances that anchors begin.
+
+    Chunks before the first anchor, and documents without anchors, stay as they are.
+    """
+    domain = assigned.where((F.col("code") == code) & F.col("parent").isNull()).select("doc_id", "chunk_id").distinct()
+    split = laid(domain, found).withColumnRenamed("item", "new_item")
+    rows = assigned.join(split, ["doc_id", "chunk_id"], "left")
+    mine = (F.col("code") == code) & F.col("parent").isNull() & F.col("new_item").isNotNull()
+    return rows.withColumn("item", F.when(mine, F.col("new_item")).otherwise(F.col("item"))).drop("new_item").distinct()
+
+
+def spliced(dests: DataFrame, answer: DataFrame) -> DataFrame:
+    """Lines of a fresh answer that may join a map: those whose every chunk the map gives to no unit."""
+    from siltstone.operators import intervals
+
+    free = intervals.expand(dests.where("code = '-'").select("doc_id", "start", "end")).distinct()
+    wide = answer.where("error is null and code <> '-'")
+    lines = wide.select("doc_id", "line_no", "start", "end").distinct()
+    covered = intervals.expand(lines.withColumn("size", F.col("end") - F.col("start") + 1)).join(free, ["doc_id", "chunk_id"], "left_semi").groupBy("doc_id", "line_no", "size").agg(F.count("*").alias("n")).where("n = size")
+    return wide.join(covered.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_semi")

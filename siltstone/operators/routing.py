@@ -7,11 +7,12 @@ plan of a round begins at a table. The number of rounds is small and fixed.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.operators import route_map
+from siltstone.operators import hints, intervals, recounts, route_map
 from siltstone.plans.units import Unit, code
 from siltstone.sources.runner import Runner, ask
 from siltstone.sources.shared import kept
@@ -31,6 +32,10 @@ Units:
 Parts:
 {parts}"""
 REPAIR = "The map breaks these rules. Answer with the lines to take out, each after `-`, and the lines to put in, each after `+`."
+RECOUNT = """RECOUNT. Look afresh for instances of the units below alone. Answer with a line for each run of parts that holds
+one, `<start>-<end> <code>.<n>`, and nothing else. If there is none, answer with `none`.
+Units:
+"""
 SHARED = "These units' runs look too long for their counts. Split what the parts can tell apart, or repeat the map as it is."
 
 
@@ -90,10 +95,51 @@ def route(documents: DataFrame, chunks: DataFrame, units: list[Unit], table: Dat
         lines = kept(lines.select("doc_id", "line_no", "line").join(good.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(good), "lines")
         wrong = kept(route_map.errors(lines, table, sizes), "errors")
         history = history.join(replies.where("error is null").select("doc_id", F.col("history").alias("later")), "doc_id", "left").select("doc_id", F.coalesce("later", "history").alias("history"))
-    settled = lines.join(wrong.select("doc_id").distinct(), "doc_id", "left_anti")
+    # Maps that are right but for counts pass with what they draw; a map's drawing is the better reading.
+    loose = hints.passable(wrong)
+    settled = lines.join(wrong.select("doc_id").distinct().join(loose, "doc_id", "left_anti"), "doc_id", "left_anti")
+    wrong = wrong.join(loose, "doc_id", "left_anti")
+    settled = recounted(settled, parts, sizes, table, factory, partitions)
     return settled, wrong.unionByName(failed)
 
 
+def recounted(lines: DataFrame, parts: DataFrame, sizes: DataFrame, table: DataFrame, factory: Callable[[], Runner], partitions: int | None = None) -> DataFrame:
+    """Lines after one fresh count of units that a map declares empty, or declares and does not draw.
+
+    The count begins without history, so that a first answer is no anchor. Its lines join the map on chunks
+    that belonged to no unit, if the map is then right; else the map stays as it is.
+    """
+    dests, told = route_map.destinations(lines, table), route_map.declarations(lines, table)
+    open_ = hints.pending_zeros(told, table).unionByName(hints.undrawn(told, dests).select("doc_id", "code")).distinct()
+    cards = F.broadcast(table.select("code", "card"))
+    rows = open_.join(cards, "code").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(" = ", "code", "card"))), "\n").alias("legend"))
+    asked = kept(rows.join(parts, "doc_id"), "recounts")
+    if asked.isEmpty():
+        return lines
+    none = F.lit(None).cast("string")
+    text = F.concat(F.lit(RECOUNT), F.col("legend"), F.lit("\nParts:\n"), F.col("parts"))
+    replies = kept(ask(_requests(asked, text, none, none, ROUNDS), factory, partitions), "routes")
+    answer = route_map.lines_of(replies.where("error is null").select("doc_id", _text(F.col("data")).alias("text")))
+    added = kept(recounts.spliced(dests, route_map.destinations(answer, table)), "answers")
+    lines_added = answer.join(added.select("doc_id", "line_no").distinct(), ["doc_id", "line_no"], "left_semi")
+    codes = added.select("doc_id", F.coalesce("parent_code", "code").alias("code")).distinct()
+    counted = added.where("item_hi is not null and parent_code is null").groupBy("doc_id", "code").agg((F.max("item_hi") + 1).alias("n"))
+    # The drawing without the chunks that are now given, then the new lines and their counts.
+    taken = intervals.expand(added.select("doc_id", "start", "end")).distinct()
+    left = intervals.expand(dests.where("code = '-'").select("doc_id", "start", "end")).distinct().join(taken, ["doc_id", "chunk_id"], "left_anti")
+    spare = intervals.runs(left.join(codes.select("doc_id").distinct(), "doc_id", "left_semi"), ["doc_id"])
+    span = F.concat(F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"), F.lit(" -"))
+    old = lines.join(codes.select("doc_id").distinct(), "doc_id", "left_semi").where(~F.col("line").rlike(r"^\d+(\s*-\s*\d+)?\s+-$"))
+    head = F.regexp_extract("line", route_map.COUNT, 1)
+    old = old.withColumn("code", head).join(counted.select("doc_id", "code"), ["doc_id", "code"], "left_anti").drop("code")
+    pieces = [old.select("doc_id", F.when(F.col("line").rlike(route_map.MAP_LINE), 0).otherwise(2).alias("part"), F.col("line_no").cast("long").alias("at"), "line"), lines_added.select("doc_id", F.lit(0).alias("part"), (F.col("line_no") + 100_000).cast("long").alias("at"), "line").where(F.col("line").rlike(route_map.MAP_LINE)), spare.select("doc_id", F.lit(1).alias("part"), "start", span).toDF("doc_id", "part", "at", "line"), counted.select("doc_id", F.lit(3).alias("part"), F.lit(0).cast("long").alias("at"), F.concat_ws(": ", "code", F.col("n").cast("string")).alias("line"))]
+    order = Window.partitionBy("doc_id").orderBy("part", "at", "line")
+    new = kept(reduce(DataFrame.unionByName, pieces).withColumn("line_no", F.row_number().over(order) - 1).select("doc_id", "line_no", "line"), "lines")
+    wrong = route_map.errors(new, table, sizes.join(new.select("doc_id").distinct(), "doc_id", "left_semi")).select("doc_id").distinct()
+    good = kept(new.join(wrong, "doc_id", "left_anti"), "lines")
+    return lines.select("doc_id", "line_no", "line").join(good.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(good)
+
+
 def routed_items(lines: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(assignments, counts)``: what is mapped where (``doc_id, unit, parent, item, chunk_id``), and how many instances are declared by value path.
 
@@ -105,7 +151,7 @@ def routed_items(lines: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFra
     mirrors = told.where("source is not null").join(paths.select("code", F.col("path").alias("unit")), "code").join(F.broadcast(table.select(F.col("code").alias("source"), F.col("path").alias("source_path"))), "source").select("doc_id", F.col("unit").alias("mirror"), F.col("source_path").alias("unit"))
     copied = rows.join(mirrors, ["doc_id", "unit"]).select("doc_id", F.col("mirror").alias("unit"), "parent", "item", "chunk_id")
     every = rows.unionByName(copied)
-    own = told.where("source is null").join(paths, "code")
+    own = hints.drawn_counts(told.where("source is null"), dests).join(paths, "code")
     key = F.when(F.col("parent").isNull(), F.col("path")).otherwise(F.concat("parent_path", F.lit("["), F.col("parent").cast("string"), F.lit("]."), "field"))
     arrays = F.broadcast(table.where("kind = 'array'").select("code"))
     counts = own.join(arrays, "code", "left_semi").select("doc_id", key.alias("path"), F.col("n").alias("declared"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import chunking, json_values, text
-from siltstone.operators import budgets, copies, corrections, evals, execution, intervals, recounts, route_map, verdicts
+from siltstone.operators import budgets, copies, corrections, evals, execution, hints, intervals, recounts, route_map, verdicts
 from siltstone.plans.units import decompose, units_table
 from siltstone.sources.documents import spread
 from siltstone.sources.shipping import ship
@@ -537,3 +537,57 @@ FIT_SQL = "WITH i AS (SELECT l_orderkey AS doc_id, l_returnflag AS unit, CAST(l_
 def budget_fit(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("unit"), (F.col("l_quantity").cast("long") * 4).alias("budget"), (F.col("l_partkey") % 240).alias("chars"), F.when(F.col("l_linestatus") == "O", "kw").otherwise("abs").alias("kind"))
     return evals.budget_fit(rows).where("wild > 0").select("doc_id", "unit", "wild")
+
+
+# --- hints
+
+
+@query(
+    LINES_SQL
+    + """, cover AS (SELECT DISTINCT doc_id, unnest(range(start, "end" + 1)) AS chunk_id FROM spans), open AS (SELECT c.doc_id, c.chunk_id FROM coded c ANTI JOIN cover v ON c.doc_id = v.doc_id AND c.chunk_id = v.chunk_id),
+h AS (SELECT doc_id, min(chunk_id) AS hole_start, max(chunk_id) AS hole_end FROM (SELECT *, chunk_id - row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id) AS g FROM open) GROUP BY doc_id, g),
+r AS (SELECT h.*, s.start, s."end", row_number() OVER (PARTITION BY h.doc_id, hole_start ORDER BY s."end" DESC, s.start DESC) AS k FROM h LEFT JOIN spans s ON s.doc_id = h.doc_id AND s."end" <= h.hole_start)
+SELECT doc_id, hole_start, hole_end, start, "end" FROM r WHERE k = 1"""
+)
+def coverage_hints(spark, sf_dir):
+    rows = spans(spark, sf_dir)
+    return hints.coverage_hints(intervals.holes(rows, sizes(spark, sf_dir)), rows)
+
+
+@query(LINES_SQL + "SELECT DISTINCT doc_id, 'c' AS code, 1 AS n FROM coded WHERE doc_id NOT IN (SELECT doc_id FROM coded WHERE code = 'c')")
+def undrawn_units(spark, sf_dir):
+    units = units_table(spark, decompose(SCHEMA))
+    found = route_map.destinations(route_map.lines_of(map_texts(spark, sf_dir)), units)
+    told = sizes(spark, sf_dir).select("doc_id", F.lit("c").alias("code"), F.lit(1).cast("int").alias("n"), F.lit(None).cast("string").alias("parent_code"))
+    return hints.undrawn(told, found)
+
+
+@query(
+    """WITH h AS (SELECT conv_id AS doc_id, turn AS round, role AS rule, length(text) % 3 || '' AS detail FROM conversations), l AS (SELECT doc_id, max(round) AS last FROM h GROUP BY ALL),
+t AS (SELECT h.doc_id, rule, detail FROM h JOIN l USING (doc_id) GROUP BY ALL HAVING max(CASE WHEN round = last THEN 1 ELSE 0 END) = 0)
+SELECT DISTINCT doc_id, rule, detail FROM t WHERE detail <> '1'"""
+)
+def error_regressions(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("round"), F.col("role").alias("rule"), (F.length("text") % 3).cast("string").alias("detail"))
+    return hints.regressions(rows, rows.where("detail <> '1'")).distinct()
+
+
+@query(
+    ASSIGNED_SQL
+    + """, m AS (SELECT doc_id, unit, sum(material) AS m, sum(CAST(round(material) AS BIGINT)) AS c FROM material GROUP BY ALL)
+SELECT doc_id, unit, CAST(round_even(c / 300.0, 0) AS BIGINT) AS blocks FROM m WHERE m >= 1000 AND round_even(c / 300.0, 0) >= 2"""
+)
+def overrun_hints(spark, sf_dir):
+    found = budgets.material(assigned(spark, sf_dir), lines(spark, sf_dir))
+    return hints.overruns(found, found.select("doc_id", "unit", F.round("material").cast("long").alias("chars")))
+
+
+@query(
+    LINES_SQL
+    + """, a AS (SELECT doc_id, chunk_id FROM coded WHERE code = 'b'), f AS (SELECT doc_id, chunk_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id) - 1 AS n FROM a WHERE chunk_id % 2 = 0)
+SELECT a.doc_id, a.chunk_id, coalesce(f.n, 0) AS item FROM a ASOF LEFT JOIN f ON a.doc_id = f.doc_id AND a.chunk_id >= f.chunk_id"""
+)
+def resplit_units(spark, sf_dir):
+    """A unit that one item holds, split at its even chunks."""
+    rows = lines(spark, sf_dir).where("code = 'b'").select("doc_id", "code", F.lit(0).cast("long").alias("item"), F.lit(None).cast("string").alias("parent_code"), F.lit(None).cast("long").alias("parent"), "chunk_id")
+    return recounts.resplit(rows, rows.where("chunk_id % 2 = 0"), "b").select("doc_id", "chunk_id", "item")

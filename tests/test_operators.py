@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone import extraction
 from siltstone.functions.json_values import canonical
-from siltstone.operators import copies, corrections, evals, execution, recounts, route_map, verdicts
+from siltstone.operators import copies, corrections, evals, execution, hints, intervals, recounts, route_map, routing, verdicts
 from siltstone.plans.units import decompose, units_table
 from siltstone.sources.runner import ScriptedRunner, judged
 
@@ -210,6 +210,51 @@ def test_extraction(spark):
     assert extraction.typed(found, "created string, jobs array<struct<company:string>>").where("doc_id = 1").first().jobs[1].company == "Beta"
 
 
+def test_hints(spark):
+    units = units_table(spark, decompose(SCHEMA))
+    found = lines_of(spark, ["0 a\n1-4 b.0\n2-4 b.0.c.0,b.0.c.1\n5 -\nb: 2\nb.0.c: 2\nd: 0\na: 1\ne: 1"])
+    dests, told = route_map.destinations(found, units), route_map.declarations(found, units)
+    assert [(r.code, r.parent, r.chunks, r.n) for r in hints.merged_nested(dests, told).collect()] == [("c", 0, 3, 2)]
+    assert [r.code for r in hints.pending_zeros(told, units).collect()] == ["d"] and [r.code for r in hints.undrawn(told, dests).collect()] == ["e"]
+    assert {(r.code, r.item, r.chunk_id) for r in hints.chain_fed(dests).collect()} == {("b", 0, n) for n in (2, 3, 4)}
+    assert {(r.code, r.parent) for r in hints.drawn_pairs(dests).collect()} == {("a", None), ("b", None), ("c", 0)}
+    assert {(r.code, r.parent): r.n for r in hints.drawn_counts(told, dests).collect()} == {("a", None): 1, ("b", None): 1, ("c", 0): 2, ("d", None): 0, ("e", None): 1}
+    errors = spark.createDataFrame([(0, "items differ from the count", "b 2"), (1, "items differ from the count", "b 2"), (1, "overlap", "0 1")], "doc_id long, rule string, detail string")
+    assert [r.doc_id for r in hints.passable(errors).collect()] == [0]
+    removed = spark.createDataFrame([(0, 3, 5, "3-5 b.0"), (0, 6, 9, "6-9 b.1")], "doc_id long, start long, end long, line string")
+    holes = spark.createDataFrame([(0, 4, 4), (0, 11, 11)], "doc_id long, hole_start long, hole_end long")
+    assert [(r.hole_start, r.line) for r in hints.uncovered_by(removed, holes).collect()] == [(4, "3-5 b.0")]
+    cut = intervals.even_blocks(spark.createDataFrame([(0, 10, 19, 5)], "doc_id long, start long, end long, items long"), F.lit(2).cast("long"))
+    assert [r.line for r in hints.block_lines(cut, "b").orderBy("block").collect()] == ["10-14 b.0-1", "15-19 b.2-4"]
+
+
+def test_claims_and_splices(spark):
+    units = units_table(spark, decompose(SCHEMA))
+    replies = spark.createDataFrame([(0, "b: 0\n- Acme\n2. Beta\nd: 3\nnone here\nq: 2")], "doc_id long, text string")
+    assert {r.label: (r.n, r.quotes) for r in recounts.claims_of(replies, ["b", "d"]).collect()} == {"b": (2, ["Acme", "Beta"]), "d": (3, ["none here", "q: 2"])}
+    dests = route_map.destinations(lines_of(spark, ["0 a\n1-4 -\n5 b.0"]), units)
+    answer = route_map.destinations(lines_of(spark, ["1-2 d.0\n4-5 d.1\n3 d.2"]), units)
+    assert {(r.start, r.code, r.item_lo) for r in recounts.spliced(dests, answer).collect()} == {(1, "d", 0), (3, "d", 2)}
+
+
+def test_fresh_counts(spark):
+    units = units_table(spark, decompose(SCHEMA))
+    lines = lines_of(spark, ["0 a\n1-3 -\n4 b.0\nb: 1\nd: 0", "0 a\n1-4 -\nd: 0"]).select("doc_id", F.col("line_no").cast("int").alias("line_no"), "line")
+    parts = spark.createDataFrame([(0, "[0] x", 5, "text"), (1, "[0] x", 5, "text")], "doc_id long, parts string, size long, content string")
+
+    class Runner:
+        def run(self, *, instructions, **_):
+            assert "RECOUNT" in instructions
+            return ("1 d.0\n3 d.1" if "b = " not in instructions else "0 d.0"), None
+
+    got = routing.recounted(lines, parts, parts.select("doc_id", "size"), units, Runner)
+    texts = {}
+    for row in got.orderBy("doc_id", "line_no").collect():
+        texts.setdefault(row.doc_id, []).append(row.line)
+    assert texts[0] == ["0 a", "4 b.0", "1 d.0", "3 d.1", "2-2 -", "b: 1", "d: 2"]
+    assert texts[1] == ["0 a", "1 d.0", "3 d.1", "2-2 -", "4-4 -", "d: 2"]
+
+
 def test_judge(spark):
     cases = spark.createDataFrame([(0, "s", "o"), (1, "s", "o")], "doc_id long, source string, output string").coalesce(1)
     got = judged(cases, "all is well", lambda: ScriptedRunner([{"ok": True, "reason": "r"}, "?"])).orderBy("doc_id").collect()

@@ -87,17 +87,21 @@ def windows(piece: Column, max_chars: int) -> Column:
     return F.transform(F.sequence(F.lit(0), count), lambda i: F.substr(piece, i * max_chars + 1, F.lit(max_chars)))
 
 
-def packed(pieces: Column, max_chars: int = MAX_CHARS) -> Column:
-    """Pieces packed up to the limit; two or more entries in a row stand alone, overlong pieces are cut."""
-    marked = F.transform(pieces, lambda p: F.struct(p.alias("text"), (p.rlike(ENTRY) | p.rlike(CLAUSE)).alias("entry")))
+def marked(pieces: Column) -> Column:
+    """Pieces as ``(text, alone)``: two or more entries in a row stand alone."""
+    entries = F.transform(pieces, lambda p: F.struct(p.alias("text"), (p.rlike(ENTRY) | p.rlike(CLAUSE)).alias("entry")))
 
     def in_run(x: Column, i: Column, all_: Column) -> Column:
         left = F.when(i > 0, F.get(all_, i - 1)["entry"]).otherwise(False)
         right = F.coalesce(F.get(all_, i + 1)["entry"], F.lit(False))
         return F.struct(x["text"].alias("text"), (x["entry"] & (left | right)).alias("alone"))
 
-    # The marked array is bound once, as the only element of an outer transform.
-    runs = F.flatten(F.transform(F.array(marked), lambda m: F.transform(m, lambda x, i: in_run(x, i, m))))
+    # The array is bound once, as the only element of an outer transform.
+    return F.flatten(F.transform(F.array(entries), lambda m: F.transform(m, lambda x, i: in_run(x, i, m))))
+
+
+def packed(pieces: Column, max_chars: int = MAX_CHARS) -> Column:
+    """Pieces ``(text, alone)`` packed up to the limit; overlong pieces are cut."""
     state = F.struct(_none().alias("done"), F.lit("").alias("open"))
 
     def step(a: Column, x: Column) -> Column:
@@ -109,13 +113,17 @@ def packed(pieces: Column, max_chars: int = MAX_CHARS) -> Column:
             .otherwise(F.struct(a["done"].alias("done"), F.concat(a["open"], piece).alias("open")))
         )
 
-    return F.aggregate(runs, state, step, lambda a: F.when(a["open"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))))
+    return F.aggregate(pieces, state, step, lambda a: F.when(a["open"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))))
 
 
 def cut_block(block: Column, max_chars: int = MAX_CHARS) -> Column:
     """A block as it is if it fits and can hold no entries, else its packed pieces."""
-    simple = (F.length(block) <= max_chars) & ~block.rlike("[；;•\x80-\x9f]")
-    return F.when(simple, F.array(block)).otherwise(packed(healed(F.split(block, SENTENCE, -1)), max_chars))
+    plain = ~block.rlike("[；;•\x80-\x9f]")
+    split = F.split(block, SENTENCE, -1)
+    alone = lambda pieces: F.transform(pieces, lambda p: F.struct(p.alias("text"), F.lit(False).alias("alone")))
+    # Only blocks with brackets can have pieces to join again, and only those with marks can have entries.
+    pieces = F.when(plain & ~block.rlike("[(（]"), alone(split)).when(plain, alone(healed(split))).otherwise(marked(healed(split)))
+    return F.when(plain & (F.length(block) <= max_chars), F.array(block)).otherwise(packed(pieces, max_chars))
 
 
 def chunk(documents: DataFrame, max_chars: int = MAX_CHARS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -8,7 +8,8 @@ item is cut into overlapping pieces); documents pass through the groups one afte
 shuffle. What is broadcast is thus bounded, however large the benchmark is.
 
 Results: null text has no words and no hits; items without words or with a null id take no part; repeated
-items with one id count as one item; without items nothing is hit. Other columns may have any names.
+items with one id count as one item; without items nothing is hit. Other columns pass through; one named
+``matches`` is replaced.
 """
 
 from __future__ import annotations
@@ -178,6 +179,7 @@ def _union(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
 def match(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", window: int = WINDOW, limit: int = GROUP_WORDS) -> DataFrame:
     """``docs`` with a struct ``matches``: words, hit runs, items with occurring windows, largest share of an item."""
     context = docs.sparkSession.sparkContext
+    docs = docs.drop("matches")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "matches"]
     schema = ", ".join([*fields, f"matches struct<{MATCHES.replace(' long', ':long').replace('runs ', 'runs:').replace('items ', 'items:').replace(' double', ':double')}>"])
     kind = pa.struct([("n_words", pa.int64()), ("runs", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string())), ("share", pa.float64())])
@@ -235,4 +237,4 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove(docs: DataFrame, benchmark: DataFrame, item_share: float = ITEM_SHARE, window: int = WINDOW) -> DataFrame:
     """Documents without the benchmark: those that hold ``item_share`` of an item in one run go, shorter hit runs are cut out; ``n_chars`` follows the text."""
     found = match(docs, benchmark, window=window).where(F.col("matches.share") < item_share)
-    return map_batches(found, _cut, docs._jdf.schema().toDDL())
+    return map_batches(found, _cut, docs.drop("matches")._jdf.schema().toDDL())

@@ -10,8 +10,8 @@ The machines are fitted on a bounded sample: at most ``per_language`` texts of e
 
 Results: a text that is null or has no letter is ``und`` with score 0. With one label that label is
 predicted; with none every text is ``und``. Equal votes go to the label with the larger summed margin,
-then to the first in alphabetical order. Repeated rows give repeated results, and only id, text and label
-columns are read, so other columns may have any names.
+then to the first in alphabetical order. Repeated rows give repeated results. Other columns pass through;
+those named ``lang_pred`` and ``score`` are replaced.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ their bytes have been compared with the first's.
 Results: null text stays null; a document whose every line is taken goes, all others stay, with ``text`` and
 ``n_chars`` (where there is one) as they then are. Documents without repeats are untouched, blank chunks are
 no repeats, and rows with a null id are left alone. Rows with one id are told apart by a hash of their text;
-equal rows count as one place. Extra columns pass through.
+equal rows count as one place. Extra columns pass through; those named like the operator's own (``places``,
+``kept``, ``removed_lines``, ``row_key_``, ``gone_id``, ``gone_key``) are replaced or left out.
 """
 
 from __future__ import annotations
@@ -89,6 +90,7 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Documents without repeated chunks; ``removed_lines`` tells how many lines went, ``kept`` whether any line is left."""
+    docs = docs.drop("removed_lines", "kept", "places", "row_key_", "gone_id", "gone_key")
     gone = written(repeats(docs, least).withColumnsRenamed({"doc_id": "gone_id", "row_key": "gone_key"}), "gone")
     places = gone.agg(F.sum(F.size("places") + 4)).first()[0] or 0
     gone = F.broadcast(gone) if places <= BROADCAST_PLACES else gone

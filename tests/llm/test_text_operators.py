@@ -28,7 +28,7 @@ def words(text):
 def docs(spark, texts, extra=False):
     rows = [(n, t, "en", "s", len(t or "")) for n, t in enumerate(texts)]
     made = spark.createDataFrame(rows, DOCS)
-    return made.withColumn("key", F.lit("x")).withColumn("hash", F.lit(1)).withColumn("a", F.lit(2)).withColumn("at", F.lit(3)) if extra else made
+    return made.withColumn("key", F.lit("x")).withColumn("hash", F.lit(1)).withColumn("a", F.lit(2)).withColumn("at", F.lit(3)).withColumn("matches", F.lit(4)).withColumn("kept", F.lit(5)).withColumn("places", F.lit(6)).withColumn("score", F.lit(7)) if extra else made
 
 
 # --- byte-level BPE
@@ -345,3 +345,24 @@ def test_words_equal_whole_texts():
     texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 20))) for _ in range(4000)]
     for text, ids in zip(texts, encoder.encode(pa.array(texts), 2).to_pylist(), strict=True):
         assert ids == [*encoder.library.encode(text, add_special_tokens=False).ids, 2], repr(text)
+
+
+def test_pipeline_stages_take_any_rows(spark):
+    import corpus_pipeline
+
+    body = "the quick brown fox jumps over the lazy dog and runs away\ninto the dark wood\nwhere nobody lives at all\nbut the old owl"
+    rows = [(1, body, "en", "s", 1), (1, body, "en", "s", 1), (None, body, None, None, None), (2, None, None, None, None), (3, "", "en", "s", 0), (4, body + " x", "en", "s", 5), (5, "12 34", "en", "s", 5), (6, "word " * 40_000, "en", None, None)]
+    made = spark.createDataFrame(rows, DOCS)
+    for frame in (made, made.where("false")):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, frame, SF)
+            assert out.columns == made.columns
+            found = out.collect()
+            if frame is made:
+                ids = [r.doc_id for r in found]
+                assert 6 in ids and (name == "language_id") == (2 not in ids)
+                if name == "near_dedup":
+                    assert ids.count(1) == 1 and 4 not in ids and None in ids
+            else:
+                assert found == []
+        assert corpus_pipeline.STAGES[-1][1](spark, frame, SF).count() == frame.count()

@@ -37,7 +37,7 @@ PIVOT_PAIRS = 256
 #: Ids that may be broadcast, 8 bytes each.
 BROADCAST_IDS = 1_000_000
 #: Bytes of texts that are hashed at once.
-SLAB = 1 << 20
+SLAB = 1 << 18
 #: Masks for the choice of pivots.
 MASKS = (0x0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x369DEA0F31A53F85)
 

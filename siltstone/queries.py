@@ -97,17 +97,17 @@ packed AS (SELECT doc_id, b, list_reduce(list_transform(ps, lambda x: {'done': [
        WHEN length(a.open) + length(x.open) > 250 THEN {'done': list_append(a.done, a.open), 'open': x.open}
        ELSE {'done': a.done, 'open': a.open || x.open} END, {'done': []::VARCHAR[], 'open': ''}) AS f FROM pieces),
 flat AS (SELECT doc_id, b, unnest(CASE WHEN f.open = '' THEN f.done ELSE list_append(f.done, f.open) END) AS chunk FROM packed)
-SELECT doc_id, count(*) AS n_chunks, max(length(chunk)) AS longest, sum(length(chunk)) AS n_chars, sum(length(regexp_replace(chunk, '\\s+', '', 'g'))) AS content FROM flat GROUP BY doc_id
+SELECT doc_id, count(*) AS n_chunks, max(length(chunk)) AS longest, CAST(sum(length(chunk)) AS BIGINT) AS n_chars, CAST(sum(length(regexp_replace(chunk, '\\s+', '', 'g'))) AS BIGINT) AS content FROM flat GROUP BY doc_id
 """
 )
 def chunk_documents(spark, sf_dir):
     found = chunking.chunk(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return found.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max(F.length("text")).alias("longest"), F.sum(F.length("text")).alias("n_chars"), F.sum("content_len").alias("content"))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max(F.length("text").cast("long")).alias("longest"), F.sum(F.length("text")).alias("n_chars"), F.sum("content_len").alias("content"))
 
 
 @query("SELECT doc_id, CAST(round_even((length(text) + length(lang)) / 1.6, 0) AS BIGINT) AS tokens, length(regexp_replace(text, '\\s+', '', 'g')) AS content FROM documents")
 def token_estimates(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.estimate_tokens(F.col("text"), F.col("lang")).alias("tokens"), text.content_len(F.col("text")).alias("content"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.estimate_tokens(F.col("text"), F.col("lang")).alias("tokens"), text.content_len(F.col("text")).cast("long").alias("content"))
 
 
 @query(

@@ -1,21 +1,29 @@
-"""Line dedup by content-defined chunks of lines.
-
-A rolling hash over the hashes of the last ``SPAN`` lines ends a chunk where it is 0 modulo ``PERIOD``. Whether a
-line ends a chunk depends on that line and the few before it alone, so lines that are put in or taken out
-shift no boundary further on. Chunks of ``LEAST`` lines or more that stand in several places are repeats: the
-first place (smallest document id, then row, then position) keeps its lines, and the others lose them once
-their bytes have been compared with the first's.
-
-Results: null text stays null; a document whose every line is taken goes, all others stay, with ``text`` and
-``n_chars`` (where there is one) as they then are. Documents without repeats are untouched, blank chunks are
-no repeats, and rows with a null id are left alone. Rows with one id are told apart by a hash of their text;
-equal rows count as one place. Extra columns pass through; those named like the operator's own (``places``,
+"""Line dedup by content-defined chunks or by all runs of lines.
+
+``remove_runs`` is what the query and the pipeline use. Its pieces are all windows of ``SPAN`` lines that are not
+blank, one beginning at every line, and every line of more than ``LONG`` words by itself. Windows overlap, so a
+repeated run of ``SPAN`` lines or more goes as a whole, wherever it begins and whatever stands beside it. Of lines
+that repeat alone, those of up to ``LONG`` words stay.
+
+``remove_repeats`` takes out chunks alone: a rolling hash over the hashes of the last ``SPAN`` lines ends a chunk
+where it is 0 modulo ``PERIOD``. Whether a line ends a chunk depends on that line and the few before it alone, so
+lines that are put in or taken out shift no boundary further on. Chunks of fewer than ``LEAST`` lines and the ends
+of a run that fill no chunk stay.
+
+A piece that stands in several places is a repeat: the first place (smallest document id, then row, then position)
+keeps its lines as far as this piece goes, and the others lose them once their bytes have been compared with the
+first's. A line that goes always has an equal line that stays, in an earlier place.
+
+Results: null text stays null; a document of which no line, or blank lines alone, are left goes, all others stay,
+with ``text`` and ``n_chars`` (where there is one) as they then are. Documents without repeats are untouched, blank
+pieces are no repeats, and rows with a null id are left alone. Rows with one id are told apart by a hash of their
+text; equal rows count as one place. Extra columns pass through; those named like the operator's own (``places``,
 ``kept``, ``removed_lines``, ``row_key_``, ``gone_id``, ``gone_key``) are replaced or left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -25,7 +33,9 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import map_batches, written
 
 SPAN, PERIOD, LEAST = 2, 3, 2
-#: Hashes of repeated chunks that may be broadcast, 8 bytes each.
+#: A line of more words than these is a piece by itself.
+LONG = 50
+#: Hashes of repeated pieces that may be broadcast, 8 bytes each.
 BROADCAST_HASHES = 1_000_000
 #: Numbers in the list of removed places that may be broadcast; a longer list meets the texts in a shuffle.
 BROADCAST_PLACES = 4_000_000
@@ -53,46 +63,74 @@ def _row_key(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
-def chunk_table(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """``(doc_id, row_key, at, hash, body)`` of every chunk of ``least`` lines or more."""
+def windows(text: str) -> list[tuple[int, int]]:
+    """Windows of ``SPAN`` lines that are not blank, with the blank lines between them, and long lines, as (first line, line after)."""
+    lines = text.split("\n")
+    full = [at for at, line in enumerate(lines) if line and not line.isspace()]
+    out = [(start, end + 1) for start, end in zip(full, full[SPAN - 1 :], strict=False)]
+    return out + [(at, at + 1) for at in full if len(lines[at].split()) > LONG]
+
+
+def _least(least: int) -> Callable[[str], list[tuple[int, int]]]:
+    return lambda text: [(start, end) for start, end in chunks(text) if end - start >= least]
+
+
+def piece_table(docs: DataFrame, pieces: Callable[[str], list[tuple[int, int]]], bodies: bool) -> DataFrame:
+    """``(doc_id, row_key, at, after, hash)`` of every piece, and its ``body``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys, places, hashes, bodies = [], [], [], [], []
+            ids, keys, places, afters, hashes, found = [], [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 key, lines = _row_key(text), text.split("\n")
-                for start, end in chunks(text):
-                    if end - start >= least and (body := "\n".join(lines[start:end])).strip():
+                for start, end in pieces(text):
+                    if (body := "\n".join(lines[start:end])).strip():
                         ids.append(doc_id)
                         keys.append(key)
                         places.append(start)
+                        afters.append(end)
                         hashes.append(_row_key(body))
-                        bodies.append(body)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(hashes, pa.int64()), pa.array(bodies, pa.string())], ["doc_id", "row_key", "at", "hash", "body"])
+                        if bodies:
+                            found.append(body)
+            columns = [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(afters, pa.int32()), pa.array(hashes, pa.int64())]
+            names = ["doc_id", "row_key", "at", "after", "hash"]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(found, pa.string())] * bodies, names + ["body"] * bodies)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    return map_batches(rows, run, "doc_id long, row_key long, at int, hash long, body string")
+    return map_batches(rows, run, "doc_id long, row_key long, at int, after int, hash long" + ", body string" * bodies)
 
 
-def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """``(doc_id, row_key, places)``: first lines of the chunks that go, by document."""
-    table = written(chunk_table(docs, least), "chunks")
-    place = F.struct("doc_id", "row_key", "at")
-    by_hash = table.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
+def repeats(docs: DataFrame, pieces: Callable[[str], list[tuple[int, int]]]) -> DataFrame:
+    """``(doc_id, row_key, places)``: lines that go, as (first line, line after), by document."""
+    place = F.struct("doc_id", "row_key", "at", "after")
+    by_hash = piece_table(docs, pieces, False).groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
     repeated = written(by_hash.select("hash", "first"), "repeated")
     few = repeated.count() <= BROADCAST_HASHES
-    found = written(table.join(F.broadcast(repeated) if few else repeated, "hash").withColumn("is_first", place == F.col("first")), "repeats")
+    # Bodies are made again for repeats alone: those of all pieces would be the texts twice over.
+    found = written(piece_table(docs, pieces, True).join(F.broadcast(repeated) if few else repeated, "hash").withColumn("is_first", place == F.col("first")), "repeats")
     first = found.where("is_first").groupBy("hash").agg(F.first("body").alias("first_body"))
     # One row of a hash meets all its repeats; a hash with many is split by the adaptive skew join.
     equal = found.where("not is_first").join(first, "hash").where("body = first_body")
-    return equal.groupBy("doc_id", "row_key").agg(F.collect_set("at").alias("places"))
+    # A piece that overlaps its own first place leaves that one's lines.
+    own = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("row_key") == F.col("first.row_key"))
+    start = F.when(own, F.greatest("at", "first.after")).otherwise(F.col("at"))
+    return equal.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct(start.alias("at"), "after")).alias("places"))
 
 
 def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """Documents without repeated chunks; ``removed_lines`` tells how many lines went, ``kept`` whether any line is left."""
+    """Documents without repeated chunks of ``least`` lines; columns as in ``remove_runs``."""
+    return _remove(docs, _least(least))
+
+
+def remove_runs(docs: DataFrame) -> DataFrame:
+    """Documents without repeated runs of lines; ``removed_lines`` tells how many lines went, ``kept`` whether any line is left."""
+    return _remove(docs, windows)
+
+
+def _remove(docs: DataFrame, pieces: Callable[[str], list[tuple[int, int]]]) -> DataFrame:
     docs = docs.drop("removed_lines", "kept", "places", "row_key_", "gone_id", "gone_key")
-    gone = written(repeats(docs, least).withColumnsRenamed({"doc_id": "gone_id", "row_key": "gone_key"}), "gone")
-    places = gone.agg(F.sum(F.size("places") + 4)).first()[0] or 0
+    gone = written(repeats(docs, pieces).withColumnsRenamed({"doc_id": "gone_id", "row_key": "gone_key"}), "gone")
+    places = gone.agg(F.sum(2 * F.size("places") + 4)).first()[0] or 0
     gone = F.broadcast(gone) if places <= BROADCAST_PLACES else gone
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,11 +152,12 @@ def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
                     removed.append(0)
                     kept.append(True)
                     continue
-                lines, taken = text.split("\n"), set(places)
-                left = [line for start, end in chunks(text) if start not in taken for line in lines[start:end]]
+                lines = text.split("\n")
+                taken = {at for place in places for at in range(place["at"], place["after"])}
+                left = [line for at, line in enumerate(lines) if at not in taken]
                 texts.append("\n".join(left))
                 removed.append(len(lines) - len(left))
-                kept.append(bool(left))
+                kept.append(any(line and not line.isspace() for line in left))
             columns = {n: batch.column(names.index(n)) for n in names if n != "places"} | {"text": pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(removed, pa.int64()), pa.array(kept, pa.bool_())], [*columns, "removed_lines", "kept"])
 

@@ -60,7 +60,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, removed lines, whether it stays, and a digest of the text that is left (of '' for null)."""
     from siltstone.llm import line_dedup
 
-    found = line_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    found = line_dedup.remove_runs(table(spark, sf_dir, "documents"))
     left = F.coalesce("text", F.lit(""))
     return found.select("doc_id", F.length(left).cast("long").alias("n_chars"), "removed_lines", "kept", F.sha2(left, 256).alias("text_sha256"))
 

@@ -202,6 +202,51 @@ def test_line_dedup_equals_brute_force(spark):
     assert line_dedup.remove_repeats(docs(spark, [])).count() == 0
 
 
+def brute_runs(texts):
+    """Lines that go because a window or a long line over them stands in an earlier place as well."""
+    seen, out = {}, {}
+    for n, text in enumerate(texts):
+        if text is None:
+            out[n] = None
+            continue
+        lines, gone = text.split("\n"), set()
+        full = [at for at, line in enumerate(lines) if line.strip()]
+        for start, end in [*zip(full, full[1:], strict=False), *((at, at) for at in full if len(lines[at].split()) > line_dedup.LONG)]:
+            doc, _, last = seen.setdefault("\n".join(lines[start : end + 1]), (n, start, end))
+            if (doc, _, last) != (n, start, end):
+                gone |= {at for at in range(start, end + 1) if doc != n or at > last}
+        left = [line for at, line in enumerate(lines) if at not in gone]
+        if not gone or any(line.strip() for line in left):
+            out[n] = "\n".join(left)
+    return out
+
+
+def test_repeated_runs_go_whole(spark):
+    draw = random.Random(4)
+    fresh = lambda n: [f"own {draw.random()} of it" for _ in range(n)]
+    passages = [[f"passage {n} line {k}" for k in range(2 + n % 4)] for n in range(12)]
+    texts = ["\n".join([*fresh(2), *p, *fresh(1)]) for p in passages]
+    texts += ["\n".join([*fresh(draw.randint(1, 4)), *p, *fresh(draw.randint(1, 4))]) for p in passages for _ in range(4)]
+    long = "long line " * 26
+    texts += ["\n".join([*fresh(1), long, *fresh(1)]) for _ in range(3)] + ["a\n\nb\n", "x\na\n\nb", "a\n\nb\n\n", "a\nb", "\n\n", None, "", "one", "one", "\n".join(["z"] * 5)]
+    texts += texts[:70:7]
+    got = line_dedup.remove_runs(docs(spark, texts, extra=True)).where("kept").collect()
+    left = {r.doc_id: r.text for r in got}
+    assert left == brute_runs(texts)
+    assert all(r.key == "x" and (r.removed_lines == 0 or r.n_chars == len(r.text)) for r in got)
+    for p in passages:
+        assert [n for n, t in left.items() if t and set(p) & set(t.split("\n"))] == [passages.index(p)]
+    assert sum(long in (t or "") for t in left.values()) == 1
+    assert line_dedup.remove_runs(docs(spark, [])).count() == 0
+
+
+def test_runs_of_few_lines_equal_brute_force(spark):
+    draw = random.Random(10)
+    texts = ["\n".join(draw.choice(["a", "b", "c", "d", "", "e"]) for _ in range(draw.randint(0, 9))) for _ in range(80)]
+    got = line_dedup.remove_runs(docs(spark, texts)).where("kept").collect()
+    assert {r.doc_id: r.text for r in got} == brute_runs(texts)
+
+
 def test_chunks_are_shift_resistant():
     lines = [f"text of line {n}" for n in range(400)]
     bodies = lambda t: {tuple(t.split("\n")[a:b]) for a, b in line_dedup.chunks(t)}

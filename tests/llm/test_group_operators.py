@@ -254,6 +254,22 @@ def test_pipeline_equals_its_stages(spark):
     assert last == {r.doc_id for r in found.collect()} and last <= left
 
 
+def test_no_exact_copy_reaches_the_end(spark, tmp_path):
+    import corpus_pipeline
+
+    source = spark.read.parquet(f"{SF}/documents.parquet")
+    planted = source.where("length(text) > 0 and doc_id % 3 = 0").withColumn("doc_id", F.col("doc_id") + 1_000_000)
+    source.unionByName(planted).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    first = {}
+    for row in source.orderBy("doc_id").collect():
+        first.setdefault(row.text, row.doc_id)
+    firsts = {n for text, n in first.items()}
+    assert planted.count() > 50
+    last = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert last and last <= firsts
+
+
 def test_every_operator_has_a_query():
     import __spark_entry__
 

@@ -4,7 +4,8 @@ Vectors are scaled to length 1 and cut into pieces of ``PIECE`` dimensions; each
 centroids, four bits. Codes and centroids minimise a loss that weighs the residual's part parallel to the
 vector ``WEIGHT`` times as much as the rest, for that part changes the largest inner products. A query's
 table of products with the centroids, two pieces to a byte, scores every code by look-ups; the best of each
-chunk are scored again with the original vectors in double precision.
+chunk are scored again with the original vectors in double precision. Rows of equal code share one place among
+the best, so copies of a vector push no other out; of equal vectors a chunk scans those with the smallest ids.
 
 Centroids are fitted on a bounded sample: the ``SAMPLE`` vectors with the smallest hash of their id. Every row
 is indexed. Rows are packed into chunks of ``CHUNK`` where they lie; queries are packed into blocks, which go
@@ -33,7 +34,7 @@ PIECE, CENTROIDS = 2, 16
 WEIGHT = 4.0
 SAMPLE, ROUNDS = 8192, 8
 CHUNK, BLOCK = 2048, 1024
-#: Of a chunk's rows, the share that is scored exactly for each query.
+#: Of a chunk's rows, the share of places for codes whose rows are scored exactly for each query.
 RERANK = 1 / 16
 
 
@@ -201,17 +202,27 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, rerank: float =
                 ids, queries_ids = (np.frombuffer(batch.column(c)[n].as_py(), np.int64) for c in (0, 3))
                 x, q = (np.frombuffer(batch.column(c)[n].as_py(), np.float64).reshape(-1, coder.dims) for c in (1, 4))
                 codes = np.frombuffer(batch.column(2)[n].as_py(), np.uint8).reshape(len(ids), -1)
-                least = min(len(ids), max(4 * k + 4, int(len(ids) * rerank)))
+                places = max(4 * k + 4, int(len(ids) * rerank))
+                rows = leading(ids, x, k)
+                ids, x = ids[rows], x[rows]
+                codes, code = np.unique(codes[rows], axis=0, return_inverse=True)
+                code = code.reshape(-1)
                 for start in range(0, len(q), 256):
                     part, part_ids = q[start : start + 256], queries_ids[start : start + 256]
                     score = scan(coder.tables(part), codes)
-                    best = np.argpartition(-score, least - 1, axis=1)[:, :least] if least < len(ids) else np.tile(np.arange(len(ids)), (len(part), 1))
-                    exact = cosines(part, x, best)
-                    exact[ids[best] == part_ids[:, None]] = -np.inf
-                    order = np.lexsort((ids[best], -exact))[:, :k]
-                    found, top = np.take_along_axis(ids[best], order, 1), np.take_along_axis(exact, order, 1)
-                    real = top > -np.inf
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part_ids, real.sum(1))), pa.array(found[real]), pa.array(top[real])], ["query_id", "vec_id", "score"])
+                    cut = -np.partition(-score, places - 1, axis=1)[:, places - 1 : places] if places < len(codes) else -np.inf
+                    score = score[:, code]
+                    most = int((score >= cut).sum(1).max())
+                    # Many rows of one code are met by fewer queries at once.
+                    step = max(1, 256 * places // most)
+                    for own in (slice(n, n + step) for n in range(0, len(part), step)):
+                        best = np.argpartition(-score[own], most - 1, axis=1)[:, :most] if most < len(ids) else np.tile(np.arange(len(ids)), (len(part[own]), 1))
+                        exact = cosines(part[own], x, best)
+                        exact[ids[best] == part_ids[own, None]] = -np.inf
+                        order = np.lexsort((ids[best], -exact))[:, :k]
+                        found, top = np.take_along_axis(ids[best], order, 1), np.take_along_axis(exact, order, 1)
+                        real = top > -np.inf
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part_ids[own], real.sum(1))), pa.array(found[real]), pa.array(top[real])], ["query_id", "vec_id", "score"])
 
     found = map_batches(cells, run, kinds)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -219,6 +230,26 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, rerank: float =
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
+def leading(ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+    """Rows that can be among the k nearest of any query: of equal vectors those with the smallest ids.
+
+    A query's own id is no neighbour, so beside k rows as many stay as one id has among these vectors.
+    """
+    # Adding 0.0 makes -0.0 and 0.0 equal bytes.
+    keys = np.ascontiguousarray(vectors + 0.0).view(np.dtype((np.void, vectors.shape[1] * vectors.itemsize))).reshape(-1)
+    _, kind = np.unique(keys, return_inverse=True)
+    kind = kind.reshape(-1)
+    order = np.lexsort((ids, kind))
+    kinds, sorted_ids, at = kind[order], ids[order], np.arange(len(ids))
+    new_kind = np.r_[True, kinds[1:] != kinds[:-1]]
+    new_id = new_kind | np.r_[True, sorted_ids[1:] != sorted_ids[:-1]]
+    starts = np.flatnonzero(new_id)
+    most = np.zeros(kinds.max() + 1, int)
+    np.maximum.at(most, kinds[starts], np.diff(np.r_[starts, len(ids)]))
+    rank = at - np.flatnonzero(new_kind)[kinds]
+    return np.sort(order[rank < k + most[kinds]])
+
+
 def cosines(queries: np.ndarray, vectors: np.ndarray, picked: np.ndarray) -> np.ndarray:
     """Cosines of each query and its picked vectors in double precision; extreme magnitudes are scaled first."""
     with np.errstate(over="ignore", under="ignore"):

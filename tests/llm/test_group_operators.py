@@ -150,6 +150,33 @@ def test_recall_against_brute_force(spark):
     assert hits / total >= 0.9
 
 
+def test_recall_beside_a_hot_vector(spark):
+    draw = np.random.default_rng(8)
+    x = draw.normal(size=(2000, 24))
+    hot = draw.permutation(2000)[:700]
+    x[hot] = x[hot[0]]
+    x[hot[1:200]] *= 2.0 ** draw.integers(1, 5, (199, 1))
+    # Queries whose true neighbours lie just before and after the copies.
+    for n, q in enumerate(np.setdiff1d(np.arange(2000), hot)[:20]):
+        x[q] = x[hot[0]] / np.linalg.norm(x[hot[0]]) + 0.15 * draw.normal(size=24)
+    ids = draw.permutation(10_000)[:2000]
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)]
+    made = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(1)
+    near = np.setdiff1d(np.arange(2000), hot)[:60]
+    asked = made.where(F.col("vec_id").isin([int(ids[q]) for q in [*near, *hot[:40:8]]]))
+    found = {}
+    for r in ann.nearest(asked, made, 5).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    hits = 0
+    for q in near:
+        hits += len(set(found[int(ids[q])]) & {n for n, _ in exact(x, ids, q, 5)})
+    assert hits / (5 * len(near)) >= 0.97
+    for q in hot[:40:8]:
+        assert found[int(ids[q])] == [n for n, _ in exact(x, ids, q, 5)]
+    few = np.array([9, 3, 1, 2, 8, 1])
+    assert few[ann.leading(few, np.ones((6, 2)), 1)].tolist() == [3, 1, 2, 1][1:]
+
+
 def test_vector_edges(spark):
     rows = [(0, [1.0, 0.0, 0.0]), (1, [2.0, 0.0, 0.0]), (2, [3.0, 0.0, 0.0]), (3, [0.0, 1e-30, 0.0]), (4, None), (5, [0.0, 0.0, 0.0]), (6, [1.0, None, 0.0]), (7, [1.0, float("nan"), 0.0]), (8, [1.0, float("inf"), 0.0]), (9, [1.0]), (None, [1.0, 0.0, 0.0]), (1, [-1.0, 0.0, 0.0])]
     made = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).withColumn("part", F.lit(1))

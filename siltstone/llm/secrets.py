@@ -74,7 +74,7 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     by_rule = blobs.select("blob", F.explode(F.array(*[_matches(r) for r in rules])).alias("m")).where("m.found is not null")
     each = by_rule.select("blob", "m.kind", "m.rank", F.posexplode("m.found").alias("n", "x")).where("x.hit is not null")
     sizes = each.select("blob", "kind", "rank", "n", F.col("x.gap").alias("gap"), F.length("x.hit").alias("size"), F.col("x.hit").alias("hit"))
-    ends = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("blob", "kind").orderBy("n"))
+    ends = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("blob", "kind").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = sizes.withColumn("end", ends)
     least = F.lit(True)
     for rule in rules:
@@ -89,6 +89,8 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, findings: DataFra
     keyed = content_addressed(versions, path, text)
     new = written(unseen(keyed, ledger, version), "ledger-new")
     bodies = keyed.alias("k").join(new.alias("n"), (F.col("k.blob") == F.col("n.blob")) & F.col("k.path").eqNullSafe(F.col("n.path"))).select("k.blob", "k.body")
+    # Repeated rows have the chosen path as well; a blob is scanned once.
+    bodies = bodies.dropDuplicates(["blob"])
     found = written(scan_blobs(bodies, rules).withColumn("findings", F.array_distinct("findings")).withColumn("rule_version", F.lit(version)), "ledger-findings")
     found = found if findings is None else findings.unionByName(found)
     seen = new.select("blob", F.lit(version).alias("rule_version"))

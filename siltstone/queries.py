@@ -389,6 +389,14 @@ def quote_anchors(spark, sf_dir):
     return recounts.anchors(quotes, rows).select("doc_id", "quote_no", "chunk_id")
 
 
+@query()
+def quote_anchors_whole(spark, sf_dir):
+    """Every second line of every document sought among all its lines; tests hold it against brute force."""
+    rows = lines(spark, sf_dir)
+    quotes = rows.where("chunk_id % 2 = 1").select("doc_id", F.floor(F.col("chunk_id") / 2).cast("int").alias("quote_no"), F.col("text").alias("quote"))
+    return recounts.anchors(quotes, rows).select("doc_id", "quote_no", "chunk_id")
+
+
 @query("SELECT doc_id, CASE WHEN n_chars % 3 = 0 THEN NULL ELSE n_chars % 7 + 1 - CASE WHEN n_chars % 3 = 1 THEN 1 ELSE 0 END END AS revised FROM documents")
 def arbitration(spark, sf_dir):
     """Replies that quote the document's first words as missing, with an invented extra, or no sections."""

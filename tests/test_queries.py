@@ -40,6 +40,27 @@ def test_rows_equal_sql(spark, duck, name):
     assert got == want
 
 
+def test_quotes_are_sought_in_all_lines(spark, tmp_path):
+    """Lines that hold others and lines that repeat: a line that an earlier quote took is not free."""
+    import random
+
+    draw = random.Random(12)
+    words = ["alpha", "beta", "gamma"]
+    texts = ["\n".join(" ".join(draw.choice(words) for _ in range(draw.randint(1, 3))) for _ in range(draw.randint(1, 12))) for _ in range(120)]
+    texts.append("\n".join(f"line {'x' * n} end" for n in range(60)))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want, not_free = set(), 0
+    for doc, source in enumerate(texts):
+        found, taken = source.split("\n"), []
+        for quote in found[1::2]:
+            not_free += any(quote in found[n] for n in taken)
+            taken.append(next((n for n, line in enumerate(found) if quote in line and n not in taken), None))
+        if None not in taken:
+            want |= {(doc, n, at) for n, at in enumerate(taken)}
+    got = {(r.doc_id, r.quote_no, r.chunk_id) for r in QUERIES["quote_anchors_whole"](spark, str(tmp_path)).collect()}
+    assert got == want and not_free > 50 and max(at for _, _, at in got) > 50 and max(n for _, n, _ in got) > 20
+
+
 def test_core_stands_without_the_llm_package():
     import subprocess
     import sys

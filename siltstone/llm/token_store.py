@@ -32,22 +32,31 @@ from siltstone.llm.common import gathered, map_batches, written
 END_ID = 2
 #: Words in each generation that a worker remembers.
 MEMO_WORDS = 500_000
-#: New words are encoded in lines of 50, a digit between two of them: the tokenizer keeps digits apart, and
-#: words with that digit go one by one.
-SEPARATOR = "7"
-SEPARATOR_WORD = f" {SEPARATOR} "
-#: Latin letters of the first blocks of Unicode (but for one whose small form has a mark), and marks that close words.
-LETTERS, TAILS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]", (".", ",")
+#: Latin letters whose words are their own normal form once small (but for one whose small form has a mark), and marks that close words (but for the apostrophe, which the tokenizer's rule puts to letters).
+LETTERS, MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]", "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Plain words in one call of the library.
+LINE_WORDS = 50
 #: Bytes of texts whose distinct words are looked up together.
 GATHER_BYTES = 8 << 20
 STRIPE_BYTES, STRIDE = 16 << 20, 2000
 
 
+def _plain_library(whole):
+    """The tokenizer for lines of small Latin words: its splitting rule finds each of them whole, so blanks suffice."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    made = Tokenizer.from_str(whole.to_str())
+    made.normalizer = normalizers.Sequence([])
+    made.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return made
+
+
 class WordEncoder:
     """Ids of whole texts by way of their distinct words.
 
     Words are remembered in two generations: a full young one becomes the old one, and what is still used
-    moves back, so frequent words stay and memory is bounded.
+    moves back, so frequent words stay and memory is bounded. The last id of a word is marked as such in the
+    vocabulary, so plain words go to the library many in a line and come apart at these ids.
     """
 
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
@@ -55,76 +64,93 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        (self.separator_id,) = self.library.encode(SEPARATOR, add_special_tokens=False).ids
-        self.tail_ids = [i for tail in TAILS for i in self.library.encode(tail, add_special_tokens=False).ids]
+        self.plain = _plain_library(self.library)
+        suffix = self.library.model.end_of_word_suffix
+        self.closes = np.zeros(self.library.get_vocab_size(), bool)
+        self.closes[[i for token, i in self.library.get_vocab().items() if suffix and token.endswith(suffix)]] = True
+        self.tails: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.memo_words = memo_words
 
-    def _of_words(self, words: list[str]) -> list[bytes]:
+    def _one(self, word: str) -> bytes:
+        made = self.library.encode(word, add_special_tokens=False)
+        return struct.pack(f"<{len(made)}I", *made.ids)
+
+    def _plain_words(self, words: list[str]) -> list[bytes]:
+        """Ids of small Latin words."""
+        out: list[bytes] = []
+        for start in range(0, len(words), 5000):
+            part = words[start : start + 5000]
+            lines = [" ".join(part[k : k + LINE_WORDS]) for k in range(0, len(part), LINE_WORDS)]
+            ids = np.concatenate([np.array(made.ids, "<u4") for made in self.plain.encode_batch_fast(lines, add_special_tokens=False)])
+            ends = (4 * np.flatnonzero(self.closes[ids]) + 4).tolist()
+            if len(ends) != len(part):
+                out += map(self._one, part)
+                continue
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
+
+    def _of_tails(self, tails: list[str]) -> pa.Array:
+        if len(self.tails) + len(tails) > self.memo_words:
+            self.tails = {}
+        for tail in tails:
+            if tail not in self.tails:
+                self.tails[tail] = self._one(tail)
+        return pa.array([self.tails[tail] for tail in tails], pa.binary())
+
+    def _of_words(self, words: list[str], plain: list[bool]) -> list[bytes]:
         if len(self.young) + len(words) > self.memo_words:
             self.young, self.old = {}, self.young
         young, found = self.young, list(map(self.young.get, words))
         missing = [n for n, ids in enumerate(found) if ids is None]
-        new = []
+        easy, hard = [], []
         for n in missing:
             ids = self.old.get(words[n])
             if ids is None:
-                new.append(n)
+                (easy if plain[n] else hard).append(n)
             else:
                 found[n] = young[words[n]] = ids
-        joined = [n for n in new if SEPARATOR not in words[n]]
-        for start in range(0, len(joined), 5000):
-            part = joined[start : start + 5000]
-            lines = [(SEPARATOR_WORD.join([words[n] for n in part[k : k + 50]]) + SEPARATOR_WORD) for k in range(0, len(part), 50)]
-            ids = np.concatenate([np.array(made.ids, "<u4") for made in self.library.encode_batch_fast(lines, add_special_tokens=False)])
-            ends = np.flatnonzero(ids == self.separator_id).tolist()
-            if len(ends) != len(part):
-                raise AssertionError("a word holds the separator's id")
-            data, at = ids.tobytes(), 0
-            for n, end in zip(part, ends, strict=True):
-                found[n] = young[words[n]] = data[at : 4 * end]
-                at = 4 * end + 4
-        for n in new:
-            if found[n] is None:
-                made = self.library.encode(words[n], add_special_tokens=False)
-                found[n] = young[words[n]] = struct.pack(f"<{len(made)}I", *made.ids)
+        for part, made in ((easy, self._plain_words([words[n] for n in easy])), (hard, map(self._one, [words[n] for n in hard]))):
+            for n, ids in zip(part, made, strict=True):
+                found[n] = young[words[n]] = ids
         return found
 
     def encode(self, texts: pa.Array, end_id: int) -> pa.ListArray:
         """Lists of ids, each with the end id; nulls are empty texts."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = split.flatten().dictionary_encode()
-        tailed, keys = _parts(coded.dictionary)
-        pieces = [*self._of_words(keys.dictionary.to_pylist()), *(struct.pack("<I", i) for i in (*self.tail_ids, end_id))]
-        sizes = np.array([len(ids) // 4 for ids in pieces], np.int32)
-        flat, starts = np.frombuffer(b"".join(pieces), "<i4"), np.cumsum(sizes, dtype=np.int64) - sizes
-        # A word is one piece, or two with a mark after it; a text ends with the piece of the end id.
-        word, tail = coded.indices.to_numpy(), tailed.to_numpy()
-        count = np.where(tail < 0, 1, 2).astype(np.int32)[word]
-        order = np.repeat(keys.indices.to_numpy()[word], count)
-        place = np.cumsum(count, dtype=np.int64)
-        marks = np.flatnonzero(count == 2)
-        order[place[marks] - 1] = tail[word[marks]] + len(keys.dictionary)
-        ends = np.concatenate(([0], place))[np.cumsum(pc.list_value_length(split).to_numpy(), dtype=np.int64)]
-        order = np.insert(order, ends, len(pieces) - 1)
-        size = sizes[order]
-        stop = np.cumsum(size, dtype=np.int64)
-        ids = flat[np.repeat(starts[order] - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
-        offsets = np.concatenate(([0], stop[ends + np.arange(len(texts))])).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
-
-
-def _parts(words: pa.Array) -> tuple[pa.Array, pa.DictionaryArray]:
-    """For each word the number of its closing mark, or -1, and what is left of it.
-
-    The tokenizer keeps letters and marks apart and takes capitals as small letters. So Latin letters and one
-    full stop or comma are the letters' ids and the mark's, and capital A-Z are small ones.
+        keys, tails = _parts(coded.dictionary)
+        plain = pc.match_substring_regex(keys.dictionary, PLAIN).to_pylist()
+        pieces = pa.array(self._of_words(keys.dictionary.to_pylist(), plain), pa.binary())
+        # A word is its letters' ids and its marks'; a text is its words' and the end id.
+        whole = pc.binary_join_element_wise(pieces.take(keys.indices), self._of_tails(tails.dictionary.to_pylist()).take(tails.indices), pa.scalar(b"", pa.binary()))
+        whole = pa.concat_arrays([whole, pa.array([struct.pack("<I", end_id)], pa.binary())])
+        ends = np.cumsum(pc.list_value_length(split).to_numpy(), dtype=np.int64)
+        laid = whole.take(pa.array(np.insert(coded.indices.to_numpy(), ends, len(whole) - 1)))
+        _, bounds, data = laid.buffers()
+        stops = np.frombuffer(bounds, np.int32)[: len(laid) + 1]
+        offsets = np.concatenate(([0], stops[ends + np.arange(1, len(texts) + 1)])).astype(np.int32) // 4
+        ids = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, data])
+        return pa.ListArray.from_arrays(pa.array(offsets), ids)
+
+
+PLAIN = f"^{LETTERS}+$"
+
+
+def _parts(words: pa.Array) -> tuple[pa.DictionaryArray, pa.DictionaryArray]:
+    """Each word less its closing marks, and these marks.
+
+    The tokenizer keeps letters and marks apart, takes a run of marks as one piece and capitals as small
+    letters. So Latin letters with marks behind them are the letters' ids and the marks', and Latin words are
+    small ones. Any other word stays whole and has no marks.
     """
-    tailed = pc.match_substring_regex(words, f"^{LETTERS}+[{''.join(TAILS)}]$")
-    mark = pc.cast(pc.case_when(pc.make_struct(*(pc.and_(tailed, pc.ends_with(words, t)) for t in TAILS)), *(pa.scalar(n) for n in range(len(TAILS))), pa.scalar(-1)), pa.int64())
-    left = pc.if_else(tailed, pc.utf8_slice_codeunits(words, 0, -1), words)
-    return mark, pc.if_else(pc.match_substring_regex(left, "^[A-Za-z]+$"), pc.ascii_lower(left), left).dictionary_encode()
+    left = pc.utf8_rtrim(words, MARKS)
+    latin = pc.match_substring_regex(left, PLAIN)
+    keys = pc.if_else(latin, pc.utf8_lower(left), words)
+    tails = pc.replace_substring_regex(pc.if_else(latin, words, ""), f"^{LETTERS}+", "")
+    return keys.dictionary_encode(), tails.dictionary_encode()
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

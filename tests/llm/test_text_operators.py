@@ -424,3 +424,30 @@ def test_pipeline_stages_take_any_rows(spark):
             else:
                 assert found == []
         assert corpus_pipeline.STAGES[-1][1](spark, frame, SF).count() == frame.count()
+
+
+def test_plain_letters_and_marks_equal_whole_texts():
+    import pyarrow as pa
+
+    encoder = token_store.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    letters = [c for c in map(chr, range(0x180)) if re.fullmatch(token_store.LETTERS, c)]
+    texts = [form for c in letters for form in (c, f"a{c}b", f"{c}{c}", f"{c}́", f"{c}.,", f"x{c}y%%%")]
+    texts += [f"{word}{mark}{more}" for word in ("word", "Émile", "x") for mark in [*token_store.MARKS, "'", "’", "!!", "<|endoftext|>", "-_-", "…"] for more in ("", "s", "'s", " s", ".")]
+    for text, ids in zip(texts, encoder.encode(pa.array(texts), 2).to_pylist(), strict=True):
+        assert ids == [*encoder.library.encode(text, add_special_tokens=False).ids, 2], repr(text)
+
+
+def test_op8_equals_library_on_every_row(spark):
+    from tokenizers import Tokenizer
+
+    from siltstone.llm.queries import op8_token_store
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    sf = SF.replace("0.001", "0.01")
+    rows = sorted(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect(), key=lambda r: r.doc_id)
+    got, start = {r.doc_id: r for r in op8_token_store(spark, sf).collect()}, 0
+    assert len(got) == len(rows)
+    for row in rows:
+        ids = np.array([*library.encode(row.text or "", add_special_tokens=False).ids, 2], "<u4")
+        assert tuple(got[row.doc_id]) == (row.doc_id, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)

@@ -68,14 +68,14 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, l
 def secret_spans() -> str:
     def rows(rank: int, rule: secrets.Rule) -> str:
         p = rule.pattern.replace("'", "''")
-        return f"SELECT doc_id, '{rule.kind}' AS kind, {rank} AS rank, {rule.least} AS least, unnest(list_transform(string_split_regex(t, '{p}'), lambda x: length(x))) AS gap, unnest(list_append(regexp_extract_all(t, '{p}'), NULL)) AS hit, unnest(list_append(regexp_extract_all(t, '{p}', {rule.group}), NULL)) AS core, generate_subscripts(string_split_regex(t, '{p}'), 1) AS n FROM d"
+        return f"SELECT doc_id, '{rule.kind}' AS kind, {rank} AS rank, {rule.least} AS least, unnest(list_transform(string_split_regex(t, '{p}'), lambda x: length(x))) AS gap, unnest(list_append(regexp_extract_all(t, '{p}'), NULL)) AS hit, unnest(list_append(regexp_extract_all(t, '{p}', {rule.group}), NULL)) AS core, unnest(list_append(regexp_extract_all(t, '{p}', {rule.span}), NULL)) AS part, generate_subscripts(string_split_regex(t, '{p}'), 1) AS n FROM d"
 
     parts = " UNION ALL ".join(rows(n, rule) for n, rule in enumerate(secrets.RULES))
     kinds = ", ".join(f"count(*) FILTER (kind = '{rule.kind}') AS n_{rule.kind}" for rule in secrets.BASE)
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({parts}),
 e AS (SELECT *, sum(gap + coalesce(length(hit), 0)) OVER (PARTITION BY doc_id, kind ORDER BY n) AS stop FROM m),
-f AS (SELECT doc_id, kind, rank, kind || ':' || CAST(stop - length(hit) AS BIGINT) || ':' || CAST(stop AS BIGINT) AS span, stop - length(hit) AS start FROM e
+f AS (SELECT doc_id, kind, rank, kind || ':' || CAST(stop - length(part) AS BIGINT) || ':' || CAST(stop AS BIGINT) AS span, stop - length(part) AS start FROM e
   WHERE hit IS NOT NULL AND length(core) >= least)
 SELECT d.doc_id, {kinds}, sha256(coalesce(string_agg(span, ',' ORDER BY start, rank) FILTER (rank < {len(secrets.BASE)}), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY start, rank), '') AS spans
 FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id

@@ -26,6 +26,8 @@ class Rule:
     #: Characters that a group has at least.
     group: int = 0
     least: int = 1
+    #: The group that is the finding: what stands before it in a match is context.
+    span: int = 0
 
 
 #: Base rules in their order.
@@ -34,14 +36,15 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
-#: Further rules.
+#: Further rules. Runs are of one class each and start where no such run is open, so that every rule
+#: takes time in proportion to the text, and no group repeats, which Java's matcher would do by recursion.
 FURTHER = (
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN (?:[A-Z ]*[A-Z] )?PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("jwt", r"(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})", 0, 1, 1),
 )
-RULES, VERSION = BASE + FURTHER, "1"
+RULES, VERSION = BASE + FURTHER, "r2"
 
 
 def content_addressed(versions: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
@@ -51,8 +54,8 @@ def content_addressed(versions: DataFrame, path: str = "doc_id", text: str = "te
 
 
 def unseen(keyed: DataFrame, ledger: DataFrame | None, version: str = VERSION) -> DataFrame:
-    """One path for each blob that the ledger has not under this rule version."""
-    blobs = keyed.groupBy("blob").agg(F.min("path").alias("path"))
+    """The blobs that the ledger has not under this rule version."""
+    blobs = keyed.select("blob").distinct()
     if ledger is None:
         return blobs
     return blobs.join(ledger.where(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
@@ -80,7 +83,11 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     for rule in rules:
         if rule.least > 1:
             least = least & ((F.col("kind") != rule.kind) | (F.length(F.regexp_extract("hit", rule.pattern, rule.group)) >= rule.least))
-    kept = placed.where(least).select("blob", F.struct((F.col("end") - F.col("size")).alias("start"), F.col("rank"), F.col("end"), F.col("kind")).alias("f"))
+    size = F.col("size")
+    for rule in rules:
+        if rule.span:
+            size = F.when(F.col("kind") == rule.kind, F.length(F.regexp_extract("hit", rule.pattern, rule.span))).otherwise(size)
+    kept = placed.where(least).select("blob", F.struct((F.col("end") - size).alias("start"), F.col("rank"), F.col("end"), F.col("kind")).alias("f"))
     return kept.groupBy("blob").agg(F.array_sort(F.collect_list("f")).alias("findings"))
 
 
@@ -88,9 +95,10 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, findings: DataFra
     """``(paths with findings, ledger, findings by blob)``; the latter two are what the next call is given."""
     keyed = content_addressed(versions, path, text)
     new = written(unseen(keyed, ledger, version), "ledger-new")
-    bodies = keyed.alias("k").join(new.alias("n"), (F.col("k.blob") == F.col("n.blob")) & F.col("k.path").eqNullSafe(F.col("n.path"))).select("k.blob", "k.body")
-    # Repeated rows have the chosen path as well; a blob is scanned once.
-    bodies = bodies.dropDuplicates(["blob"])
+    # One body a blob, taken before texts are dealt: a blob that a third of all paths share is sent once a task.
+    bodies = keyed.groupBy("blob").agg(F.any_value("body").alias("body"))
+    if ledger is not None:
+        bodies = bodies.join(new, "blob", "left_semi")
     found = written(scan_blobs(bodies, rules).withColumn("findings", F.array_distinct("findings")).withColumn("rule_version", F.lit(version)), "ledger-findings")
     found = found if findings is None else findings.unionByName(found)
     seen = new.select("blob", F.lit(version).alias("rule_version"))

@@ -394,6 +394,28 @@ def test_op10_equals_brute_force(spark):
     assert secrets.scan(docs(spark, ["-----BEGIN RSA PRIVATE KEY-----"]))[2].first().findings[0].kind == "pem"
 
 
+def test_adversarial_texts_take_linear_time(spark):
+    import time
+
+    n = 1_000_000
+    parts = ["token ", "password=", "passwd" + " " * 500, "AKIA", "0123456789abcdef0123456 ", "-----BEGIN ", "-----BEGIN " + "AB " * 20_000, "ghp_", "gho_" + "a" * 35 + " ", "xoxb-", "xoxb-abc ", "eyJaaaaaaa", "-eyJ", "eyJ" + "a" * 12 + ".", "."]
+    texts = [(part * (n // len(part) + 1))[:n] for part in parts]
+    began = time.monotonic()
+    found, _, _ = secrets.scan(docs(spark, texts))
+    base = F.filter("findings", lambda f: f["rank"] < 3)
+    got = {r.path: r.base for r in found.select("path", secrets.rendered(base).alias("base")).collect()}
+    assert time.monotonic() - began < 60
+    assert got == {k: brute_secrets(t) for k, t in enumerate(texts)}
+
+
+def test_further_rules(spark):
+    token = "eyJ" + "a" * 12 + ".eyJ" + "b" * 12 + "." + "c" * 12
+    texts = [f"{token} x-{token} ({token})", "-----BEGIN PRIVATE KEY----- -----BEGIN EC PRIVATE KEY----- -----BEGIN FOOPRIVATE KEY-----", "ghp_" + "z" * 36 + " ghp_" + "z" * 35, "xoxb-1234567890"]
+    rows = secrets.scan(docs(spark, texts))[0].select("path", secrets.rendered(F.col("findings")).alias("spans")).collect()
+    a, step = len(token), len(token) + 3
+    assert {r.path: r.spans for r in rows} == {0: f"jwt:0:{a},jwt:{a + step + 2}:{2 * a + step + 2}", 1: "pem:0:27,pem:28:58", 2: "github:0:40", 3: "slack:0:15"}
+
+
 def test_words_equal_whole_texts():
     import pyarrow as pa
 

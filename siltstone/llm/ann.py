@@ -12,7 +12,8 @@ is indexed. Rows are packed into chunks of ``CHUNK`` where they lie; queries are
 once to each of ``parts`` groups of chunks, so neither side is collected. A group keeps each query's
 nearest only, and those meet in one aggregation.
 
-Results: a vector that is null, zero, or holds null or non-finite components takes no part, nor does one whose
+Results: repeated rows of one id and vector are one query, rows of one id with other vectors are queries of their
+own, each with ranks from 1. A vector that is null, zero, or holds null or non-finite components takes no part, nor does one whose
 length is not the most frequent one (the smaller of two such). Ties go to the smaller id. Rows that share an
 id with the query are not its neighbours; other repeated rows are neighbours of their own. Extra columns are
 not read. With fewer than k candidates all are returned.
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -184,12 +186,12 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, rerank: float =
     spark = vectors.sparkSession
     rows = usable(vectors)
     quantiser = fit(rows)
-    kinds = "query_id long, vec_id long, score double"
+    kinds = "query_id long, query long, vec_id long, score double"
     if quantiser is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     parts = parts or max(16, 4 * spark.sparkContext.defaultParallelism)
     chunks = written(_packed(rows, CHUNK, quantiser).withColumn("part", F.pmod(F.xxhash64("pack"), F.lit(parts)).cast("int")), "index")
-    asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & valid() & (F.size("embedding") == quantiser.dims))
+    asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & valid() & (F.size("embedding") == quantiser.dims)).distinct()
     few = max(1, -(-asked.count() // BLOCK))
     blocks = _packed(asked.repartition(few, F.xxhash64("vec_id")), BLOCK, None).select("pack", F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     cells = chunks.select("part", "ids", "vectors", "codes").join(blocks, "part").select("ids", "vectors", "codes", "query_ids", "query_vectors")
@@ -202,13 +204,15 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, rerank: float =
                 ids, queries_ids = (np.frombuffer(batch.column(c)[n].as_py(), np.int64) for c in (0, 3))
                 x, q = (np.frombuffer(batch.column(c)[n].as_py(), np.float64).reshape(-1, coder.dims) for c in (1, 4))
                 codes = np.frombuffer(batch.column(2)[n].as_py(), np.uint8).reshape(len(ids), -1)
+                # Tells queries of one id apart, whichever block or attempt they come from.
+                names = np.array([xxhash.xxh64_intdigest((v + 0.0).tobytes()) for v in q], np.uint64).view(np.int64)
                 places = max(4 * k + 4, int(len(ids) * rerank))
                 rows = leading(ids, x, k)
                 ids, x = ids[rows], x[rows]
                 codes, code = np.unique(codes[rows], axis=0, return_inverse=True)
                 code = code.reshape(-1)
                 for start in range(0, len(q), 256):
-                    part, part_ids = q[start : start + 256], queries_ids[start : start + 256]
+                    part, part_ids, part_names = q[start : start + 256], queries_ids[start : start + 256], names[start : start + 256]
                     score = scan(coder.tables(part), codes)
                     cut = -np.partition(-score, places - 1, axis=1)[:, places - 1 : places] if places < len(codes) else -np.inf
                     score = score[:, code]
@@ -222,10 +226,10 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, rerank: float =
                         order = np.lexsort((ids[best], -exact))[:, :k]
                         found, top = np.take_along_axis(ids[best], order, 1), np.take_along_axis(exact, order, 1)
                         real = top > -np.inf
-                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part_ids[own], real.sum(1))), pa.array(found[real]), pa.array(top[real])], ["query_id", "vec_id", "score"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part_ids[own], real.sum(1))), pa.array(np.repeat(part_names[own], real.sum(1))), pa.array(found[real]), pa.array(top[real])], ["query_id", "query", "vec_id", "score"])
 
     found = map_batches(cells, run, kinds)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 

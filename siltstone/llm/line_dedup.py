@@ -1,14 +1,14 @@
-"""Line dedup by content-defined chunks or by all runs of lines.
+"""Line dedup by content-defined chunks of lines.
 
-``remove_runs`` is what the query and the pipeline use. Its pieces are all windows of ``SPAN`` lines that are not
-blank, one beginning at every line, and every line of more than ``LONG`` words by itself. Windows overlap, so a
-repeated run of ``SPAN`` lines or more goes as a whole, wherever it begins and whatever stands beside it. Of lines
-that repeat alone, those of up to ``LONG`` words stay.
+Lines are hashed, and a rolling hash goes over the hashes of ``SPAN`` lines that are not blank, at every line.
+``remove_runs``, which the query and the pipeline use, chooses boundaries where that hash begins or ceases to be one
+that stands in several places: a chunk is a run of lines whose rolling hashes all repeat. Boundaries thus depend on
+the chunk's own lines alone, wherever it begins and whatever stands beside it, and a repeated run of ``SPAN`` lines or
+more goes as a whole. A line of more than ``LONG`` words is a chunk by itself; other lines that repeat alone stay.
 
-``remove_repeats`` takes out chunks alone: a rolling hash over the hashes of the last ``SPAN`` lines ends a chunk
-where it is 0 modulo ``PERIOD``. Whether a line ends a chunk depends on that line and the few before it alone, so
-lines that are put in or taken out shift no boundary further on. Chunks of fewer than ``LEAST`` lines and the ends
-of a run that fill no chunk stay.
+``remove_repeats`` chooses boundaries without a look at other documents, where the rolling hash is 0 modulo
+``PERIOD``. It keeps the head and the tail of each repeated run, up to the first boundary and from the last one on,
+and chunks of fewer than ``LEAST`` lines.
 
 A piece that stands in several places is a repeat: the first place (smallest document id, then row, then position)
 keeps its lines as far as this piece goes, and the others lose them once their bytes have been compared with the
@@ -42,10 +42,14 @@ BROADCAST_PLACES = 4_000_000
 FACTOR, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
+def _hash(line: str) -> int:
+    return xxhash.xxh64_intdigest(line.encode("utf-8", "replace"))
+
+
 def chunks(text: str, span: int = SPAN, period: int = PERIOD) -> list[tuple[int, int]]:
     """Chunks of a text's lines as (first line, line after)."""
     lines = text.split("\n")
-    hashes = [xxhash.xxh64_intdigest(line.encode("utf-8", "replace")) for line in lines]
+    hashes = list(map(_hash, lines))
     leaving = pow(FACTOR, span, 1 << 64)
     out, start, rolling = [], 0, 0
     for at, value in enumerate(hashes):
@@ -60,22 +64,34 @@ def chunks(text: str, span: int = SPAN, period: int = PERIOD) -> list[tuple[int,
 
 
 def _row_key(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
+    return _hash(text) - (1 << 63)
 
 
-def windows(text: str) -> list[tuple[int, int]]:
+def windows(lines: list[str]) -> list[tuple[int, int]]:
     """Windows of ``SPAN`` lines that are not blank, with the blank lines between them, and long lines, as (first line, line after)."""
-    lines = text.split("\n")
     full = [at for at, line in enumerate(lines) if line and not line.isspace()]
     out = [(start, end + 1) for start, end in zip(full, full[SPAN - 1 :], strict=False)]
     return out + [(at, at + 1) for at in full if len(lines[at].split()) > LONG]
 
 
-def _least(least: int) -> Callable[[str], list[tuple[int, int]]]:
-    return lambda text: [(start, end) for start, end in chunks(text) if end - start >= least]
+def _least(least: int) -> Callable[[list[str]], list[tuple[int, int]]]:
+    return lambda lines: [(start, end) for start, end in chunks("\n".join(lines)) if end - start >= least]
+
+
+def _rolled(hashes: list[int], pieces: list[tuple[int, int]]) -> Iterator[int]:
+    """The rolling hash over the line hashes of each piece: sums of powers, so that a piece costs two look-ups however long it is."""
+    total, sums = 0, [0]
+    for value in hashes:
+        total = (total * FACTOR + value) & MASK
+        sums.append(total)
+    powers = [1]
+    for start, end in pieces:
+        while len(powers) <= end - start:
+            powers.append(powers[-1] * FACTOR & MASK)
+        yield ((sums[end] - sums[start] * powers[end - start]) & MASK) - (1 << 63)
 
 
-def piece_table(docs: DataFrame, pieces: Callable[[str], list[tuple[int, int]]], bodies: bool) -> DataFrame:
+def piece_table(docs: DataFrame, pieces: Callable[[list[str]], list[tuple[int, int]]], bodies: bool) -> DataFrame:
     """``(doc_id, row_key, at, after, hash)`` of every piece, and its ``body``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,15 +99,15 @@ def piece_table(docs: DataFrame, pieces: Callable[[str], list[tuple[int, int]]],
             ids, keys, places, afters, hashes, found = [], [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 key, lines = _row_key(text), text.split("\n")
-                for start, end in pieces(text):
-                    if (body := "\n".join(lines[start:end])).strip():
-                        ids.append(doc_id)
-                        keys.append(key)
-                        places.append(start)
-                        afters.append(end)
-                        hashes.append(_row_key(body))
-                        if bodies:
-                            found.append(body)
+                full = [bool(line) and not line.isspace() for line in lines]
+                cut = [(start, end) for start, end in pieces(lines) if any(full[start:end])]
+                ids += [doc_id] * len(cut)
+                keys += [key] * len(cut)
+                places += [start for start, _ in cut]
+                afters += [end for _, end in cut]
+                hashes += _rolled(list(map(_hash, lines)), cut)
+                if bodies:
+                    found += ["\n".join(lines[start:end]) for start, end in cut]
             columns = [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(afters, pa.int32()), pa.array(hashes, pa.int64())]
             names = ["doc_id", "row_key", "at", "after", "hash"]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(found, pa.string())] * bodies, names + ["body"] * bodies)
@@ -100,7 +116,7 @@ def piece_table(docs: DataFrame, pieces: Callable[[str], list[tuple[int, int]]],
     return map_batches(rows, run, "doc_id long, row_key long, at int, after int, hash long" + ", body string" * bodies)
 
 
-def repeats(docs: DataFrame, pieces: Callable[[str], list[tuple[int, int]]]) -> DataFrame:
+def repeats(docs: DataFrame, pieces: Callable[[list[str]], list[tuple[int, int]]]) -> DataFrame:
     """``(doc_id, row_key, places)``: lines that go, as (first line, line after), by document."""
     place = F.struct("doc_id", "row_key", "at", "after")
     by_hash = piece_table(docs, pieces, False).groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
@@ -127,7 +143,7 @@ def remove_runs(docs: DataFrame) -> DataFrame:
     return _remove(docs, windows)
 
 
-def _remove(docs: DataFrame, pieces: Callable[[str], list[tuple[int, int]]]) -> DataFrame:
+def _remove(docs: DataFrame, pieces: Callable[[list[str]], list[tuple[int, int]]]) -> DataFrame:
     docs = docs.drop("removed_lines", "kept", "places", "row_key_", "gone_id", "gone_key")
     gone = written(repeats(docs, pieces).withColumnsRenamed({"doc_id": "gone_id", "row_key": "gone_key"}), "gone")
     places = gone.agg(F.sum(2 * F.size("places") + 4)).first()[0] or 0

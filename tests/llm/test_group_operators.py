@@ -187,6 +187,25 @@ def test_vector_edges(spark):
     assert ann.nearest(one, one, 5).count() == 0
 
 
+def test_repeated_queries(spark):
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(300, 8))
+    rows = [(n, v.tolist()) for n, v in enumerate(x)]
+    rows += [rows[50], rows[100], rows[100], (150, (-x[150]).tolist()), (None, x[0].tolist()), (50, None)]
+    made = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = {}
+    for r in ann.nearest(made.where("vec_id % 50 = 0"), made, 5).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    kept = [r for r in rows if r[0] is not None and r[1] is not None]
+    ids, every = np.array([r[0] for r in kept]), np.array([r[1] for r in kept])
+    assert sorted(found) == [0, 50, 100, 150, 200, 250]
+    for q, own in found.items():
+        vectors = {tuple(v) for n, v in kept if n == q}
+        assert sorted(r[0] for r in own) == sorted([1, 2, 3, 4, 5] * len(vectors)) and len(vectors) == 1 + (q == 150)
+        want = sorted((vec, round(score, 9)) for v in vectors for vec, score in exact(every, ids, kept.index((q, list(v))), 5))
+        assert sorted((vec, round(score, 9)) for _, vec, score in own) == want
+
+
 def test_quantiser_weighs_parallel_error():
     draw = np.random.default_rng(1)
     x = draw.normal(size=(4000, 16))
@@ -261,11 +280,11 @@ def test_op3_against_the_pages_markup(spark):
 
 def test_pipeline_equals_its_stages(spark):
     import corpus_pipeline
-    from test_text_operators import brute_lines
+    from test_text_operators import brute_runs
 
     source = spark.read.parquet(f"{SF}/documents.parquet")
     rows = source.orderBy("doc_id").collect()
-    texts = brute_lines([r.text for r in rows])
+    texts = brute_runs([r.text for r in rows])
     lines = {rows[n].doc_id: t for n, t in texts.items()}
     classes = brute_components(lines.items(), 5)
     left = {n for n, (_, _, kept) in classes.items() if kept}

@@ -236,7 +236,9 @@ def test_constant_nodes_are_template(spark):
     for n in range(30):
         assert got[n].text == f"Title {n} Body bolder {n} & more line {n} x{n}" and got[n].n_chars == len(got[n].text)
     few = {r.page_id: r.text for r in html.extract(pages(spark, sources[:3])).collect()}
-    assert few[1] == "Title 1 Body bolder 1 & more line 1 x1 y Subscribe to our letter"
+    assert few[1] == "Title 1 Body bolder 1 & more line 1 x1"
+    two = {r.page_id: r.text for r in html.extract(pages(spark, sources[:2])).collect()}
+    assert two[1] == "Title 1 Body bolder 1 & more line 1 x1 y Subscribe to our letter"
     copies = {r.text for r in html.extract(pages(spark, [sources[0]] * 40)).collect()}
     assert copies == {"Title 0 Body bolder 0 & more line 0 x0 y Subscribe to our letter"}
 
@@ -252,17 +254,106 @@ def test_pages_of_any_kind(spark):
 
 
 def test_tree_matching():
-    def tree(label, *children):
-        node = html.Node(label)
-        node.children = list(children)
-        return node
+    def tree(*nodes):
+        return html.Tree([html.LABEL[label] for label, _ in nodes], [parent for _, parent in nodes])
 
-    a = tree("body", tree("nav"), tree("div", tree("p")), tree("footer"))
-    b = tree("body", tree("ad"), tree("nav"), tree("div", tree("h1"), tree("p")))
-    score, pairs = html.match(a, b, {})
-    assert score == 4 and [x.label for x, _ in pairs] == ["nav", "div"]
-    assert html.match(a, tree("x"), {}) == (0, [])
-    assert [c.label for c in html.merge(a, b).children] == ["ad", "nav", "div", "footer"]
+    a = tree(("body", -1), ("nav", 0), ("div", 0), ("footer", 0), ("p", 2))
+    b = tree(("body", -1), ("aside", 0), ("nav", 0), ("div", 0), ("h1", 3), ("p", 3))
+    score, pairs = html.match(a, b, 0, 0, {})
+    assert score == 4 and pairs == [(1, 2), (2, 3)]
+    assert html.match(a, tree(("p", -1)), 0, 0, {}) == (0, [])
+    merged = html.merge(a, b)
+    assert [html.LABELS[merged.labels[n]] for n in merged.children[0]] == ["aside", "nav", "div", "footer"]
+    assert [html.LABELS[merged.labels[n]] for n in merged.children[2]] == ["h1", "p"]
+
+
+def test_matching_equals_brute_force():
+    draw = random.Random(12)
+
+    def best(a, b, x, y):
+        """The most pairs that any order-keeping choice of child pairs gives."""
+        if a.labels[x] != b.labels[y]:
+            return 0
+
+        def children(p, q):
+            if not p or not q:
+                return 0
+            return max(children(p[1:], q), children(p, q[1:]), best(a, b, p[0], q[0]) + children(p[1:], q[1:]))
+
+        return 1 + children(a.children[x], b.children[y])
+
+    for _ in range(150):
+        a, b = (html.Tree([0] + [draw.choice([2, 3]) for _ in range(n - 1)], [-1] + [draw.randrange(k) for k in range(1, n)]) for n in (draw.randint(1, 8), draw.randint(1, 8)))
+        assert html.match(a, b, 0, 0, {})[0] == best(a, b, 0, 0)
+        home = html.align(a, b)
+        assert sum(node >= 0 for node in home) == best(a, b, 0, 0)
+
+
+def bare(n, body):
+    """A page without telling names: menu, advert, article and footer are div elements."""
+    return f'<html><body><div id="x{n}"><div><a href="/">Home {n}</a> <a href="/b">Area {n % 7}</a></div></div><div class="k{n}">Buy {n} things now</div><div class="k{n + 1}"><h1>Title {n}</h1>{body}</div><div>Letter {n} of us all</div></body></html>'
+
+
+def test_template_decides_without_marks(spark):
+    sources = [bare(n, f"<p>First text {n} of the page with quite a few words more than others have</p><div><p>And more {n} of it</p></div><p>Sign up</p>") for n in range(25)]
+    got = {r.page_id: r.text for r in html.extract(pages(spark, sources)).collect()}
+    assert got == {n: f"Title {n} First text {n} of the page with quite a few words more than others have And more {n} of it" for n in range(25)}
+    alone = html.main_text(sources[3])
+    assert "Buy 3" in alone and "Home 3" in alone and "Sign up" in alone
+
+
+def test_op3_by_the_template_alone(spark):
+    """Where article, nav, class and so on say nothing, the template finds the text of nearly all pages that have others of their host beside them."""
+    sf = SF.replace("0.001", "0.1")
+    rows = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    plain = [re.sub(r' (class|id|role)="[^"]*"', "", re.sub(r"<(/?)(article|nav|footer|header|aside|main)\b[^>]*>", r"<\1div>", r.html)) for r in rows]
+    made = spark.createDataFrame([(r.page_id, r.url, h) for r, h in zip(rows, plain, strict=True)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(made).collect()}
+    right = sum(got[r.page_id] == marked_text(r.html) for r in rows)
+    assert right >= 0.99 * len(rows)
+    assert sum(html.main_text(h) == marked_text(r.html) for r, h in zip(rows, plain, strict=True)) < 0.05 * len(rows)
+
+
+def test_deep_and_wide_pages(spark):
+    import time
+
+    deep = ["<div>" * 30_000 + f"inner {n}" + "</div>" * 30_000 for n in range(4)]
+    wide = ["<ul>" + "".join(f"<li><b>i{k}</b><p>x" for k in range(20_000)) + f"</ul>{n}" for n in range(4)]
+    mixed = ["".join(f"<{t}>t{n}</{t}>" for t in ("h2", "p", "div", "ul", "section") for _ in range(1000)) * 2 + str(n) for n in range(4)]
+    odd = ["<b>" * 30_000 + "</i>" * 30_000 + "<p>" * 30_000 + f"end {n}" for n in range(4)]
+    began = time.monotonic()
+    got = {}
+    for name, sources in (("deep", deep), ("wide", wide), ("mixed", mixed), ("odd", odd)):
+        got[name] = {r.page_id: r.text for r in html.extract(pages(spark, sources, f"{name}.example")).collect()}
+    assert time.monotonic() - began < 90
+    assert got["deep"] == {n: f"inner {n}" for n in range(4)} and got["odd"] == {n: f"end {n}" for n in range(4)}
+    assert all(t.endswith(f"{n}") for n, t in got["wide"].items())
+
+
+def test_template_is_bounded(spark):
+    """Classes and the number of pages add nothing to a template, and other structures add up to a bound."""
+    same = [f'<div class="a{n}"><div class="post-{n}"><p class="p{n}">t{n}</p></div></div>' for n in range(5000)]
+    made = spark.createDataFrame([(n, "http://a.example/", s) for n, s in enumerate(same)], "page_id long, url string, html string").repartition(8)
+    (row,) = html.induce(html.shapes(made)).collect()
+    assert len(html.Tree.unpacked(bytes(row.structure)).labels) == 4
+    draw = random.Random(3)
+    other = [(n, "http://b.example/", "".join(draw.choice(["<div>", "</div>", "<section>", "<ul>", "</section>", "<p>x", "<table>"]) for _ in range(200))) for n in range(300)]
+    (row,) = html.induce(html.shapes(spark.createDataFrame(other, "page_id long, url string, html string"))).collect()
+    assert len(html.Tree.unpacked(bytes(row.structure)).labels) <= html.NODES
+
+
+def test_plans_joined_equal_broadcast(spark, monkeypatch):
+    sources = [bare(n, f"<p>First text {n} of the page with quite a few words more than others have</p>") for n in range(9)]
+    made = pages(spark, sources).unionByName(pages(spark, sources[:2], "b.example"))
+    want = sorted(map(tuple, html.extract(made).collect()))
+    monkeypatch.setattr(html, "BROADCAST_BYTES", -1)
+    assert sorted(map(tuple, html.extract(made).collect())) == want
+
+
+def marked_text(source):
+    part = re.search(r"<article>(.*?)(?:</article>|$)", source, re.S)[1]
+    part = re.sub(r"<[^>]*>", "", re.sub(r"</?(p|h1|br|div)[^>]*>", " ", part))
+    return " ".join(entities.unescape(part).split())
 
 
 def test_op3_against_the_pages_markup(spark):
@@ -270,9 +361,7 @@ def test_op3_against_the_pages_markup(spark):
 
     got = {r.page_id: r.text for r in op3_main_text(spark, SF).collect()}
     for row in spark.read.parquet(f"{SF}/pages.parquet").collect():
-        part = re.search(r"<article>(.*?)(?:</article>|$)", row.html, re.S)[1]
-        part = re.sub(r"<[^>]*>", "", re.sub(r"</?(p|h1|br|div)[^>]*>", " ", part))
-        assert got[row.page_id] == " ".join(entities.unescape(part).split())
+        assert got[row.page_id] == marked_text(row.html)
 
 
 # --- pipeline

@@ -28,21 +28,23 @@ class Rule:
     least: int = 1
     #: The group that is the finding: what stands before it in a match is context.
     span: int = 0
+    #: What every match holds: texts without it are passed over by a plain search.
+    holds: str = ""
 
 
 #: Base rules in their order.
 BASE = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 20, holds="AKIA"),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
 #: Further rules. Runs are of one class each and start where no such run is open, so that every rule
 #: takes time in proportion to the text, and no group repeats, which Java's matcher would do by recursion.
 FURTHER = (
-    Rule("pem", r"-----BEGIN (?:[A-Z ]*[A-Z] )?PRIVATE KEY-----"),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", r"(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})", 0, 1, 1),
+    Rule("pem", r"-----BEGIN (?:[A-Z ]*[A-Z] )?PRIVATE KEY-----", holds="-----BEGIN "),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", holds="gh"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", holds="xox"),
+    Rule("jwt", r"(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})", span=1, holds="eyJ"),
 )
 RULES, VERSION = BASE + FURTHER, "r2"
 
@@ -64,7 +66,7 @@ def unseen(keyed: DataFrame, ledger: DataFrame | None, version: str = VERSION) -
 def _matches(rule: Rule) -> Column:
     hits = F.regexp_extract_all("body", F.lit(rule.pattern), F.lit(0))
     gaps = F.transform(F.split("body", rule.pattern, -1), F.length)
-    found = F.when(F.col("body").rlike(rule.pattern), F.arrays_zip(gaps.alias("gap"), hits.alias("hit")))
+    found = F.when(F.contains("body", F.lit(rule.holds)) & F.col("body").rlike(rule.pattern), F.arrays_zip(gaps.alias("gap"), hits.alias("hit")))
     return F.struct(F.lit(rule.kind).alias("kind"), F.lit(RULES.index(rule)).alias("rank"), found.alias("found"))
 
 

@@ -1,11 +1,17 @@
-"""Call quotas from a compact text, shared out to partitions."""
+"""Call quotas from a compact text, shared out to partitions.
+
+A quota names how many calls run at a time and, by keys, at what rate: ``8|rpm:30|tps:400|burst:2``.
+"""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from dataclasses import dataclass
 
-#: The keys a quota may have.
-KEYS = ("burst", "rpm", "rps", "tpm", "tps")
+#: Keys by what they limit, with the seconds of their unit of time.
+RATES = {"rps": ("calls_per_second", 1), "rpm": ("calls_per_second", 60), "tps": ("tokens_per_second", 1), "tpm": ("tokens_per_second", 60)}
+PART = re.compile(r"(?P<concurrency>\d+)|(?P<key>[a-z]+):(?P<value>\d+(?:\.\d+)?)")
 
 
 @dataclass(frozen=True)
@@ -22,22 +28,21 @@ class Quota:
 
 
 def parse_quota(text: int | str) -> Quota:
-    concurrency, given = None, {}
-    for part in str(text).split("|"):
-        key, colon, value = part.partition(":")
-        if not colon:
-            concurrency = int(part)
-        elif key in KEYS:
-            given[key] = float(value) if key == "burst" else int(value)
-        else:
-            raise ValueError(f"{key!r} is none of the keys {', '.join(KEYS)}")
-    if concurrency is None:
-        raise ValueError("a quota names its concurrency, as in 10|rps:100")
-    if concurrency <= 0:
-        raise ValueError("the concurrency must be positive")
-    rates = {}
-    for kind in ("rp", "tp"):
-        if kind + "m" in given and kind + "s" in given:
-            raise ValueError(f"{kind}m and {kind}s exclude one another")
-        rates[kind] = given[kind + "m"] / 60 if kind + "m" in given else given.get(kind + "s")
-    return Quota(concurrency, rates["rp"], rates["tp"], given.get("burst", 1.0))
+    """The quota that a text names; ValueError says what it lacks or says twice."""
+    parts = [PART.fullmatch(part) for part in str(text).split("|")]
+    if None in parts:
+        raise ValueError(f"{text!r} is no quota: parts are a number of calls and key:number")
+    numbers = [int(p["concurrency"]) for p in parts if p["concurrency"]]
+    keyed = [(p["key"], float(p["value"])) for p in parts if p["key"]]
+    limits = Counter(RATES[key][0] if key in RATES else key for key, _ in keyed)
+    faults = {
+        "a number of calls at a time is missing": not numbers,
+        "the number of calls must be positive": 0 in numbers,
+        f"keys are {', '.join(sorted([*RATES, 'burst']))}": bool(limits.keys() - {"calls_per_second", "tokens_per_second", "burst"}),
+        "a rate by the second and one by the minute exclude one another": any(n > 1 for n in limits.values()),
+    }
+    for fault, found in faults.items():
+        if found:
+            raise ValueError(f"{text!r}: {fault}")
+    given = {RATES[key][0]: value / RATES[key][1] for key, value in keyed if key in RATES}
+    return Quota(numbers[-1], burst=dict(keyed).get("burst", 1.0), **given)

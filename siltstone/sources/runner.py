@@ -73,7 +73,7 @@ class ScriptedRunner:
 
 #: The judge's contract.
 VERDICT = {"type": "object", "properties": {"ok": {"type": "boolean"}, "reason": {"type": "string"}}, "required": ["ok", "reason"], "additionalProperties": False}
-JUDGE = "You judge one statement about an output made from a source. The statement alone decides, with all it excludes. Check each doubt against the output before it counts.\nStatement:\n{rubric}"
+JUDGE = "Below are a source text and a result that was extracted from it. Say whether this holds for the result, word for word and with its exceptions:\n{rubric}\nBefore you name a fault, find the place in the result that shows it. Answer with ok and a one-sentence reason."
 
 
 def judged(cases: DataFrame, rubric: str, factory: Callable[[], Runner], instructions: str | None = None) -> DataFrame:

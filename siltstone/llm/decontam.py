@@ -4,8 +4,10 @@ A document's words are streamed through the automaton, which keeps the longest m
 word. A match of ``window`` words or more is a hit, and so is a whole item that is shorter than a window.
 
 The automaton lives in memory, so items are dealt into groups of at most ``GROUP_WORDS`` words (a longer
-item is cut into overlapping pieces); documents pass through the groups one after another without a
-shuffle. What is broadcast is thus bounded, however large the benchmark is.
+item is cut into overlapping pieces). The driver reads items as a stream and makes automata for ``WAVE`` groups at a
+time; documents pass a wave in one Python worker a task, which holds one automaton and ``HELD`` bytes of texts, and
+are written before the next wave. What the driver, a broadcast and a worker hold is thus bounded, however large the
+benchmark is; time grows with the number of groups, for every document meets every group.
 
 Results: null text has no words and no hits; items without words or with a null id take no part; repeated
 items with one id count as one item; without items nothing is hit. Other columns pass through; one named
@@ -15,16 +17,19 @@ items with one id count as one item; without items nothing is hit. Other columns
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import map_batches
+from siltstone.llm.common import map_batches, written
 
 WINDOW = 8
 GROUP_WORDS = 200_000
+#: Groups that are broadcast together, and bytes of texts that meet them one after another.
+WAVE, HELD = 4, 32 << 20
 #: Documents that hold this part of an item's words in one run go; shorter runs are cut out.
 ITEM_SHARE = 0.5
 
@@ -38,7 +43,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Automaton:
-    """States of a generalised suffix automaton; state 0 is the root."""
+    """States of a generalised suffix automaton, as it is built; state 0 is the root."""
 
     def __init__(self, items: Iterable[tuple[str, list[bytes], int]], window: int = WINDOW):
         """items: (id, words, words of the whole item), where words may be a piece of an item."""
@@ -52,34 +57,38 @@ class Automaton:
         for name, words, size in items:
             if not words:
                 continue
-            last, path = 0, []
+            last = 0
             for word in words:
                 last = self._extend(last, self.number.setdefault(word, len(self.number)))
-                path.append(last)
             paths.append((len(self.names), words))
             self.names.append(name)
             self.sizes.append(size)
-        self.items: list[set[int]] = [set() for _ in self.next]
-        self.short: list[tuple[tuple[int, int], ...]] = [() for _ in self.next]
-        ends: dict[int, list[tuple[int, int]]] = {}
+        holders: list[set[int]] = [set() for _ in self.next]
+        self.ends: dict[int, list[tuple[int, int]]] = {}
         for item, words in paths:
             state = 0
             for word in words:
                 state = self.next[state][self.number[word]]
                 up = state
-                while up > 0 and item not in self.items[up]:
-                    self.items[up].add(item)
+                while up > 0 and item not in holders[up]:
+                    holders[up].add(item)
                     up = self.link[up]
             if self.sizes[item] < window:
-                ends.setdefault(state, []).append((len(words), item))
-        order = sorted(range(1, len(self.next)), key=self.length.__getitem__)
-        self.base = list(range(len(self.next)))
-        for state in order:
-            up = self.link[state]
-            self.short[state] = self.short[up] + tuple(ends.get(state, ()))
-            if self.length[up] >= window:
-                self.base[state] = self.base[up]
-        self.live = [self.length[s] >= window or bool(self.short[s]) for s in range(len(self.next))]
+                self.ends.setdefault(state, []).append((len(words), item))
+        # Equal sets are one: a passage that every item holds has many states and one set.
+        known: dict[frozenset, int] = {}
+        self.holder = [known.setdefault(frozenset(found), len(known)) for found in holders]
+        self.sets = list(known)
+        self.shortest = [min((self.sizes[i] for i in found), default=1) for found in holders]
+
+    def packed(self) -> tuple:
+        """What a matcher is made of, as arrays."""
+        width = len(self.number)
+        edges = [(state * width + word, to) for state, following in enumerate(self.next) for word, to in following.items()]
+        short = [(state, size, item) for state, found in self.ends.items() for size, item in found]
+        numbers = (np.array(x, np.int64) for x in (self.link, self.length, self.holder, self.shortest, np.reshape(edges, (-1, 2)), np.reshape(short, (-1, 3))))
+        sets = np.concatenate([np.array(sorted(found), np.int32) for found in self.sets] or [np.empty(0, np.int32)])
+        return self.window, b" ".join(self.number), self.names, *numbers, np.cumsum([0, *map(len, self.sets)]), sets
 
     def _extend(self, last: int, word: int) -> int:
         known = self.next[last].get(word)
@@ -111,20 +120,48 @@ class Automaton:
         self.link.append(link)
         return len(self.next) - 1
 
+
+class Matcher:
+    """An automaton to stream words through."""
+
+    def __init__(self, packed: tuple):
+        self.window, words, self.names, link, length, holder, shortest, edges, short, bounds, sets = packed
+        self.number = {word: n for n, word in enumerate(words.split())}
+        self.width = len(self.number)
+        self.link, self.length, self.shortest = link.tolist(), length.tolist(), shortest.tolist()
+        self.next = dict(zip(edges[:, 0].tolist(), edges[:, 1].tolist(), strict=True))
+        self.bounds, self.sets = bounds, sets
+        self.short: list[tuple[tuple[int, int], ...]] = [()] * len(self.link)
+        own: dict[int, list[tuple[int, int]]] = {}
+        for state, size, item in short.tolist():
+            own.setdefault(state, []).append((size, item))
+        #: For each state the set of items that hold its last words, as many as a window has.
+        self.holder = holder.tolist()
+        for state in np.argsort(length, kind="stable").tolist()[1:]:
+            up = self.link[state]
+            self.short[state] = self.short[up] + tuple(own.get(state, ()))
+            if self.length[up] >= self.window:
+                self.holder[state] = self.holder[up]
+        self.live = [n >= self.window or bool(found) for n, found in zip(self.length, self.short, strict=True)]
+
+    def items(self, held: set[int]) -> set[int]:
+        return {int(i) for n in held for i in self.sets[self.bounds[n] : self.bounds[n + 1]]}
+
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int], float]:
         """Hit runs of words as (start, end), items with occurring windows, and the largest share of an item in one match."""
-        number, following, link, length, live, window = self.number.get, self.next, self.link, self.length, self.live, self.window
+        number, following, width, link, length, live, window = self.number.get, self.next, self.width, self.link, self.length, self.live, self.window
         runs: list[tuple[int, int]] = []
         found: set[int] = set()
+        held: set[int] = set()
         share, state, matched = 0.0, 0, 0
         for at, word in enumerate(map(number, words)):
             if word is None:
                 state = matched = 0
                 continue
-            while state and word not in following[state]:
+            while state and state * width + word not in following:
                 state = link[state]
                 matched = length[state]
-            to = following[state].get(word)
+            to = following.get(state * width + word)
             if to is None:
                 continue
             state, matched = to, matched + 1
@@ -133,8 +170,8 @@ class Automaton:
             start = at + 1
             if matched >= window:
                 start = at + 1 - window
-                found |= self.items[self.base[state]]
-                share = max(share, max(matched / self.sizes[i] for i in self.items[state]))
+                held.add(self.holder[state])
+                share = max(share, matched / self.shortest[state])
             for size, item in self.short[state]:
                 if size <= matched:
                     start = min(start, at + 1 - size)
@@ -144,7 +181,7 @@ class Automaton:
                 start = min(start, runs.pop()[0])
             if start <= at:
                 runs.append((start, at + 1))
-        return runs, found, share
+        return runs, found | self.items(held), share
 
 
 def groups_of(benchmark: DataFrame, window: int = WINDOW, limit: int = GROUP_WORDS) -> Iterator[list[tuple[str, list[bytes], int]]]:
@@ -166,13 +203,13 @@ def groups_of(benchmark: DataFrame, window: int = WINDOW, limit: int = GROUP_WOR
 MATCHES = "n_words long, runs array<struct<start:int,end:int>>, items array<string>, share double"
 
 
-def _union(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
+def _union(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[dict]:
+    out: list[dict] = []
     for start, end in sorted(a + b):
-        if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        if out and start <= out[-1]["end"]:
+            out[-1]["end"] = max(end, out[-1]["end"])
         else:
-            out.append((start, end))
+            out.append({"start": start, "end": end})
     return out
 
 
@@ -183,30 +220,55 @@ def match(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", wind
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "matches"]
     schema = ", ".join([*fields, f"matches struct<{MATCHES.replace(' long', ':long').replace('runs ', 'runs:').replace('items ', 'items:').replace(' double', ':double')}>"])
     kind = pa.struct([("n_words", pa.int64()), ("runs", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string())), ("share", pa.float64())])
-    out = docs
-    for group in [*groups_of(benchmark, window, limit)] or [[]]:
-        shared = context.broadcast(Automaton(group, window))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = shared.value
-            for batch in batches:
-                names = batch.schema.names
-                before = batch.column(names.index("matches")).to_pylist() if "matches" in names else [None] * batch.num_rows
-                rows = []
-                for text, old in zip(batch.column(names.index(text_column)), before, strict=True):
-                    words = words_of(text.as_py())
-                    runs, found, share = automaton.scan(words)
-                    items = {automaton.names[i] for i in found}
-                    if old:
-                        runs = _union(runs, [(r["start"], r["end"]) for r in old["runs"]])
-                        items |= set(old["items"])
-                        share = max(share, old["share"])
-                    rows.append({"n_words": len(words), "runs": [{"start": s, "end": e} for s, e in runs], "items": sorted(items), "share": share})
-                kept = [n for n in names if n != "matches"]
+    def through(rows: DataFrame, wave: list[tuple]) -> DataFrame:
+        shared = context.broadcast(wave)
+
+        def matched(held: list[pa.RecordBatch], matcher: Callable[[int], Matcher]) -> Iterator[pa.RecordBatch]:
+            names = held[0].schema.names
+            before = [b.column(names.index("matches")).to_pylist() if "matches" in names else [None] * b.num_rows for b in held]
+            found = [[old or {"n_words": 0, "runs": [], "items": [], "share": 0.0} for old in olds] for olds in before]
+            for number in range(len(shared.value)):
+                automaton = matcher(number)
+                for batch, rows in zip(held, found, strict=True):
+                    for text, row in zip(batch.column(names.index(text_column)), rows, strict=True):
+                        words = words_of(text.as_py())
+                        runs, items, share = automaton.scan(words)
+                        row["n_words"] = len(words)
+                        if runs:
+                            row["runs"] = _union([(r["start"], r["end"]) for r in row["runs"]], runs)
+                            row["items"] = sorted({automaton.names[i] for i in items}.union(row["items"]))
+                            row["share"] = max(share, row["share"])
+            kept = [n for n in names if n != "matches"]
+            for batch, rows in zip(held, found, strict=True):
                 yield pa.RecordBatch.from_arrays([*(batch.column(names.index(n)) for n in kept), pa.array(rows, kind)], [*kept, "matches"])
 
-        out = map_batches(out, run, schema)
-    return out
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size, last = [], 0, []
+
+            def matcher(number: int) -> Matcher:
+                if not last or last[0] != number:
+                    last[:] = []
+                    last[:] = [number, Matcher(shared.value[number])]
+                return last[1]
+
+            for batch in batches:
+                held.append(batch)
+                size += batch.column(batch.schema.get_field_index(text_column)).nbytes
+                # One automaton stays, so texts need not wait for each other.
+                if size >= HELD or len(shared.value) == 1:
+                    yield from matched(held, matcher)
+                    held, size = [], 0
+            if held:
+                yield from matched(held, matcher)
+
+        return map_batches(rows, run, schema)
+
+    out, wave = docs, []
+    for group in groups_of(benchmark, window, limit):
+        if len(wave) == WAVE:
+            out, wave = written(through(out, wave), "matches"), []
+        wave.append(Automaton(group, window).packed())
+    return through(out, wave or [Automaton([], window).packed()])
 
 
 def hit_words() -> Column:

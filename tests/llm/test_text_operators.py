@@ -139,6 +139,33 @@ def test_matches_equal_brute_force(spark):
             assert (row.matches.n_words, row.n, row.matches["items"]) == want
 
 
+def test_many_groups_take_one_worker(spark):
+    """Fifty groups: each wave is one Python stage, and waves are cut by written tables."""
+    draw = random.Random(7)
+    text = lambda n: " ".join(f"w{draw.randint(0, 400)}" for _ in range(n))
+    items = [(n, text(25)) for n in range(200)]
+    texts = [text(30) + " " + items[n][1] + " " + items[199 - n][1][:60] for n in range(0, 200, 5)]
+    groups = list(decontam.groups_of(spark.createDataFrame(items, "item_id long, text string"), limit=100))
+    assert len(groups) == 50
+    got = decontam.match(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), limit=100)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    for row in got.select("doc_id", "matches", decontam.hit_words().alias("n")).collect():
+        assert (row.matches.n_words, row.n, row.matches["items"]) == brute_hits(texts[row.doc_id], items)
+
+
+def test_a_passage_of_every_item(spark):
+    import time
+
+    passage = " ".join(f"p{n}" for n in range(60))
+    items = [(n, f"own{n} {passage} end{n}") for n in range(3000)]
+    texts = [f"start {passage} stop {n}" for n in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    began = time.monotonic()
+    got = decontam.match(docs(spark, texts), bench).select("matches.items", decontam.hit_words().alias("n")).collect()
+    assert time.monotonic() - began < 30
+    assert all(len(r["items"]) == 3000 and r.n == 60 for r in got)
+
+
 def test_removal(spark):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
     part = "two Three four, five six seven eight NINE"

@@ -53,15 +53,15 @@ def _pattern(markup: str) -> str:
 
 def licenses() -> str:
     phrases = " UNION ALL ".join(f"SELECT doc_id, i - 1 AS place, '{label}' AS label FROM placed WHERE " + " AND ".join(f"w[i + {n}] = '{word}'" for n, word in enumerate(phrase.split())) for phrase, label in license.PHRASES.items())
-    accepted = " UNION ALL ".join(f"SELECT doc_id, '{label}' AS label FROM d WHERE regexp_matches(line, '{_pattern(markup)}')" for label, markup in license.TEMPLATES)
+    accepted = " UNION ALL ".join(f"SELECT doc_id, '{label}' AS label, {rank} AS own FROM d WHERE regexp_matches(line, '{_pattern(markup)}')" for rank, found in ((2, license.TEXTS), (1, license.NOTICES)) for label, markup in found)
     return f"""
 WITH d AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS line FROM (SELECT doc_id, {WORDS} AS w FROM documents)),
 placed AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
 base AS ({phrases}), accepted AS ({accepted}),
 b AS (SELECT doc_id, count(*) AS n_base, min(at_) AS first_word, max(at_) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM (SELECT doc_id, place AS at_, label FROM base) GROUP BY doc_id),
-a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(own) AS own FROM (SELECT doc_id, label, 0 AS own FROM base UNION ALL SELECT doc_id, label, 1 FROM accepted) GROUP BY doc_id)
+a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(own) AS own FROM (SELECT doc_id, label, 0 AS own FROM base UNION ALL SELECT doc_id, label, own FROM accepted) GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
-  CASE WHEN own = 1 THEN 1.0 WHEN n_base > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM d LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)
+  CASE WHEN own = 2 THEN 1.0 WHEN own = 1 THEN 0.75 WHEN n_base > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM d LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)
 """
 
 

@@ -95,7 +95,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_max(F.transform("base", start)).alias("last_word"),
         labels("base").alias("base_labels"),
         labels("base", "accepted").alias("labels"),
-        F.when(F.size("accepted") > 0, 1.0).when(F.size("base") > 0, 0.5).otherwise(0.0).alias("score"),
+        F.when(F.exists("accepted", lambda x: x["whole"]), 1.0).when(F.size("accepted") > 0, 0.75).when(F.size("base") > 0, 0.5).otherwise(0.0).alias("score"),
     )
 
 

@@ -349,6 +349,85 @@ def test_templates():
         license.compile_template("x", "a <<beginOptional>> b")
 
 
+def parsed(markup):
+    """Markup as a tree: words, ("maybe", parts) and ("any", most)."""
+    stack = [[]]
+    for part in re.split(r"(<<[^>]*>>)", markup):
+        if part == "<<beginOptional>>":
+            stack.append([])
+        elif part == "<<endOptional>>":
+            inner = stack.pop()
+            stack[-1].append(("maybe", inner))
+        elif part.startswith("<<var"):
+            stack[-1].append(("any", int(re.search(r"max=(\d+)", part)[1])))
+        else:
+            stack[-1] += words(part)
+    return stack[0]
+
+
+def ends(parts, found, at):
+    """Every place where a reading of parts that begins at ``at`` can end."""
+    places = {at}
+    for part in parts:
+        if isinstance(part, str):
+            places = {p + 1 for p in places if p < len(found) and found[p] == part}
+        elif part[0] == "maybe":
+            places |= {e for p in places for e in ends(part[1], found, p)}
+        else:
+            places = {e for p in places for e in range(p, min(len(found), p + part[1]) + 1)}
+    return places
+
+
+def plain(markup, full):
+    """A text that a template accepts, with all optional wording or none."""
+    out = []
+    for part in parsed(markup):
+        out += [part] if isinstance(part, str) else ["some", "name"] if part[0] == "any" else plain_parts(part[1]) if full else []
+    return out
+
+
+def plain_parts(parts):
+    return [w for part in parts for w in ([part] if isinstance(part, str) else ["x"] if part[0] == "any" else plain_parts(part[1]))]
+
+
+def test_whole_licences_equal_brute_force():
+    scanner, draw = license.Scanner(), random.Random(21)
+    every = [(label, markup, True) for label, markup in license.TEXTS] + [(label, markup, False) for label, markup in license.NOTICES]
+    for label, markup, whole in every:
+        for full in (True, False):
+            good = ["before", "it", *plain(markup, full), "and", "after"]
+            accepted = scanner.scan(" ".join(good))[2]
+            assert any(x[2] == label and x[3] == whole and x[0] == 2 for x in accepted)
+            for _ in range(12):
+                # One word altered, taken out or put in, or the text cut off.
+                bad, at = list(good), draw.randrange(2, len(good) - 2)
+                match draw.randrange(4):
+                    case 0:
+                        bad[at] = draw.choice(["other", "the", "software"])
+                    case 1:
+                        del bad[at]
+                    case 2:
+                        bad.insert(at, draw.choice(["not", "the"]))
+                    case 3:
+                        bad = bad[:at]
+                want = {(k, max(found), name, w) for name, m, w in every for k in range(len(bad)) if (found := ends(parsed(m), bad, k))}
+                assert set(scanner.scan(" ".join(bad))[2]) == want
+    mit = " ".join(plain(license.TEXTS[0][1], False))
+    assert [x[2] for x in scanner.scan(mit)[2]] == ["mit"] and scanner.scan(mit.replace("without restriction", "with restriction"))[2] == []
+    assert scanner.scan(mit[: mit.index("without restriction") + 19])[2] == []
+    both = {label: " ".join(plain(dict(license.TEXTS)[label], True)) for label in ("bsd-2-clause", "bsd-3-clause")}
+    assert {label: [x[2] for x in scanner.scan(t)[2]] for label, t in both.items()} == {label: [label] for label in both}
+
+
+def test_op9_scores(spark, tmp_path):
+    from siltstone.llm.queries import op9_licenses
+
+    texts = ["our terms: " + " ".join(plain(license.TEXTS[4][1], True)), "released under the MIT License", "see the mit license there", "nothing", None, ""]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.base_labels, r.labels, r.score) for r in op9_licenses(spark, str(tmp_path)).collect()}
+    assert got == {0: ("", "isc", 1.0), 1: ("mit", "mit", 0.75), 2: ("mit", "mit", 0.5), 3: ("", "", 0.0), 4: ("", "", 0.0), 5: ("", "", 0.0)}
+
+
 def test_op9_base_equals_brute_force(spark):
     from siltstone.llm.queries import op9_licenses
 

@@ -5,8 +5,9 @@ language within the family is then chosen by one-versus-one machines that were t
 languages alone. Features are the relative frequencies of hashed letter pairs and triples over the whole
 text, runs of other characters counting as one blank.
 
-The machines are fitted on a bounded sample: at most ``per_language`` texts of each label and
-``total`` texts together, those with the smallest hash of their id. Everything else covers all rows.
+The machines are fitted on a bounded sample: at most ``per_language`` texts of each label and ``total`` texts
+together, those with the smallest hash of their id and text; of more than ``total`` labels the most frequent ones
+are learned (ties: the first in alphabetical order). Everything else covers all rows.
 
 Results: a text that is null or has no letter is ``und`` with score 0. With one label that label is
 predicted; with none every text is ``und``. Equal votes go to the label with the larger summed margin,

@@ -34,6 +34,8 @@ from siltstone.llm.components import components
 BANDS, ROWS = 40, 5
 #: Pairs of one pivot that go to one task together.
 PIVOT_PAIRS = 256
+#: Tasks that the pairs of a pivot with more of them are dealt to before that, and nodes of a run that are joined together.
+SALTS, RUN_NODES = 64, 256
 #: Ids that may be broadcast, 8 bytes each.
 BROADCAST_IDS = 1_000_000
 #: Bytes of texts that are hashed at once.
@@ -167,7 +169,10 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     """
     size = pairs.groupBy("a").agg(F.ceil(F.count("*") / PIVOT_PAIRS).cast("int").alias("parts"))
     heads = size.join(texts, size.a == texts.doc_id).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
-    dealt = pairs.join(size, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    # Pivots of many pairs alone are told to them, and salted, so that no task gets all pairs of one.
+    large = size.where("parts > 1").select("a", "parts", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"))
+    dealt = salted.join(large, ["a", "salt"], "left").select("a", "b", F.pmod(F.xxhash64("b", F.lit(1)), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
     tails = dealt.join(texts, dealt.b == texts.doc_id).select("a", "part", "b", "text")
     rows = heads.unionAll(tails).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
@@ -208,12 +213,14 @@ def across_components(rest: DataFrame, texts: DataFrame, k: int, percent: int) -
     spread = runs.groupBy("run").agg(F.count("*").alias("nodes"), F.min("component").alias("low"), F.max("component").alias("high"))
     ranked = runs.join(spread, "run").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("nodes", "run", (F.col("low") < F.col("high")).alias("shared")))).alias("all"))
     length = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1
-    prefix = ranked.select("node", "component", "n", F.posexplode(F.slice("all", F.lit(1), length)).alias("at", "p")).where("p.shared").select("node", "component", "n", "at", "p.run")
-    x, y = prefix.alias("x"), prefix.alias("y")
+    prefix = ranked.select("node", "component", "n", F.posexplode(F.slice("all", F.lit(1), length)).alias("at", "p")).where("p.shared").select("node", "component", "n", "at", "p.run", F.ceil(F.col("p.nodes") / RUN_NODES).cast("int").alias("salts"))
+    # A run that many nodes hold is joined in parts: each node of one side meets every part of the other.
+    x = prefix.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).alias("x")
+    y = prefix.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
     both = F.col("x.n") + F.col("y.n")
     least = F.ceil(F.lit(percent) * both / (100 + percent))
     near = (F.col("x.component") < F.col("y.component")) & (F.col("x.at") <= F.col("x.n") - least) & (F.col("y.at") <= F.col("y.n") - least)
-    return x.join(y, (F.col("x.run") == F.col("y.run")) & near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    return x.join(y, (F.col("x.run") == F.col("y.run")) & (F.col("x.salt") == F.col("y.salt")) & near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

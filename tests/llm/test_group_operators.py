@@ -95,6 +95,22 @@ def test_ambiguous_group_loses_no_link(spark):
     assert got == brute_components(enumerate(texts), 2)
 
 
+def test_salted_joins_lose_nothing(spark, monkeypatch):
+    """Small bounds, so that pivots and runs of a few texts are dealt to several tasks."""
+    monkeypatch.setattr(minhash, "PIVOT_PAIRS", 3)
+    monkeypatch.setattr(minhash, "RUN_NODES", 2)
+    draw = random.Random(16)
+    base = [f"w{n}" for n in range(120)]
+    texts = []
+    for n in range(60):
+        copy = list(base) if n % 3 else list(texts[-1].split()) if texts else list(base)
+        for place in draw.sample(range(len(copy)), draw.choice([1, 4, 8])):
+            copy[place] = f"x{n}_{place}"
+        texts.append(" ".join(copy))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs(spark, texts), 2).collect()}
+    assert got == brute_components(enumerate(texts), 2)
+
+
 def test_near_duplicate_edges(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
     rows = [(1, "a b c d e f", "en", "s", 1), (1, "a b c d e f", "en", "s", 1), (None, "a b c d e f", "en", "s", 1), (2, "a b c d e f", "en", "s", 1), (3, "x", "en", "s", 1)]

@@ -90,6 +90,61 @@ def test_held_out_accuracy(spark):
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held) > 0.97
 
 
+def plain_frequencies(text):
+    """Shares of hashed letter pairs and triples, letter by letter."""
+    marks = [ord(c.lower()[0]) if c.isalpha() else 0 for c in text]
+    kept = [0]
+    for mark in [*marks, 0]:
+        if mark or kept[-1]:
+            kept.append(mark)
+    word = lambda x: x & 0xFFFFFFFF
+    pair = [word(a * 0x9E3779B1) ^ (word(b * 0x85EBCA6B) >> 5) for a, b in zip(kept, kept[1:], strict=False)]
+    triple = [word(p * 0xC2B2AE35) ^ word(c * 0x27D4EB2F) for p, c in zip(pair, kept[2:], strict=False)]
+    shift = 32 - (langid.BUCKETS.bit_length() - 1)
+    out = [0.0] * (2 * langid.BUCKETS)
+    for found, base in ((pair, 0), (triple, langid.BUCKETS)):
+        for value in found:
+            out[base + (word(value * 0x2545F491) >> shift)] += 1 / len(found)
+    return out
+
+
+def test_predictions_equal_brute_force(spark):
+    """The query's labels are those of a plain reading of its machines: families first, then languages of the family."""
+    from siltstone.llm.queries import op1_language_id
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
+    model = langid.train(spark.read.parquet(f"{SF}/documents.parquet").where(~langid.held_out()))
+    got = {r.doc_id: r.lang_pred for r in op1_language_id(spark, SF).collect()}
+
+    def vote(x, names, machines):
+        votes, margins = dict.fromkeys(names, 0), dict.fromkeys(names, 0.0)
+        for (a, b), w in machines.items():
+            if a in votes and b in votes:
+                margin = sum(p * q for p, q in zip(x, w, strict=False) if p) + w[-1]
+                votes[a if margin >= 0 else b] += 1
+                margins[a] += margin
+                margins[b] -= margin
+        return min(sorted(names), key=lambda n: (-votes[n], -margins[n]))
+
+    for row in rows[:120]:
+        if not any(c.isalpha() for c in row.text or ""):
+            assert got[row.doc_id] == langid.UNKNOWN
+            continue
+        x = [p * q for p, q in zip(plain_frequencies(row.text), model.scale, strict=True)]
+        family = vote(x, set(model.family.values()), model.between)
+        assert got[row.doc_id] == vote(x, [n for n, f in model.family.items() if f == family], model.within)
+
+
+def test_language_of_repeated_rows(spark):
+    rows = [(n % 6, ("the cat sat on the mat", "le chat est sur la table")[n % 2], ("en", "fr")[n % 2], "s", 1) for n in range(24)] + [(None, "the mat", "en", "s", 1)] * 3
+    train = spark.createDataFrame(rows, DOCS)
+    one, two = (langid.train(train.repartition(n)) for n in (1, 4))
+    assert one.labels == two.labels == ["en", "fr"] and all(np.array_equal(one.between[k], two.between[k]) for k in one.between)
+    assert [r.lang_pred for r in langid.predict(train, one).where("doc_id is null").collect()] == ["en"] * 3
+    few = langid.train(train, total=1)
+    assert few.labels == ["en"]
+
+
 def test_language_edges(spark):
     texts = ["the cat sat on the mat and", "le chat est sur la table et", "der hund ist auf dem tisch und", "el perro come en la mesa y"] * 5
     rows = [(n, t, ("en", "fr", "de", "es")[n % 4], "s", 1) for n, t in enumerate(texts)]
@@ -289,6 +344,22 @@ def test_line_dedup_repeated_ids(spark):
     assert sorted((r.doc_id or -1, r.text == body) for r in got if r.kept)[:3] == [(-1, True), (1, True), (1, True)]
 
 
+def test_op6_equals_brute_force(spark):
+    from siltstone.llm.queries import op6_line_dedup
+
+    sf = SF.replace("0.001", "0.01")
+    rows = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
+    want = brute_runs([r.text for r in rows])
+    got = {r.doc_id: r for r in op6_line_dedup(spark, sf).collect()}
+    assert len(got) == len(rows)
+    for n, row in enumerate(rows):
+        own = got[row.doc_id]
+        assert own.kept == (n in want)
+        if own.kept:
+            assert own.text_sha256 == hashlib.sha256((want[n] or "").encode()).hexdigest()
+            assert own.removed_lines == (row.text.count("\n") - want[n].count("\n") if row.text else 0)
+
+
 # --- token store
 
 

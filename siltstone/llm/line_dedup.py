@@ -35,10 +35,10 @@ from siltstone.llm.common import map_batches, written
 SPAN, PERIOD, LEAST = 2, 3, 2
 #: A line of more words than these is a piece by itself.
 LONG = 50
-#: Hashes of repeated pieces that may be broadcast, 8 bytes each.
-BROADCAST_HASHES = 1_000_000
+#: Hashes of repeated pieces that may be broadcast with their first places, about 100 bytes each; more meet the pieces in a shuffle.
+BROADCAST_HASHES = 250_000
 #: Numbers in the list of removed places that may be broadcast; a longer list meets the texts in a shuffle.
-BROADCAST_PLACES = 4_000_000
+BROADCAST_PLACES = 2_000_000
 FACTOR, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
@@ -91,6 +91,9 @@ def _rolled(hashes: list[int], pieces: list[tuple[int, int]]) -> Iterator[int]:
         yield ((sums[end] - sums[start] * powers[end - start]) & MASK) - (1 << 63)
 
 
+PLACED = "doc_id long, row_key long, at int, after int, hash long"
+
+
 def piece_table(docs: DataFrame, pieces: Callable[[list[str]], list[tuple[int, int]]], bodies: bool) -> DataFrame:
     """``(doc_id, row_key, at, after, hash)`` of every piece, and its ``body``."""
 
@@ -113,7 +116,43 @@ def piece_table(docs: DataFrame, pieces: Callable[[list[str]], list[tuple[int, i
             yield pa.RecordBatch.from_arrays(columns + [pa.array(found, pa.string())] * bodies, names + ["body"] * bodies)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    return map_batches(rows, run, "doc_id long, row_key long, at int, after int, hash long" + ", body string" * bodies)
+    return map_batches(rows, run, PLACED + ", body string" * bodies)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row_key_``, by which rows of one id are told apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            keys = [None if text is None else _row_key(text) for text in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, "row_key_"])
+
+    return map_batches(docs, run, docs._jdf.schema().toDDL() + ", row_key_ long")
+
+
+def bodies_of(docs: DataFrame, pieces: Callable[[list[str]], list[tuple[int, int]]], repeated: DataFrame, few: bool) -> DataFrame:
+    """Pieces of ``repeated (hash, first)`` with their bodies.
+
+    Few hashes are broadcast, and texts stay where they are. Many meet the pieces by their hash first, and each text
+    then goes once to its places.
+    """
+    if few:
+        return piece_table(docs, pieces, True).join(F.broadcast(repeated), "hash")
+    places = piece_table(docs, pieces, False).join(repeated.select("hash"), "hash").groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("at", "after", "hash")).alias("found"))
+    texts = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null"))
+    met = texts.withColumnRenamed("row_key_", "row_key").dropDuplicates(["doc_id", "row_key"]).join(places, ["doc_id", "row_key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, key, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lines = text.split("\n")
+                rows += [(doc_id, key, p["at"], p["after"], p["hash"], "\n".join(lines[p["at"] : p["after"]])) for p in found]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kind) for n, kind in enumerate(kinds)], ["doc_id", "row_key", "at", "after", "hash", "body"])
+
+    return map_batches(met.select("doc_id", "row_key", "text", "found"), run, PLACED + ", body string").join(repeated, "hash")
 
 
 def repeats(docs: DataFrame, pieces: Callable[[list[str]], list[tuple[int, int]]]) -> DataFrame:
@@ -121,9 +160,8 @@ def repeats(docs: DataFrame, pieces: Callable[[list[str]], list[tuple[int, int]]
     place = F.struct("doc_id", "row_key", "at", "after")
     by_hash = piece_table(docs, pieces, False).groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
     repeated = written(by_hash.select("hash", "first"), "repeated")
-    few = repeated.count() <= BROADCAST_HASHES
     # Bodies are made again for repeats alone: those of all pieces would be the texts twice over.
-    found = written(piece_table(docs, pieces, True).join(F.broadcast(repeated) if few else repeated, "hash").withColumn("is_first", place == F.col("first")), "repeats")
+    found = written(bodies_of(docs, pieces, repeated, repeated.count() <= BROADCAST_HASHES).withColumn("is_first", place == F.col("first")), "repeats")
     first = found.where("is_first").groupBy("hash").agg(F.first("body").alias("first_body"))
     # One row of a hash meets all its repeats; a hash with many is split by the adaptive skew join.
     equal = found.where("not is_first").join(first, "hash").where("body = first_body")
@@ -149,14 +187,8 @@ def _remove(docs: DataFrame, pieces: Callable[[list[str]], list[tuple[int, int]]
     places = gone.agg(F.sum(2 * F.size("places") + 4)).first()[0] or 0
     gone = F.broadcast(gone) if places <= BROADCAST_PLACES else gone
 
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            keys = [None if text is None else _row_key(text) for text in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, "row_key_"])
-
-    keyed = map_batches(docs, key, docs._jdf.schema().toDDL() + ", row_key_ long")
-    joined = keyed.join(gone, (keyed.doc_id == gone.gone_id) & (keyed.row_key_ == gone.gone_key), "left").drop("gone_id", "gone_key", "row_key_")
+    rows = keyed(docs)
+    joined = rows.join(gone, (rows.doc_id == gone.gone_id) & (rows.row_key_ == gone.gone_key), "left").drop("gone_id", "gone_key", "row_key_")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -329,6 +329,17 @@ def test_runs_of_few_lines_equal_brute_force(spark):
     assert {r.doc_id: r.text for r in got} == brute_runs(texts)
 
 
+def test_shuffled_repeats_equal_broadcast(spark, monkeypatch):
+    draw = random.Random(18)
+    texts = ["\n".join(draw.choice(["a", "b", "c", "d", "", "e", "long " * 60]) for _ in range(draw.randint(0, 9))) for _ in range(60)]
+    rows = [(n % 50, t, "en", "s", 1) for n, t in enumerate(texts)] + [(None, "a\nb", "en", "s", 1), (7, texts[7], "en", "s", 1)]
+    made = spark.createDataFrame(rows, DOCS)
+    want = sorted(map(repr, line_dedup.remove_runs(made).collect()))
+    monkeypatch.setattr(line_dedup, "BROADCAST_HASHES", -1)
+    monkeypatch.setattr(line_dedup, "BROADCAST_PLACES", -1)
+    assert sorted(map(repr, line_dedup.remove_runs(made).collect())) == want
+
+
 def test_chunks_are_shift_resistant():
     lines = [f"text of line {n}" for n in range(400)]
     bodies = lambda t: {tuple(t.split("\n")[a:b]) for a, b in line_dedup.chunks(t)}

@@ -57,7 +57,16 @@ def written(df: DataFrame, name: str, fmt: str = "parquet", **options: str) -> D
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{re.sub(r'[^a-z0-9]+', '-', name)}-{uuid.uuid4().hex}"
     df.write.format(fmt).options(**options).save(path)
-    return spark.read.schema(df.schema).format(fmt).load(path)
+    found = spark.read.schema(df.schema).format(fmt).load(path)
+    found.written_path = path
+    return found
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``written`` wrote for frames that nothing reads any more."""
+    for frame in frames:
+        path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(frame.written_path)
+        path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _SHIPPED: set[str] = set()

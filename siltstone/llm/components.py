@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star.
 
-Only pairs of ids move. Minima are pre-aggregated before each shuffle; a hub's pairs are joined with one row,
-so that skewed partitions can be split. Every round is written to the shared folder.
+Only pairs of ids move. Minima are pre-aggregated before each shuffle, and dealt once more before they are joined, so
+that the adaptive skew join can split a hub's pairs, which all meet one row. Every round is written to the shared
+folder, and the round before it deleted.
 
 Results: null ends and loops are ignored, repeated pairs count once, no pairs give no rows.
 """
@@ -11,21 +12,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import written
+from siltstone.llm.common import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the smallest of the node and its neighbours."""
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return both.where("v > u").join(least.repartition("u"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are tied to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    tied = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    tied = down.join(least.repartition("u"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return tied.unionAll(least.select("u", F.col("m").alias("v")))
 
 
@@ -34,7 +35,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     edges = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     before = None
     for _ in range(rounds):
-        edges = written(_small_star(_large_star(edges)).distinct(), "stars")
+        last, edges = edges, written(_small_star(_large_star(edges)).distinct(), "stars")
+        discard(last)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.functions.text import copy_form
+from siltstone.plans.schema import Marked
 
 #: Pieces that are sought, and what a window has before and after its value.
 PIECE, LEAST_PIECE, BEFORE, AFTER = 16, 8, 24, 48
@@ -32,23 +34,52 @@ def coverage(value: pd.Series, part: pd.Series) -> pd.Series:
     return pd.Series([share(a, b) for a, b in zip(value, part, strict=True)], dtype="float64")
 
 
+def marked_values(data: DataFrame, marked: list[Marked]) -> DataFrame:
+    """``doc_id, path, value, labels, ratio``: the strings of ``data (doc_id, data)`` under a copy contract, blank ones left out."""
+    found = []
+    for field in marked:
+        rows = data.select("doc_id", F.lit("").alias("path"), F.try_parse_json("data").alias("v"))
+        for number, (name, listed) in enumerate(field.steps):
+            path = F.concat("path", F.lit(("." if number else "") + name))
+            inner = F.try_variant_get("v", f"$['{name}']", "variant")
+            if listed:
+                rows = rows.select("doc_id", path.alias("path"), F.posexplode(F.try_variant_get(inner, "$", "array<variant>")).alias("n", "v"))
+                rows = rows.select("doc_id", F.concat("path", F.lit("["), F.col("n").cast("string"), F.lit("]")).alias("path"), "v")
+            else:
+                rows = rows.select("doc_id", path.alias("path"), inner.alias("v"))
+        strings = rows.where(F.schema_of_variant("v") == "STRING").select("doc_id", "path", F.try_variant_get("v", "$", "string").alias("value"))
+        found.append(strings.withColumns({"labels": F.array(*map(F.lit, field.labels)).cast("array<string>"), "ratio": F.lit(field.ratio)}))
+    return reduce(DataFrame.unionByName, found).where(F.length(F.trim("value")) > 0)
+
+
 def breaches(values: DataFrame, documents: DataFrame) -> DataFrame:
-    """``doc_id, path, code, label, coverage`` of values ``(doc_id, path, value, labels, ratio)`` that break the contract.
+    """``doc_id, path, code, label, coverage, value`` of values ``(doc_id, path, value, labels, ratio)`` that break the contract.
 
     A value that begins with the heading of a sibling (label and colon) is a ``heading`` breach; one that is not
-    in the document and covers less than ``ratio`` of its best window is a ``verbatim`` one. Only values that are
-    not plain copies reach the Python matcher.
+    in the document and covers less than ``ratio`` of its best window is a ``verbatim`` one. A document's values meet
+    its text together, so it is sent and brought to its normal form once; only windows of values that are not plain
+    copies reach the Python matcher.
     """
-    rows = values.where(F.length(F.trim("value")) > 0).join(documents.select("doc_id", copy_form(F.col("text")).alias("source")), "doc_id").withColumn("norm", copy_form(F.col("value")))
+    marked = values.where(F.length(F.trim("value")) > 0).withColumn("norm", copy_form(F.col("value")))
     forms = F.filter(F.transform("labels", lambda x: F.struct(x.alias("label"), copy_form(x).alias("form"))), lambda x: (x["form"] != "") & (F.startswith(F.col("norm"), F.concat(x["form"], F.lit("："))) | F.startswith(F.col("norm"), F.concat(x["form"], F.lit(":")))))
-    rows = rows.withColumn("label", F.get(forms, F.lit(0))["label"])
-    heading = rows.where("label is not null").select("doc_id", "path", F.lit("heading").alias("code"), "label", F.lit(0.0).alias("coverage"))
-    other = rows.where(F.col("label").isNull() & ~F.contains("source", F.col("norm"))).withColumn("part", window(F.col("source"), F.col("norm")))
-    measured = other.withColumn("coverage", coverage("norm", F.coalesce("part", F.lit(""))))
-    verbatim = measured.where("part is null or coverage < ratio").select("doc_id", "path", F.lit("verbatim").alias("code"), F.lit("").alias("label"), "coverage")
+    rows = marked.select("doc_id", "path", "value", "norm", "ratio", F.get(forms, F.lit(0))["label"].alias("label"))
+    heading = rows.where("label is not null").select("doc_id", "path", F.lit("heading").alias("code"), "label", F.lit(0.0).alias("coverage"), "value")
+    gathered = rows.where("label is null").groupBy("doc_id").agg(F.collect_list(F.struct("path", "value", "norm", "ratio")).alias("found"))
+    met = gathered.join(documents.select("doc_id", copy_form(F.col("text")).alias("source")), "doc_id")
+    other = F.filter("found", lambda x: ~F.contains(F.col("source"), x["norm"]))
+    cut = F.transform(other, lambda x: F.struct(x["path"].alias("path"), x["value"].alias("value"), x["norm"].alias("norm"), x["ratio"].alias("ratio"), window(F.col("source"), x["norm"]).alias("part")))
+    measured = met.select("doc_id", F.explode(cut).alias("x")).select("doc_id", "x.*").withColumn("coverage", coverage("norm", F.coalesce("part", F.lit(""))))
+    verbatim = measured.where("part is null or coverage < ratio").select("doc_id", "path", F.lit("verbatim").alias("code"), F.lit("").alias("label"), "coverage", "value")
     return heading.unionByName(verbatim)
 
 
+def copy_issues(found: DataFrame) -> DataFrame:
+    """Breaches as issues to repair: ``doc_id, path, message, code, expected, got, report_only``."""
+    heading = F.concat(F.lit("begins with the heading "), "label", F.lit(", whose text has a field of its own; give what is left of this block"))
+    other = F.concat(F.lit("stands in the document for "), F.bround(F.col("coverage") * 100, 0).cast("int").cast("string"), F.lit(" % only; copy it out word by word, all of it"))
+    return found.select("doc_id", "path", F.when(F.col("code") == "heading", heading).otherwise(other).alias("message"), "code", F.lit("a copy from the document").alias("expected"), F.col("value").alias("got"), F.lit(False).alias("report_only"))
+
+
 def copy_budgets(material: DataFrame, marked: list[str]) -> DataFrame:
     """``doc_id, path, budgets`` of units with copied fields: an item costs its material, a gap the item's before it."""
     rows = material.where(F.col("unit").isin(marked))

@@ -17,17 +17,23 @@ STRATEGIES = ("whole", "per-item")
 
 
 def groups(assignments: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Groups of consecutive chunks of one destination; ``assignments (doc_id, unit, parent, item, chunk_id)``."""
+    """Groups of consecutive chunks of one destination; ``assignments (doc_id, unit, parent, item, chunk_id)``, and ``item_lo, item_hi`` of ranges.
+
+    A range that was drawn alone on its line is one group for all its items.
+    """
     from siltstone.operators.intervals import runs
 
-    keys = ["doc_id", "unit", "parent", "item"]
-    found = runs(assignments.na.fill(-1, ["parent", "item"]), keys)
-    rows = found.withColumn("chunk_id", F.explode(F.sequence("start", "end"))).join(chunks.select("doc_id", F.col("chunk_id").cast("long").alias("chunk_id"), "text"), ["doc_id", "chunk_id"])
-    texts = F.sort_array(F.collect_list(F.struct("chunk_id", "text")))
-    made = rows.groupBy(*keys, "start").agg(F.transform(texts, lambda t: t["chunk_id"]).alias("chunk_ids"), F.array_join(F.transform(texts, lambda t: t["text"]), "\n").alias("text"))
     none = F.lit(None).cast("long")
-    order = Window.partitionBy("doc_id").orderBy("start", "unit", "parent", "item")
-    return made.withColumn("seq", F.row_number().over(order) - 1).select("doc_id", "seq", "unit", F.nullif("parent", F.lit(-1)).alias("parent"), F.nullif("item", F.lit(-1)).alias("item"), none.alias("item_lo"), none.alias("item_hi"), "chunk_ids", "text")
+    rows = assignments if "item_lo" in assignments.columns else assignments.withColumns({"item_lo": none, "item_hi": none})
+    rows = rows.withColumn("item", F.when(F.col("item_lo").isNull(), F.col("item")))
+    keys = ["doc_id", "unit", "parent", "item", "item_lo", "item_hi"]
+    found = runs(rows.select(*keys, "chunk_id").na.fill(-1, keys[2:]), keys)
+    order = Window.partitionBy("doc_id").orderBy("start", "unit", "parent", "item", "item_lo")
+    spans = found.withColumn("seq", F.row_number().over(order) - 1)
+    met = spans.withColumn("chunk_id", F.explode(F.sequence("start", "end"))).join(chunks.select("doc_id", F.col("chunk_id").cast("long").alias("chunk_id"), "text"), ["doc_id", "chunk_id"])
+    texts = met.groupBy("doc_id", "seq", *keys[1:]).agg(F.sort_array(F.collect_list(F.struct("chunk_id", "text"))).alias("texts"))
+    real = [F.nullif(F.col(k), F.lit(-1).cast("long")).alias(k) for k in keys[2:]]
+    return texts.select("doc_id", "seq", "unit", *real, F.transform("texts", lambda t: t["chunk_id"]).alias("chunk_ids"), F.array_join(F.transform("texts", lambda t: t["text"]), "\n").alias("text"))
 
 
 def strategies(rows: DataFrame, overrides: dict[str, str] | None = None) -> DataFrame:
@@ -74,62 +80,65 @@ CALLS = ["doc_id", "unit", "parent", "strategy", "item", "batch", "chunk_ids", "
 def plan_calls(rows: DataFrame, budgets: DataFrame, cap: int = BATCH_CAP, overrides: dict[str, str] | None = None) -> DataFrame:
     """``doc_id, call_seq`` and a row a call: one for each ranged group, batches of items, or one for a whole unit.
 
-    ``budgets`` have ``doc_id, unit, budgets`` (a list in item order).
+    ``budgets`` have ``doc_id, unit, budgets`` (a list in item order). Groups become pieces of calls by joins on
+    document, unit, parent and item; texts are gathered once, when pieces are put together.
     """
-    keys = ["doc_id", "unit", "parent"]
-    known = rows.join(budgets.select("doc_id", "unit", "budgets"), ["doc_id", "unit"], "left")
-    ranged = known.where("item_lo is not null").select(
-        *keys,
-        F.lit("ranged").alias("strategy"),
-        F.lit(None).cast("long").alias("item"),
-        F.sequence("item_lo", "item_hi").alias("batch"),
-        "chunk_ids",
-        F.col("text").alias("scope"),
-        F.when(F.col("budgets").isNotNull(), F.transform(F.sequence("item_lo", "item_hi"), lambda i: at_item(F.col("budgets"), i))).alias("budget"),
-        "seq",
-    )
-    plain = known.where("item_lo is null")
-    chosen = _with_strategy(plain, strategies(rows, overrides))
-    texts = F.sort_array(F.collect_list(F.struct("seq", "chunk_ids", "text", "item", "budgets")))
-    gathered = chosen.groupBy(*keys, "strategy").agg(texts.alias("rows"), F.min("seq").alias("seq"))
+    keys = ["doc_id", "unit", "host"]
+    least = F.lit(-1).cast("long")
+    coded = rows.select("doc_id", "unit", F.coalesce("parent", least).alias("host"), F.coalesce("item", least).alias("slot"), "item_lo", "item_hi", F.col("seq").cast("long").alias("seq"), "chunk_ids", "text")
+    piece = [*keys, "strategy", "call_no", "items", "rank", "seq", "chunk_ids", "text"]
+    ranged = coded.where("item_lo is not null").select(*keys, F.lit("ranged").alias("strategy"), F.col("seq").alias("call_no"), F.sequence("item_lo", "item_hi").alias("items"), F.lit(0).cast("long").alias("rank"), "seq", "chunk_ids", "text")
+    chosen = strategies(rows, overrides).select("doc_id", "unit", F.coalesce("parent", least).alias("host"), "strategy")
+    plain = coded.where("item_lo is null").join(chosen, keys)
     # Groups of the same chunks are one text: the first one's place, the last one's text.
-    seen = F.transform("rows", lambda r: r["chunk_ids"])
-    once = F.filter("rows", lambda r, i: F.array_position(seen, r["chunk_ids"]) == i + 1)
-    whole = gathered.where("strategy = 'whole'").select(
-        *keys,
+    once = plain.where("strategy = 'whole'").groupBy(*keys, "strategy", "chunk_ids").agg(F.min("seq").alias("seq"), F.max_by("text", "seq").alias("text"))
+    whole = once.withColumns({"call_no": F.lit(0).cast("long"), "items": F.lit(None).cast("array<bigint>"), "rank": F.lit(0).cast("long")}).select(*piece)
+    single = plain.where("strategy = 'per-item'")
+    told = budgets.select("doc_id", "unit", "budgets")
+    slots = single.select(*keys, "slot").distinct().join(told, ["doc_id", "unit"], "left")
+    spent = F.when(F.col("budgets").isNotNull(), at_item(F.col("budgets"), F.greatest("slot", F.lit(0).cast("long"))))
+    listed = slots.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("slot").alias("item"), spent.alias("budget")))).alias("items"))
+    runs = listed.select(*keys, F.posexplode(batches(F.col("items"), cap)).alias("call_no", "items"))
+    met = runs.withColumn("slot", F.explode("items")).join(single.drop("strategy"), [*keys, "slot"])
+    per_item = met.select(*keys, F.lit("per-item").alias("strategy"), F.col("call_no").cast("long").alias("call_no"), "items", F.col("slot").alias("rank"), "seq", "chunk_ids", "text")
+    pieces = ranged.select(*piece).unionByName(whole).unionByName(per_item.select(*piece))
+    gathered = F.array_sort(F.collect_list(F.struct("rank", "seq", "chunk_ids", "text")))
+    calls = pieces.groupBy(*keys, "strategy", "call_no").agg(F.first("items").alias("items"), gathered.alias("pieces"), F.min("seq").alias("seq")).join(told, ["doc_id", "unit"], "left")
+    several = (F.col("strategy") == "ranged") | (F.size("items") > 1)
+    first = F.get("items", F.lit(0))
+    made = calls.select(
+        "doc_id",
+        "unit",
+        F.nullif("host", least).alias("parent"),
         "strategy",
-        F.lit(None).cast("long").alias("item"),
-        F.lit(None).cast("array<bigint>").alias("batch"),
-        F.flatten(F.transform(once, lambda r: r["chunk_ids"])).alias("chunk_ids"),
-        F.array_join(F.transform(once, lambda r: F.element_at(F.filter("rows", lambda s: s["chunk_ids"] == r["chunk_ids"]), -1)["text"]), "\n\n").alias("scope"),
-        F.get("rows", F.lit(0))["budgets"].alias("budget"),
+        F.when(~several, F.nullif(first, least)).alias("item"),
+        F.when(several, F.col("items")).alias("batch"),
+        F.flatten(F.transform("pieces", lambda p: p["chunk_ids"])).alias("chunk_ids"),
+        F.array_join(F.transform("pieces", lambda p: p["text"]), "\n\n").alias("scope"),
+        F.when(F.col("items").isNull(), F.col("budgets")).when(F.col("budgets").isNotNull(), F.transform("items", lambda i: at_item(F.col("budgets"), F.greatest(i, F.lit(0).cast("long"))))).alias("budget"),
         "seq",
     )
-    budget = lambda r: F.when(r["budgets"].isNotNull(), at_item(r["budgets"], F.coalesce(r["item"], F.lit(0).cast("long"))))
-    items = F.array_sort(F.array_distinct(F.transform("rows", lambda r: F.struct(r["item"].alias("item"), budget(r).alias("budget")))))
-    runs = gathered.where("strategy = 'per-item'").withColumn("run", F.explode(batches(items, cap)))
-    mine = F.filter("rows", lambda r: F.array_contains("run", F.coalesce(r["item"], F.lit(-1).cast("long"))))
-    ordered = F.array_sort(mine, lambda x, y: F.when(x["item"] < y["item"], -1).when(x["item"] > y["item"], 1).when(x["seq"] < y["seq"], -1).otherwise(1))
-    single = F.size("run") == 1
-    per_item = runs.select(
-        *keys,
-        "strategy",
-        F.when(single, F.get("run", F.lit(0))).alias("item"),
-        F.when(~single, F.col("run")).alias("batch"),
-        F.flatten(F.transform(ordered, lambda r: r["chunk_ids"])).alias("chunk_ids"),
-        F.array_join(F.transform(ordered, lambda r: r["text"]), "\n\n").alias("scope"),
-        F.when(F.get("rows", F.lit(0))["budgets"].isNotNull(), F.transform("run", lambda i: at_item(F.get("rows", F.lit(0))["budgets"], i))).alias("budget"),
-        "seq",
-    )
-    every = ranged.unionByName(whole).unionByName(per_item)
     order = Window.partitionBy("doc_id").orderBy("first_seq", F.col("parent").asc_nulls_first(), F.when(F.col("strategy") == "ranged", 0).otherwise(1), F.coalesce("item", F.get("batch", F.lit(0))).asc_nulls_first(), "seq")
-    first = F.min("seq").over(Window.partitionBy("doc_id", "unit"))
-    return every.withColumn("first_seq", first).withColumn("call_seq", (F.row_number().over(order) - 1).cast("long")).select("call_seq", *CALLS)
+    earliest = rows.groupBy("doc_id", "unit").agg(F.min("seq").alias("first_seq"))
+    return made.join(earliest, ["doc_id", "unit"]).withColumn("call_seq", (F.row_number().over(order) - 1).cast("long")).select("call_seq", *CALLS)
 
 
-def _with_strategy(plain: DataFrame, chosen: DataFrame) -> DataFrame:
-    c = chosen.select(F.col("doc_id").alias("c_doc"), F.col("unit").alias("c_unit"), F.col("parent").alias("c_parent"), "strategy")
-    return plain.join(c, (plain.doc_id == F.col("c_doc")) & (plain.unit == F.col("c_unit")) & plain.parent.eqNullSafe(F.col("c_parent"))).drop("c_doc", "c_unit", "c_parent")
+def overridden(calls: DataFrame, assigned: DataFrame, gives_way: dict[str, dict[str, list[str]]]) -> DataFrame:
+    """``doc_id, call_seq, siblings``: the lifted siblings that all items of a call have reads of their own in, so that fields which give way to them are not asked for.
+
+    ``assigned (doc_id, unit, parent, item)`` is what is routed; ``gives_way`` is unit -> sibling -> fields.
+    """
+    pairs = [(unit, sibling, f"{unit}.{sibling}") for unit, found in gives_way.items() for sibling in found]
+    table = F.broadcast(calls.sparkSession.createDataFrame(pairs, "unit string, sibling string, child string"))
+    mine = calls.join(table, "unit").select("doc_id", "call_seq", "unit", "sibling", "child", "item", "batch")
+    some = F.col("batch").isNotNull() | F.col("item").isNotNull()
+    named = mine.where(some).withColumn("slot", F.explode(F.coalesce("batch", F.array("item")))).drop("item", "batch")
+    routed = assigned.select("doc_id", "unit", F.col("item").alias("slot")).distinct()
+    whole = mine.where(~some).drop("item", "batch").join(routed, ["doc_id", "unit"])
+    covered = assigned.where("parent is not null").select("doc_id", F.col("unit").alias("child"), F.col("parent").alias("slot")).distinct().withColumn("has", F.lit(1))
+    every = named.unionByName(whole.select(*named.columns)).join(covered, ["doc_id", "child", "slot"], "left")
+    full = every.groupBy("doc_id", "call_seq", "sibling").agg(F.min(F.coalesce("has", F.lit(0))).alias("has")).where("has = 1")
+    return full.groupBy("doc_id", "call_seq").agg(F.array_sort(F.collect_set("sibling")).alias("siblings"))
 
 
 def value_path(unit: Column, parent: Column) -> Column:

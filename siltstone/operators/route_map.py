@@ -130,8 +130,15 @@ def claims(dests: DataFrame) -> DataFrame:
 
 
 def assignments(dests: DataFrame) -> DataFrame:
-    """``doc_id, code, item, parent_code, parent, chunk_id`` of everything mapped, each once."""
-    return intervals.expand(claims(dests).select("doc_id", "code", "item", "parent_code", "parent", "start", "end")).distinct()
+    """``doc_id, code, item, parent_code, parent, chunk_id`` of everything mapped, each once.
+
+    ``item_lo, item_hi`` are the ends of a range of several items that stands alone on its line, and null for others;
+    an item that is claimed both ways is its range's.
+    """
+    alone = F.col("ranged") & (F.col("item_hi") > F.col("item_lo"))
+    rows = claims(dests).withColumns({"item_lo": F.when(alone, F.col("item_lo")), "item_hi": F.when(alone, F.col("item_hi"))})
+    points = intervals.expand(rows.select("doc_id", "code", "item", "parent_code", "parent", "start", "end", "item_lo", "item_hi"))
+    return points.groupBy("doc_id", "code", "item", "parent_code", "parent", "chunk_id").agg(F.min("item_lo").alias("item_lo"), F.min("item_hi").alias("item_hi"))
 
 
 def _error(rows: DataFrame, rule: str, *parts) -> DataFrame:

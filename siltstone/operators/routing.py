@@ -12,8 +12,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.text import estimate_tokens
 from siltstone.operators import hints, intervals, recounts, route_map
-from siltstone.plans.units import Unit, code
+from siltstone.plans.quota import Quota
+from siltstone.plans.units import Unit, code, name_list
 from siltstone.sources.runner import Runner, ask
 from siltstone.sources.shared import kept
 
@@ -40,7 +42,9 @@ SHARED = "These units' runs look too long for their counts. Split what the parts
 
 
 def legend(units: list[Unit]) -> str:
-    return "\n".join(f"{code(n)} = {unit.card}" for n, unit in enumerate(units))
+    """A card a unit by code; lists of single strings are told to be budgeted by words."""
+    marks = {True: "\n  (a list of words: its budget is @<chars>x<words>)", False: ""}
+    return "\n".join(f"{code(n)} = {unit.card}{marks[name_list(unit)]}" for n, unit in enumerate(units))
 
 
 def listing(chunks: DataFrame) -> DataFrame:
@@ -58,15 +62,18 @@ def _text(reply: Column) -> Column:
     return F.coalesce(F.from_json(F.concat(F.lit('{"t":'), reply, F.lit("}")), "t string")["t"], F.lit(""))
 
 
-def route(documents: DataFrame, chunks: DataFrame, units: list[Unit], table: DataFrame, factory: Callable[[], Runner], rounds: int = ROUNDS, instructions: str = INSTRUCTIONS, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+def route(documents: DataFrame, chunks: DataFrame, units: list[Unit], table: DataFrame, factory: Callable[[], Runner], rounds: int = ROUNDS, instructions: str = INSTRUCTIONS, quota: Quota | None = None, lead: str = "", recount_instructions: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``(lines, errors)``: the settled lines of each document's map, and what is wrong with maps that did not settle.
 
     ``table`` is the units as a table. A document that fails its call has no lines and an error.
     """
     parts = kept(listing(chunks).join(documents.select("doc_id", F.col("text").alias("content")), "doc_id"), "parts")
     none = F.lit(None).cast("string")
-    first = F.replace(F.lit(instructions.replace("{legend}", legend(units))), F.lit("{parts}"), F.col("parts"))
-    replies = kept(ask(_requests(parts, first, none, none, 0), factory, partitions), "routes")
+    told = lead + instructions.replace("{legend}", legend(units))
+    first = F.replace(F.lit(told), F.lit("{parts}"), F.col("parts"))
+    # The parts say the text once more, so it counts twice.
+    tokens = estimate_tokens(F.col("content"), F.col("content"), F.lit(told))
+    replies = kept(ask(_requests(parts, first, none, none, 0).join(parts.select("doc_id", tokens.alias("tokens")), "doc_id"), factory, quota), "routes")
     sizes = parts.select("doc_id", "size").join(replies.where("error is null").select("doc_id"), "doc_id", "left_semi")
     failed = replies.where("error is not null").select("doc_id", F.lit("call failed").alias("rule"), F.col("error").alias("detail"))
     lines = kept(route_map.lines_of(replies.where("error is null").select("doc_id", _text(F.col("data")).alias("text"))), "lines")
@@ -83,7 +90,7 @@ def route(documents: DataFrame, chunks: DataFrame, units: list[Unit], table: Dat
         rows = kept(asked.join(parts.select("doc_id", "content"), "doc_id").join(history, "doc_id"), "asked")
         if rows.isEmpty():
             break
-        replies = kept(ask(_requests(rows, F.lit(""), F.col("feedback"), F.col("history"), number), factory, partitions), "routes")
+        replies = kept(ask(_requests(rows, F.lit(""), F.col("feedback"), F.col("history"), number), factory, quota), "routes")
         told = replies.where("error is null").select("doc_id", _text(F.col("data")).alias("text"))
         changes = route_map.edits(told)
         patched = route_map.applied(lines.join(changes.select("doc_id").distinct(), "doc_id", "left_semi"), route_map.net_edits(changes))
@@ -99,11 +106,11 @@ def route(documents: DataFrame, chunks: DataFrame, units: list[Unit], table: Dat
     loose = hints.passable(wrong)
     settled = lines.join(wrong.select("doc_id").distinct().join(loose, "doc_id", "left_anti"), "doc_id", "left_anti")
     wrong = wrong.join(loose, "doc_id", "left_anti")
-    settled = recounted(settled, parts, sizes, table, factory, partitions)
+    settled = recounted(settled, parts, sizes, table, factory, quota, recount_instructions)
     return settled, wrong.unionByName(failed)
 
 
-def recounted(lines: DataFrame, parts: DataFrame, sizes: DataFrame, table: DataFrame, factory: Callable[[], Runner], partitions: int | None = None) -> DataFrame:
+def recounted(lines: DataFrame, parts: DataFrame, sizes: DataFrame, table: DataFrame, factory: Callable[[], Runner], quota: Quota | None = None, instructions: str | None = None) -> DataFrame:
     """Lines after one fresh count of units that a map declares empty, or declares and does not draw.
 
     The count begins without history, so that a first answer is no anchor. Its lines join the map on chunks
@@ -117,8 +124,8 @@ def recounted(lines: DataFrame, parts: DataFrame, sizes: DataFrame, table: DataF
     if asked.isEmpty():
         return lines
     none = F.lit(None).cast("string")
-    text = F.concat(F.lit(RECOUNT), F.col("legend"), F.lit("\nParts:\n"), F.col("parts"))
-    replies = kept(ask(_requests(asked, text, none, none, ROUNDS), factory, partitions), "routes")
+    text = F.concat(F.lit(instructions or RECOUNT), F.col("legend"), F.lit("\nParts:\n"), F.col("parts"))
+    replies = kept(ask(_requests(asked, text, none, none, ROUNDS), factory, quota), "routes")
     answer = route_map.lines_of(replies.where("error is null").select("doc_id", _text(F.col("data")).alias("text")))
     added = kept(recounts.spliced(dests, route_map.destinations(answer, table)), "answers")
     lines_added = answer.join(added.select("doc_id", "line_no").distinct(), ["doc_id", "line_no"], "left_semi")
@@ -143,13 +150,14 @@ def recounted(lines: DataFrame, parts: DataFrame, sizes: DataFrame, table: DataF
 def routed_items(lines: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(assignments, counts)``: what is mapped where (``doc_id, unit, parent, item, chunk_id``), and how many instances are declared by value path.
 
-    Units that mirror a source have its items.
+    Items of a range that stands alone on its line have its ends as ``item_lo, item_hi``. Units that mirror a source
+    have its items.
     """
     dests, told = route_map.destinations(lines, table), route_map.declarations(lines, table)
     paths = F.broadcast(table.select("code", "path", "field", "parent_path"))
-    rows = route_map.assignments(dests).join(paths, "code").select("doc_id", F.col("path").alias("unit"), "parent", "item", "chunk_id")
+    rows = route_map.assignments(dests).join(paths, "code").select("doc_id", F.col("path").alias("unit"), "parent", "item", "chunk_id", "item_lo", "item_hi")
     mirrors = told.where("source is not null").join(paths.select("code", F.col("path").alias("unit")), "code").join(F.broadcast(table.select(F.col("code").alias("source"), F.col("path").alias("source_path"))), "source").select("doc_id", F.col("unit").alias("mirror"), F.col("source_path").alias("unit"))
-    copied = rows.join(mirrors, ["doc_id", "unit"]).select("doc_id", F.col("mirror").alias("unit"), "parent", "item", "chunk_id")
+    copied = rows.join(mirrors, ["doc_id", "unit"]).select("doc_id", F.col("mirror").alias("unit"), "parent", "item", "chunk_id", "item_lo", "item_hi")
     every = rows.unionByName(copied)
     own = hints.drawn_counts(told.where("source is null"), dests).join(paths, "code")
     key = F.when(F.col("parent").isNull(), F.col("path")).otherwise(F.concat("parent_path", F.lit("["), F.col("parent").cast("string"), F.lit("]."), "field"))

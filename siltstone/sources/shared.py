@@ -20,7 +20,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def kept(rows: DataFrame, name: str) -> DataFrame:
-    """Rows written once and read back: a lost executor costs no second call."""
+    """Rows written once and read back: a lost executor costs no second call, and the plan begins anew."""
     path = f"{shared_dir(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
     rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    found = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    found.kept_path = path
+    return found
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``kept`` wrote for frames that nothing reads any more."""
+    for frame in frames:
+        spark = frame.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(frame.kept_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

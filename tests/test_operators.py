@@ -206,7 +206,7 @@ def test_extraction(spark):
     assert data == {1: {"basic": {"name": "Ann Lee"}, "jobs": [{"company": "Acme"}, {"company": "Beta"}], "created": "today"}, 2: {}, 3: {}}
     assert found.issues.count() == 0
     assert [(r.doc_id, r.rule) for r in found.errors.collect()] == [(3, "call failed")]
-    assert found.maps.first().map.split("\n")[:3] == ["0 a", "1 b.0", "2 b.1"] and found.prompts == {"router": "default", "specialist": "default"}
+    assert found.maps.first().map.split("\n")[:3] == ["0 a", "1 b.0", "2 b.1"] and found.prompts == {"router": "default", "recount": "default", "specialist": "default"}
     assert extraction.typed(found, "created string, jobs array<struct<company:string>>").where("doc_id = 1").first().jobs[1].company == "Beta"
 
 

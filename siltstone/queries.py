@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import chunking, json_values, text
 from siltstone.operators import budgets, copies, corrections, evals, execution, hints, intervals, recounts, route_map, verdicts
+from siltstone.plans.schema import marked_fields
 from siltstone.plans.units import decompose, units_table
 from siltstone.sources.documents import spread
 from siltstone.sources.shipping import ship
@@ -96,13 +97,23 @@ packed AS (SELECT doc_id, b, list_reduce(list_transform(ps, lambda x: {'done': [
   CASE WHEN length(x.open) > 250 THEN {'done': list_concat(CASE WHEN a.open = '' THEN a.done ELSE list_append(a.done, a.open) END, list_transform(range(0, length(x.open), 250), lambda i: substr(x.open, i + 1, 250))), 'open': ''}
        WHEN length(a.open) + length(x.open) > 250 THEN {'done': list_append(a.done, a.open), 'open': x.open}
        ELSE {'done': a.done, 'open': a.open || x.open} END, {'done': []::VARCHAR[], 'open': ''}) AS f FROM pieces),
-flat AS (SELECT doc_id, b, unnest(CASE WHEN f.open = '' THEN f.done ELSE list_append(f.done, f.open) END) AS chunk FROM packed)
-SELECT doc_id, count(*) AS n_chunks, max(length(chunk)) AS longest, CAST(sum(length(chunk)) AS BIGINT) AS n_chars, CAST(sum(length(regexp_replace(chunk, '\\s+', '', 'g'))) AS BIGINT) AS content FROM flat GROUP BY doc_id
+flat AS (SELECT doc_id, b, CASE WHEN f.open = '' THEN f.done ELSE list_append(f.done, f.open) END AS c FROM packed),
+every AS (SELECT doc_id, b, unnest(range(len(c))) AS k, unnest(c) AS chunk FROM flat)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY b, k) - 1 AS chunk_id, length(chunk) AS n_chars, length(regexp_replace(chunk, '\\s+', '', 'g')) AS content_len, md5(chunk) AS text_md5 FROM every
 """
 )
 def chunk_documents(spark, sf_dir):
     found = chunking.chunk(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return found.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max(F.length("text").cast("long")).alias("longest"), F.sum(F.length("text")).alias("n_chars"), F.sum("content_len").alias("content"))
+    return found.select("doc_id", F.col("chunk_id").cast("long").alias("chunk_id"), F.length("text").cast("long").alias("n_chars"), F.col("content_len").cast("long").alias("content_len"), F.md5("text").alias("text_md5"))
+
+
+@query()
+def chunk_structures(spark, sf_dir):
+    """Documents whose lines are made headings, items, rows, entries and clauses by their number; tests hold the chunks against a plain chunker."""
+    marks = F.array(*map(F.lit, ["# ", "- ", "1. ", "| ", "\u2022 ", "", "(", "", "", ""]))
+    kept = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.element_at(marks, (i % 10 + 1).cast("int")), F.regexp_replace(x, ", ", "; "), F.when(i % 10 == 7, F.lit(")")).when(i % 10 == 9, F.lit("\n")).otherwise(F.lit(""))))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.array_join(kept, "\n").alias("text")))
+    return chunking.chunk(docs).select("doc_id", F.col("chunk_id").cast("long").alias("chunk_id"), "text", "opens_section")
 
 
 @query("SELECT doc_id, CAST(round_even((length(text) + length(lang)) / 1.6, 0) AS BIGINT) AS tokens, length(regexp_replace(text, '\\s+', '', 'g')) AS content FROM documents")
@@ -304,19 +315,59 @@ def map_declarations(spark, sf_dir):
     return route_map.declarations(route_map.lines_of(map_texts(spark, sf_dir)), units).select("doc_id", "code", "n")
 
 
-@query(LINES_SQL + "SELECT doc_id, 'not covered' AS rule, start || ' ' || \"end\" AS detail FROM (SELECT doc_id, start, \"end\", lag(code) OVER w AS before, lead(code) OVER w AS after, code FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY start)) WHERE code = '-' UNION ALL SELECT doc_id, 'declared before the map', k.code FROM (SELECT doc_id FROM runs GROUP BY doc_id HAVING count(*) FILTER (code <> '-') = 0) JOIN (VALUES ('b'), ('c')) AS k(code) ON true")
+#: A broken map for each of the thirteen rules, over ``s`` chunks, and what is wrong with it.
+BROKEN = [
+    ("0-{s3} a\n{s2} c.0\n{s1} -\nc: 1\nhello", [("unread", "hello")]),
+    ("b: 0\n0-{s3} a\n{s2} c.0\n{s1} -\nc: 1", [("declared before the map", "b")]),
+    ("0-{s3} a\n{s2} c.0\n{s1} q\nc: 1", [("destination", "no such unit: q"), ("not covered", "{s1} {s1}")]),
+    ("0-{s3} a\n0-1 a\n{s2} c.0\n{s1} -\nc: 1", [("overlap", "0 {s3}")]),
+    ("0-{s3} a\n{s2} c.0\n{s1}-{s} -\nc: 1", [("beyond the text", "{s1} {s}")]),
+    ("0-{s3} a\n{s2} c.0\nc: 1", [("not covered", "{s1} {s1}")]),
+    ("0-{s3} a\n{s2} c.0\n{s1} -", [("not declared", "c")]),
+    ("0-{s3} a\n{s2} c.0\n{s1} -\nc: 2", [("items differ from the count", "c 2")]),
+    ("0-{s3} a\n{s2} c.0\n{s1} c.3.d.0\nc: 1\nc.3.d: 1", [("parent without a line", "c 3")]),
+    ("0-{s3} a\n{s2} c.0\n{s1} -\nc: 1\nb = d", [("source is not mapped", "b d")]),
+    ("0-{s3} a\n{s2} c.0\n{s1} -\nc = a", [("mirrors and is mapped", "c a")]),
+    ("0-{s3} a\n{s2} c.0\n{s1} -\nc: 1\ne: 1", [("declared and not mapped", "e")]),
+    ("0-{s3} a\n{s2} c.0-2\n{s1} c.2-3\nc: 4", [("in two ranges", "c 2")]),
+]
+
+
+def _said(text_: str) -> str:
+    """A text over ``s`` as SQL."""
+    out = "'" + text_.replace("\n", "' || chr(10) || '") + "'"
+    for name, less in (("{s3}", " - 3"), ("{s2}", " - 2"), ("{s1}", " - 1"), ("{s}", "")):
+        out = out.replace(name, f"' || (s{less}) || '")
+    return out
+
+
+BROKEN_SQL = "WITH d AS (SELECT doc_id, 10 + doc_id % 5 AS s FROM documents) " + " UNION ALL ".join(f"SELECT doc_id, '{rule}' AS rule, {_said(detail)} AS detail FROM d WHERE doc_id % {len(BROKEN)} = {n}" for n, (_, wrong) in enumerate(BROKEN) for rule, detail in wrong)
+
+
+@query(BROKEN_SQL)
 def map_errors(spark, sf_dir):
-    """Maps without their lines for no unit: what they leave uncovered, or counts without a map."""
+    """Each document has a map that breaks one of the thirteen rules."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 5 + 10).alias("s"))
+    said = F.element_at(F.array(*(F.lit(shown) for shown, _ in BROKEN)), (F.col("doc_id") % len(BROKEN) + 1).cast("int"))
+    for name, less in (("{s3}", 3), ("{s2}", 2), ("{s1}", 1), ("{s}", 0)):
+        said = F.replace(said, F.lit(name), (F.col("s") - less).cast("string"))
+    found = route_map.lines_of(docs.select("doc_id", said.alias("text")))
+    return route_map.errors(found, units_table(spark, decompose(SCHEMA)), docs.select("doc_id", F.col("s").alias("size")))
+
+
+@query(LINES_SQL + "SELECT doc_id, 'not covered' AS rule, start || ' ' || \"end\" AS detail FROM runs WHERE code = '-' UNION ALL SELECT doc_id, 'declared before the map', k.code FROM (SELECT doc_id FROM runs GROUP BY doc_id HAVING count(*) FILTER (code <> '-') = 0) JOIN (VALUES ('b'), ('c')) AS k(code) ON true")
+def map_holes(spark, sf_dir):
+    """Maps of whole documents without their lines for no unit: what they leave uncovered, or counts without a map."""
     units = units_table(spark, decompose(SCHEMA))
     found = route_map.lines_of(map_texts(spark, sf_dir)).where(~F.col("line").endswith(" -"))
     return route_map.errors(found, units, sizes(spark, sf_dir))
 
 
-@query(LINES_SQL + "SELECT doc_id, string_agg(CASE WHEN start = \"end\" THEN start || '' ELSE start || '-' || \"end\" END || ' ' || CASE WHEN code IN ('b', 'c') THEN code || '.' || n ELSE code END, chr(10) ORDER BY start) AS map_lines FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, code ORDER BY start) - 1 AS n FROM runs) GROUP BY doc_id")
+@query(LINES_SQL + "SELECT doc_id, string_agg(CASE WHEN start = \"end\" THEN start || '' ELSE start || '-' || \"end\" END || ' ' || CASE WHEN code IN ('b', 'c') THEN code || '.' || n ELSE code END, chr(10) ORDER BY start) || chr(10) || 'b: ' || count(*) FILTER (code = 'b') || chr(10) || 'c: ' || count(*) FILTER (code = 'c') AS map_lines FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, code ORDER BY start) - 1 AS n FROM runs) GROUP BY doc_id")
 def rendered_maps(spark, sf_dir):
     units = units_table(spark, decompose(SCHEMA))
     found = route_map.lines_of(map_texts(spark, sf_dir))
-    shown = route_map.rendered(route_map.destinations(found, units), route_map.declarations(found, units).where("false"))
+    shown = route_map.rendered(route_map.destinations(found, units), route_map.declarations(found, units))
     return shown.select("doc_id", F.col("text").alias("map_lines"))
 
 
@@ -360,37 +411,25 @@ def shared_spans(spark, sf_dir):
 @query(
     LINES_SQL
     + """, l AS (SELECT doc_id, chunk_id, text, CASE WHEN length(text) % 6 = 0 THEN 'h' || chunk_id END AS own FROM coded), f AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY chunk_id) AS label FROM l)
-SELECT doc_id, label, count(*) AS n FROM f WHERE own IS NULL AND label IS NOT NULL GROUP BY ALL"""
+SELECT doc_id, label, 'n:' || chunk_id || ':' || length(text) AS line FROM f WHERE own IS NULL AND label IS NOT NULL"""
 )
 def reply_sections(spark, sf_dir):
     rows = lines(spark, sf_dir).select("doc_id", "chunk_id", "text").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_id", F.concat_ws(":", F.lit("n"), F.col("chunk_id").cast("string"), F.length("text").cast("string")).alias("t")))).alias("r"))
     replies = rows.select("doc_id", F.array_join(F.transform("r", lambda x: x["t"]), "\n").alias("text"))
     parts = F.split("line", ":")
     label = F.when(F.get(parts, F.lit(2)).cast("int") % 6 == 0, F.concat(F.lit("h"), F.get(parts, F.lit(1))))
-    return recounts.sections(replies, label).groupBy("doc_id", "label").agg(F.count("*").alias("n"))
+    return recounts.sections(replies, label).select("doc_id", "label", "line")
 
 
-@query("SELECT conv_id AS doc_id, count(*) AS n, max(length(o)) AS longest, min(o) AS lowest FROM (SELECT conv_id, substr(CASE WHEN length(text) > length(role) THEN text ELSE role END, 1, 80) AS o FROM conversations) WHERE o <> '' GROUP BY conv_id")
+@query("SELECT * FROM (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n, o AS opening FROM (SELECT conv_id, turn, substr(CASE WHEN length(text) > length(role) THEN text ELSE role END, 1, 80) AS o FROM conversations) WHERE o <> '') WHERE n < 120")
 def item_openings(spark, sf_dir):
     items = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), F.array("role", "text").alias("strings"))
     found = verdicts.openings(items)
-    return found.select("doc_id", F.size("openings").cast("long").alias("n"), F.array_max(F.transform("openings", F.length)).cast("long").alias("longest"), F.array_min("openings").alias("lowest"))
-
-
-@query(
-    LINES_SQL
-    + """, q AS (SELECT doc_id, chunk_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS form FROM coded WHERE chunk_id < 3), t AS (SELECT doc_id, chunk_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS form FROM coded WHERE chunk_id < 3)
-SELECT doc_id, 0 AS quote_no, min(t.chunk_id) AS chunk_id FROM q JOIN t USING (doc_id) WHERE q.chunk_id = 1 AND contains(t.form, q.form) GROUP BY doc_id"""
-)
-def quote_anchors(spark, sf_dir):
-    """The second line of every document sought among its first three."""
-    rows = lines(spark, sf_dir).where("chunk_id < 3")
-    quotes = rows.where("chunk_id = 1").select("doc_id", F.lit(0).alias("quote_no"), F.col("text").alias("quote"))
-    return recounts.anchors(quotes, rows).select("doc_id", "quote_no", "chunk_id")
+    return found.select("doc_id", F.posexplode("openings").alias("n", "opening")).withColumn("n", F.col("n").cast("long"))
 
 
 @query()
-def quote_anchors_whole(spark, sf_dir):
+def quote_anchors(spark, sf_dir):
     """Every second line of every document sought among all its lines; tests hold it against brute force."""
     rows = lines(spark, sf_dir)
     quotes = rows.where("chunk_id % 2 = 1").select("doc_id", F.floor(F.col("chunk_id") / 2).cast("int").alias("quote_no"), F.col("text").alias("quote"))
@@ -440,16 +479,17 @@ def call_strategies(spark, sf_dir):
 
 @query(
     LINES_SQL
-    + """, s AS (SELECT doc_id, code, count(*) AS k FROM coded WHERE code IN ('b', 'c') GROUP BY ALL)
-SELECT doc_id, code AS unit, CASE WHEN k = 1 THEN 'whole' ELSE 'per-item' END AS strategy, CASE WHEN k = 1 THEN 1 ELSE CAST(ceil(k / 3.0) AS BIGINT) END AS calls, k AS chunks FROM s
-UNION ALL SELECT doc_id, 'a', 'whole', 1, CAST(sum("end" - start + 1) AS BIGINT) FROM runs WHERE code = 'a' GROUP BY doc_id"""
+    + """, s AS (SELECT doc_id, code, chunk_id, text, row_number() OVER w - 1 AS r, count(*) OVER (PARTITION BY doc_id, code) AS k FROM coded WHERE code IN ('b', 'c') WINDOW w AS (PARTITION BY doc_id, code ORDER BY chunk_id)),
+g AS (SELECT r.doc_id, r.start, count(*) AS n, string_agg(c.text, chr(10) ORDER BY chunk_id) AS t FROM runs r JOIN coded c ON c.doc_id = r.doc_id AND c.chunk_id BETWEEN r.start AND r."end" WHERE r.code = 'a' GROUP BY ALL)
+SELECT doc_id, code AS unit, CASE WHEN k = 1 THEN 'whole' ELSE 'per-item' END AS strategy, CASE WHEN k > 1 AND count(*) = 1 THEN min(chunk_id) END AS item, min(chunk_id) AS first_chunk, count(*) AS chunks, CASE WHEN k = 1 THEN 1 ELSE count(*) END AS budgets, md5(string_agg(text, chr(10) || chr(10) ORDER BY chunk_id)) AS scope_md5 FROM s GROUP BY doc_id, code, k, r // 3
+UNION ALL SELECT doc_id, 'a', 'whole', NULL, min(start), CAST(sum(n) AS BIGINT), 1, md5(string_agg(t, chr(10) || chr(10) ORDER BY start)) FROM g GROUP BY doc_id"""
 )
 def planned_calls(spark, sf_dir):
     """Calls of all documents with a budget of 100 an item, so that three items share a call."""
     groups = call_groups(spark, sf_dir)
     told = groups.select("doc_id", "unit").distinct().withColumn("budgets", F.array(F.lit(100).cast("long")))
     calls = execution.plan_calls(groups, told)
-    return calls.groupBy("doc_id", "unit", "strategy").agg(F.count("*").alias("calls"), F.sum(F.size("chunk_ids")).alias("chunks"))
+    return calls.select("doc_id", "unit", "strategy", "item", F.get("chunk_ids", F.lit(0)).alias("first_chunk"), F.size("chunk_ids").cast("long").alias("chunks"), F.size("budget").cast("long").alias("budgets"), F.md5("scope").alias("scope_md5"))
 
 
 @query("SELECT conv_id AS doc_id, 'jobs' AS path, '[' || string_agg(to_json(text), ',' ORDER BY turn) || ']' AS value FROM conversations GROUP BY conv_id")
@@ -510,19 +550,122 @@ def issue_owners(spark, sf_dir):
     return corrections.owners(issues, own.unionByName(misc)).select("doc_id", "path", "call_seq")
 
 
+OWNED_SQL = """WITH t AS (SELECT conv_id AS doc_id, turn // 4 AS call_seq, count(*) AS slots FROM conversations GROUP BY ALL), m AS (SELECT *, greatest(slots + call_seq % 3 - 1, 0) AS made FROM t),
+x AS (SELECT doc_id, sum(slots) AS expected, sum(made) AS got FROM m GROUP BY doc_id), p AS (SELECT doc_id, expected, got, unnest(CASE WHEN got < expected THEN list_transform(range(CAST(got AS BIGINT), CAST(expected AS BIGINT)), lambda i: 'jobs[' || i || ']') WHEN got > expected THEN ['jobs'] END) AS path FROM x)"""
+
+
+@query(OWNED_SQL + " SELECT doc_id, path, call_seq FROM p JOIN m USING (doc_id) WHERE made > slots OR expected >= got AND made < slots")
+def count_owners(spark, sf_dir):
+    """Calls of four turns, of which some gave one entry too few and some one too many."""
+    calls = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id"), F.floor(F.col("turn") / 4).cast("long").alias("call_seq")).agg(F.sort_array(F.collect_list("turn")).alias("batch"))
+    none = F.lit(None).cast("long")
+    calls = calls.select("doc_id", "call_seq", F.lit("jobs").alias("unit"), none.alias("parent"), F.lit("per-item").alias("strategy"), none.alias("item"), "batch")
+    entries = F.slice(F.array_repeat(F.lit("{}"), 5), F.lit(1), F.greatest(F.size("batch") + (F.col("call_seq") % 3).cast("int") - 1, F.lit(0)))
+    made = corrections.produced(calls, calls.select("doc_id", "call_seq", F.concat(F.lit("["), F.array_join(entries, ","), F.lit("]")).alias("data")))
+    declared = calls.groupBy("doc_id").agg(F.lit("jobs").alias("path"), F.sum(F.size("batch")).alias("declared"))
+    actual = made.groupBy("doc_id").agg(F.lit("jobs").alias("path"), F.sum("got").alias("actual"))
+    return corrections.count_owners(corrections.count_issues(declared, actual), calls, made)
+
+
+@query(
+    """WITH r AS (SELECT conv_id AS doc_id, turn, role || length(text) % 2 AS e, count(*) OVER (PARTITION BY conv_id) AS k FROM conversations),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, e ORDER BY turn) AS again FROM r)
+SELECT doc_id, 'jobs' AS path, '[' || string_agg('"' || e || '"', ',' ORDER BY turn) || ']' AS value FROM f WHERE doc_id % 2 = 0 OR again = 1 GROUP BY doc_id"""
+)
+def ranged_values(spark, sf_dir):
+    """Ranged replies of every turn; the calls of odd conversations are for one item less, so exact repeats go."""
+    rows = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("turn", F.concat("role", (F.length("text") % 2).cast("string")).alias("e")))).alias("r"))
+    none = F.lit(None).cast("long")
+    size = F.size("r") - (F.col("doc_id") % 2).cast("int")
+    calls = rows.select("doc_id", none.alias("parent"), F.lit(0).cast("long").alias("call_seq"), F.lit("jobs").alias("unit"), F.lit("ranged").alias("strategy"), none.alias("item"), F.transform(F.slice("r", F.lit(1), size), lambda x: x["turn"]).alias("batch"))
+    replies = rows.select("doc_id", F.lit(0).cast("long").alias("call_seq"), F.to_json(F.transform("r", lambda x: x["e"])).alias("data"))
+    return execution.values(calls, replies).select("doc_id", "path", "value")
+
+
+@query("SELECT doc_id, CAST(greatest(n_chars % 6, least(n_chars % 6 + 2, 3)) AS BIGINT) AS n, CAST(least(greatest(3 - n_chars % 6, 0), 2) AS BIGINT) AS rounds, CAST(CASE WHEN n_chars % 6 = 0 THEN 1 ELSE 0 END AS BIGINT) AS open FROM documents WHERE n_chars IS NOT NULL")
+def repair_rounds(spark, sf_dir):
+    """A value for each document that is to be 3 at least and is patched by one a round, over the two rounds that there are."""
+    docs = spread(table(spark, sf_dir, "documents").where("n_chars is not null").select("doc_id", "n_chars"))
+    none = F.lit(None).cast("long")
+    calls = docs.select("doc_id", F.lit(0).cast("long").alias("call_seq"), F.lit("basic").alias("unit"), none.alias("parent"), F.lit("whole").alias("strategy"), none.alias("item"), F.lit(None).cast("array<bigint>").alias("batch"))
+    replies = docs.select("doc_id", F.lit(0).cast("long").alias("call_seq"), F.to_json(F.struct((F.col("n_chars") % 6).alias("n"))).alias("data"))
+    number = F.get_json_object("data", "$.n").cast("long")
+
+    def validate(state):
+        low = state.where(number < 3)
+        return corrections.issue_rows(low.select("doc_id", F.concat(F.lit("basic.n"), number.cast("string")).alias("path"), F.lit("is less than 3").alias("message")), 0)
+
+    def ask(rows):
+        patch = F.concat(F.lit('[{"op":"replace","path":"/n","value":'), (number + 1).cast("string"), F.lit("}]"))
+        return rows.select("doc_id", "call_seq", patch.alias("reply"), F.lit(None).cast("string").alias("after"))
+
+    state, issues, trace = corrections.correct(replies, calls, validate, ask)
+    rounds = trace.groupBy("doc_id").agg(F.count("*").alias("rounds"))
+    left = issues.groupBy("doc_id").agg(F.count("*").alias("open"))
+    zero = F.lit(0).cast("long")
+    return state.join(rounds, "doc_id", "left").join(left, "doc_id", "left").select("doc_id", number.alias("n"), F.coalesce("rounds", zero).alias("rounds"), F.coalesce("open", zero).alias("open"))
+
+
+@query(
+    """WITH w AS (SELECT doc_id, n_chars % 5 AS declared, n_chars % 3 AS how FROM documents WHERE n_chars IS NOT NULL AND regexp_matches(text, '\\S')),
+c AS (SELECT doc_id, declared, CASE how WHEN 0 THEN NULL WHEN 1 THEN 2 ELSE 3 END AS revised FROM w WHERE declared <> 2)
+SELECT w.doc_id, CAST(coalesce(revised, w.declared) AS BIGINT) AS declared, c.doc_id IS NOT NULL AND revised IS NULL AND w.declared < 2 AS disputed FROM w LEFT JOIN c USING (doc_id)"""
+)
+def arbitrated_counts(spark, sf_dir):
+    """Lists of a document's beginning and an invented entry, declared with other counts; replies say what is missing, what is extra, or nothing of use."""
+    docs = spread(table(spark, sf_dir, "documents").where("n_chars is not null").where(~text.is_blank(F.col("text"))))
+    first = F.array_join(F.slice(F.split(text.one_spaced(F.col("text")), " "), 1, 3), " ")
+    extra = F.lit("@@ no such entry")
+    values = docs.select("doc_id", F.lit("jobs").alias("path"), F.to_json(F.array(F.struct(first.alias("a"), F.lit(1).alias("b")), F.struct(extra.alias("a"), F.lit(2).alias("b")))).alias("value"))
+    counts = docs.select("doc_id", F.lit("jobs").alias("path"), (F.col("n_chars") % 5).alias("declared"))
+    apart = counts.withColumn("actual", F.lit(2).cast("long")).where("declared <> actual")
+    cases = verdicts.checks(apart, values, docs)
+    reply = F.when(F.col("n_chars") % 3 == 0, "nothing of use").when(F.col("n_chars") % 3 == 1, F.concat(F.lit("missing:\n- "), first, F.lit("\nextra:\n"), extra)).otherwise(F.concat(F.lit("missing:\n"), first, F.lit("\nextra:")))
+    checked = verdicts.arbitrated(cases, docs.select("doc_id", F.lit("jobs").alias("path"), reply.alias("text")))
+    settled, disputed = verdicts.settled(counts, checked)
+    return settled.join(disputed.withColumn("disputed", F.lit(True)), ["doc_id", "path"], "left").select("doc_id", "declared", F.coalesce("disputed", F.lit(False)).alias("disputed"))
+
+
 # --- copies and audits
 
 
-@query(LINES_SQL + "SELECT doc_id, 'v' || chunk_id AS path, CASE WHEN chunk_id % 5 = 0 THEN 'heading' ELSE 'verbatim' END AS code FROM coded WHERE (chunk_id % 5 = 0 OR chunk_id % 5 = 1) AND content_len > 0")
+#: Lines of a few characters, whose first sixteen begin no other line, can be spoiled to just above and just below the ratio.
+SPOILED_SQL = LINES_SQL + ", k AS (SELECT doc_id, chunk_id, regexp_replace(regexp_replace(text, '[*_`#]', '', 'g'), '\\s+', '', 'g') AS t FROM coded), n AS (SELECT *, length(t) BETWEEN 20 AND 100 AND (length(d.x) - length(replace(d.x, substr(k.t, 1, 16), ''))) = 16 AS short FROM k JOIN (SELECT doc_id AS i, regexp_replace(regexp_replace(text, '[*_`#]', '', 'g'), '\\s+', '', 'g') AS x FROM documents) d ON d.i = k.doc_id) "
+
+
+def spoiled_lines(spark, sf_dir) -> DataFrame:
+    """``doc_id, chunk_id, value``: lines under a heading, lines of marks that no document has, lines with some such marks, and plain copies with blanks and marks put in."""
+    rows = lines(spark, sf_dir).withColumn("t", text.copy_form(F.col("text"))).join(spread(table(spark, sf_dir, "documents")).select("doc_id", text.copy_form(F.col("text")).alias("x")), "doc_id")
+    short = F.length("t").between(20, 100) & (F.length("x") - F.length(F.replace("x", F.substr("t", F.lit(1), F.lit(16)), F.lit(""))) == 16)
+    five, spoil = F.col("chunk_id") % 5, F.floor(F.length("t") / 9).cast("int")
+    snow = lambda n: F.concat("text", F.repeat(F.lit("☃"), n))
+    value = F.when(five == 0, F.concat(F.lit("Duties: "), "text")).when(five == 1, F.repeat(F.lit("☃"), F.lit(40))).when((five == 2) & short, snow(spoil)).when((five == 3) & short, snow(spoil + 1)).otherwise(F.concat(F.lit(" **"), F.regexp_replace("text", " ", "\n "), F.lit("**")))
+    return rows.where("content_len > 0").select("doc_id", "chunk_id", value.alias("value"))
+
+
+SPOILED_CASE = "CASE WHEN chunk_id % 5 = 0 THEN 'heading' WHEN chunk_id % 5 = 1 OR chunk_id % 5 = 3 AND short THEN 'verbatim' END"
+
+
+@query(SPOILED_SQL + f"SELECT doc_id, 'v' || chunk_id AS path, {SPOILED_CASE} AS code FROM n WHERE {SPOILED_CASE} IS NOT NULL")
 def copy_breaches(spark, sf_dir):
-    """Lines as values: some under a heading, some with marks that no document has, others with blanks and marks put in."""
-    rows = lines(spark, sf_dir).where("content_len > 0")
-    five = F.col("chunk_id") % 5
-    value = F.when(five == 0, F.concat(F.lit("Duties: "), "text")).when(five == 1, F.repeat(F.lit("☃"), F.lit(40))).otherwise(F.concat(F.lit(" **"), F.regexp_replace("text", " ", "\n "), F.lit("**")))
-    values = rows.select("doc_id", F.concat(F.lit("v"), F.col("chunk_id").cast("string")).alias("path"), value.alias("value"), F.array(F.lit("Duties")).alias("labels"), F.lit(0.9).alias("ratio"))
+    """Lines as values; some of them just above and just below the ratio of 0.9."""
+    rows = spoiled_lines(spark, sf_dir)
+    values = rows.select("doc_id", F.concat(F.lit("v"), F.col("chunk_id").cast("string")).alias("path"), "value", F.array(F.lit("Duties")).alias("labels"), F.lit(0.9).alias("ratio"))
     return copies.breaches(values, table(spark, sf_dir, "documents")).select("doc_id", "path", "code")
 
 
+COPY_SCHEMA = {"type": "object", "properties": {"notes": {"type": "array", "items": {"type": "object", "properties": {"duty": {"type": "string", "description": "Duties: all of them", "x-verbatim": 0.9}}}}}}
+
+
+@query(SPOILED_SQL + f"SELECT doc_id, 'notes[' || (row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id) - 1) || '].duty' AS path, {SPOILED_CASE} AS code, false AS report_only FROM n QUALIFY code IS NOT NULL")
+def verbatim_issues(spark, sf_dir):
+    """The same lines as entries of each document's data, walked along a schema that marks them."""
+    entries = F.transform(F.sort_array(F.collect_list(F.struct("chunk_id", "value"))), lambda r: F.struct(r["value"].alias("duty")))
+    data = spoiled_lines(spark, sf_dir).groupBy("doc_id").agg(F.to_json(F.struct(entries.alias("notes"))).alias("data"))
+    values = copies.marked_values(data, marked_fields(COPY_SCHEMA))
+    return copies.copy_issues(copies.breaches(values, table(spark, sf_dir, "documents"))).select("doc_id", "path", "code", "report_only")
+
+
 @query("SELECT conv_id AS doc_id, role AS unit, count(*) AS n, max(length(text)) AS top FROM conversations GROUP BY ALL")
 def item_budgets(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")

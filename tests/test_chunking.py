@@ -94,3 +94,76 @@ def test_text_measures(spark):
     assert [r[1] for r in got] == [False, True, False, False, False, False]
     assert got[2][2] == "boldxy" and got[3][3] == "item" and got[4][3] == "x" and got[5][4] == "Label"
     assert got[0][5] == 2  # 2.5 to the even number
+
+
+def plain_chunks(whole, limit=250):
+    """The chunker line by line, for comparison."""
+    import regex
+
+    blank = r"[\s\x1c-\x1f\x85\p{Z}]"
+    is_blank = lambda x: regex.fullmatch(f"{blank}*", x) is not None
+    heading = lambda x: regex.match(f"#{{1,6}}{blank}", x)
+    alone = lambda x: regex.match(rf"{blank}*(?:[-*+]+{blank}+|•{blank}*|\p{{Nd}}+[、)]{blank}*|\p{{Nd}}+\.{blank}+|\|)", x)
+    entry = lambda x: regex.match(rf"{blank}*[\x80-\x9f•]", x)
+    lines = [x for x in whole.split("\n") if not is_blank(x)]
+    if not lines:
+        return []
+    sizes = [len(x) for x in lines]
+    n, s, q = len(sizes), sum(sizes), sum(x * x for x in sizes)
+    parts = lines
+    if s > n * limit or n * q - s * s <= 4 * n * n or 100 * (n * q - s * s) <= s * s:
+        parts, held = [], None
+        for line in whole.split("\n"):
+            if heading(line) or is_blank(line) or alone(line):
+                if held is not None:
+                    parts.append(held)
+                held = line if heading(line) else None
+                if alone(line) and not heading(line):
+                    parts.append(line)
+            else:
+                held = line if held is None else f"{held}\n{line}"
+        if held is not None:
+            parts.append(held)
+    out = []
+    for part in parts:
+        if len(part) <= limit and not regex.search("[；;•\x80-\x9f]", part):
+            out.append(part)
+            continue
+        pieces = []
+        for piece in regex.split(rf"(?<=[。．！？；;!?])|(?<=\.)(?={blank}|$)", part, flags=regex.V1):
+            opened = pieces and sum(pieces[-1].count(c) for c in "(（") > sum(pieces[-1].count(c) for c in ")）")
+            if opened and not entry(piece):
+                pieces[-1] += piece
+            else:
+                pieces.append(piece)
+        marked = [bool(regex.search("[；;•\x80-\x9f]", part)) and bool(entry(p) or regex.search(rf"[；;]{blank}*\Z", p)) for p in pieces]
+        held = ""
+        for k, piece in enumerate(pieces):
+            single = marked[k] and (k and marked[k - 1] or k + 1 < len(pieces) and marked[k + 1])
+            if single or len(piece) > limit:
+                out += [held] * bool(held) + ([piece[i : i + limit] for i in range(0, len(piece), limit)] or [""])
+                held = ""
+            elif len(held) + len(piece) > limit:
+                out += [held] * bool(held)
+                held = piece
+            else:
+                held += piece
+        out += [held] * bool(held)
+    return out
+
+
+def test_structures_equal_a_plain_chunker(spark):
+    from siltstone.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    marks = ["# ", "- ", "1. ", "| ", "• ", "", "(", "", "", ""]
+    got = {}
+    for row in QUERIES["chunk_structures"](spark, sf).orderBy("doc_id", "chunk_id").collect():
+        got.setdefault(row.doc_id, []).append(row.text)
+    kinds = set()
+    for row in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        lines = [marks[i % 10] + x.replace(", ", "; ") + (")" if i % 10 == 7 else "\n" if i % 10 == 9 else "") for i, x in enumerate((row.text or "").split("\n"))]
+        want = plain_chunks("\n".join(lines).replace("\r\n", "\n").replace("\r", "\n")) if row.text is not None else []
+        assert got.get(row.doc_id, []) == want
+        kinds |= {x[:2] for x in want}
+    assert kinds >= {"# ", "- ", "1.", "| ", "• "}

@@ -57,7 +57,7 @@ def test_quotes_are_sought_in_all_lines(spark, tmp_path):
             taken.append(next((n for n, line in enumerate(found) if quote in line and n not in taken), None))
         if None not in taken:
             want |= {(doc, n, at) for n, at in enumerate(taken)}
-    got = {(r.doc_id, r.quote_no, r.chunk_id) for r in QUERIES["quote_anchors_whole"](spark, str(tmp_path)).collect()}
+    got = {(r.doc_id, r.quote_no, r.chunk_id) for r in QUERIES["quote_anchors"](spark, str(tmp_path)).collect()}
     assert got == want and not_free > 50 and max(at for _, _, at in got) > 50 and max(n for _, n, _ in got) > 20
 
 

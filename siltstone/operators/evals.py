@@ -27,7 +27,7 @@ def per_item_budgets(calls: DataFrame) -> DataFrame:
 
 
 def overlap(assigned: DataFrame, calls: DataFrame) -> DataFrame:
-    """``doc_id, overlap, lost``: chunks assigned less chunks read, and items of per-item units that no call has.
+    """``doc_id, overlap, lost, passed``: chunks assigned less chunks read, items of per-item units that no call has, and whether there is none.
 
     ``assigned`` has ``doc_id, unit, item, chunks``.
     """
@@ -40,7 +40,7 @@ def overlap(assigned: DataFrame, calls: DataFrame) -> DataFrame:
     w, h = want.alias("w"), have.alias("h")
     lost = w.join(h, (F.col("w.doc_id") == F.col("h.doc_id")) & (F.col("w.unit") == F.col("h.unit")) & F.col("w.item").eqNullSafe(F.col("h.item")), "left_anti").groupBy("doc_id").agg(F.count("*").alias("lost"))
     zero = F.lit(0).cast("long")
-    return raw.join(read, "doc_id", "full").join(lost, "doc_id", "left").select("doc_id", (F.coalesce("raw", zero) - F.coalesce("read", zero)).alias("overlap"), F.coalesce("lost", zero).alias("lost"))
+    return raw.join(read, "doc_id", "full").join(lost, "doc_id", "left").select("doc_id", (F.coalesce("raw", zero) - F.coalesce("read", zero)).alias("overlap"), F.coalesce("lost", zero).alias("lost"), (F.coalesce("lost", zero) == 0).alias("passed"))
 
 
 def fits(budget: Column, chars: Column) -> Column:

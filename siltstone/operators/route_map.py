@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.text import strip
 from siltstone.operators import budgets, intervals
+from siltstone.sources.shared import discard, kept
 
 #: The forms of lines and destinations.
 MAP_LINE = r"^(\d+)(?:\s*-\s*(\d+))?\s+(\S.*)$"
@@ -25,7 +26,7 @@ ENTRY_COUNT = r"^([a-z]+)\.(\d+)\.([A-Za-z_]\w*)\.(\d+)\s*:\s*(\d+)\s*(@.*)?$"
 DERIVED = r"^([a-z]+)\s*=\s*([a-z]+)\s*(@.*)?$"
 BARE, ITEM = r"^([a-z]+)$", r"^([a-z]+)\.(\d+)(?:-(?:([a-z]+)\.)?(\d+))?$"
 CHAIN = r"^([a-z]+)\.(\d+)\.([A-Za-z_]\w*)\.(\d+)(?:-(?:\w+\.)?(\d+))?$"
-TAIL = r"^([a-z]+)\.(\d+)\.(\d+)$"
+TAIL = r"^([a-z]+)\.(\d+)\.(\d+)(?:\.\d+)*$"
 
 LINES = "doc_id long, line_no int, line string"
 
@@ -45,7 +46,9 @@ def destinations(lines: DataFrame, units: DataFrame) -> DataFrame:
     """A row a destination: doc_id, line_no, start, end, pos, code, item_lo, item_hi, parent_code, parent, ranged, error.
 
     Spellings are made one: a bare array is its item 0, a nested unit may be named by its field, ``c.0.0`` is a
-    chain if the unit has one nested array and item 0 else, and an end that repeats the code is a number.
+    chain if the unit has one nested array and item 0 else (further numbers say nothing), an end that repeats the code
+    is a number, and a nested unit without its parent (``b.0,c.0-2``) hangs under the one instance of that parent on
+    its line.
     """
     mapped = lines.where(F.col("line").rlike(MAP_LINE))
     start = _part("line", MAP_LINE, 1)
@@ -61,12 +64,21 @@ def destinations(lines: DataFrame, units: DataFrame) -> DataFrame:
         _part("token", CHAIN, 5).alias("sub_last"),
         F.col("token").rlike(TAIL).alias("tail"),
     )
-    small = F.broadcast(units.select("code", "kind", F.col("parent_path").alias("under")))
+    small = F.broadcast(units.select("code", "kind", F.col("parent_path").alias("under"), F.col("parent_code").alias("under_code")))
     nested = units.where("parent_code is not null").select(F.col("parent_code").alias("owner"), F.col("code").alias("sub_code"), "field")
     only = nested.groupBy("owner").agg(F.count("*").alias("n_nested"), F.min("sub_code").alias("only_nested"))
     joined = read.join(small, "code", "left").join(F.broadcast(nested), (F.col("owner") == F.col("code")) & ((F.col("sub_code") == F.col("sub")) | (F.col("field") == F.col("sub"))), "left").drop("owner", "field")
     joined = joined.join(F.broadcast(only), F.col("owner") == F.col("code"), "left").drop("owner")
-    chained = F.when(F.col("sub").isNotNull(), F.col("sub_code")).when(F.col("tail") & (F.col("n_nested") == 1), F.col("only_nested"))
+    # Instances on the same line that could be the parent of a nested unit which names none.
+    single = F.col("under").isNull() & (F.col("kind") == "array") & F.col("sub").isNull() & F.col("last").isNull() & ~F.col("tail")
+    line = Window.partitionBy("doc_id", "line_no")
+    joined = joined.withColumn("hosts", F.array_distinct(F.collect_list(F.when(single, F.struct("code", F.coalesce("first", F.lit(0).cast("long")).alias("first")))).over(line)))
+    joined = joined.withColumn("hosts", F.filter("hosts", lambda h: h["code"] == F.col("under_code")))
+    folded = F.col("under").isNotNull() & F.col("first").isNotNull() & F.col("sub").isNull() & ~F.col("tail") & (F.size("hosts") == 1)
+    host = F.get("hosts", F.lit(0))["first"]
+    joined = joined.withColumns({"sub_first": F.when(folded, F.col("first")).otherwise(F.col("sub_first")), "sub_last": F.when(folded, F.col("last")).otherwise(F.col("sub_last"))})
+    joined = joined.withColumns({"folded": folded, "first": F.when(folded, host).otherwise(F.col("first")), "last": F.when(~folded, F.col("last"))})
+    chained = F.when(F.col("folded"), F.col("code")).when(F.col("sub").isNotNull(), F.col("sub_code")).when(F.col("tail") & (F.col("n_nested") == 1), F.col("only_nested"))
     is_chain = F.col("chain_code").isNotNull()
     none = F.lit(None).cast("long")
     error = (
@@ -75,7 +87,7 @@ def destinations(lines: DataFrame, units: DataFrame) -> DataFrame:
         .when(F.col("code").isNull(), F.concat(F.lit("not a destination: "), "token"))
         .when(F.col("kind").isNull(), F.concat(F.lit("no such unit: "), "code"))
         .when(F.col("sub").isNotNull() & ~is_chain, F.concat(F.lit("no such nested unit: "), "sub"))
-        .when(F.col("under").isNotNull(), F.concat(F.lit("a nested unit is reached through its parent: "), "code"))
+        .when(F.col("under").isNotNull() & ~F.col("folded"), F.concat(F.lit("a nested unit is reached through its parent: "), "code"))
         .when((F.col("kind") != "array") & F.col("first").isNotNull(), F.concat(F.lit("a unit that does not repeat has no items: "), "token"))
         .when((F.col("last") < F.col("first")) | (F.col("sub_last") < F.col("sub_first")), F.concat(F.lit("a range runs backwards: "), "token"))
         .when(F.col("end") < F.col("start"), "a range of chunks runs backwards")
@@ -90,7 +102,7 @@ def destinations(lines: DataFrame, units: DataFrame) -> DataFrame:
         F.when(is_chain, F.col("chain_code")).when(F.col("token") == "-", "-").otherwise(F.col("code")).alias("code"),
         F.when(is_chain, F.col("sub_first")).otherwise(item).alias("item_lo"),
         F.when(is_chain, F.coalesce("sub_last", "sub_first")).otherwise(F.coalesce("last", item)).alias("item_hi"),
-        F.when(is_chain, F.col("code")).alias("parent_code"),
+        F.when(F.col("folded"), F.col("under_code")).when(is_chain, F.col("code")).alias("parent_code"),
         F.when(is_chain, F.col("first")).otherwise(none).alias("parent"),
         (F.col("last").isNotNull() & (F.col("n") == 1)).alias("ranged"),
         error.alias("error"),
@@ -147,15 +159,14 @@ def _error(rows: DataFrame, rule: str, *parts) -> DataFrame:
 
 def errors(lines: DataFrame, units: DataFrame, sizes: DataFrame) -> DataFrame:
     """``doc_id, rule, detail`` of all that is wrong with a map; ``sizes (doc_id, size)`` counts the chunks."""
-    # Each rule reads these, so they are made once; what a lost executor held is made again.
-    lines = lines.persist()
-    dests, told = destinations(lines, units).persist(), declarations(lines, units).persist()
+    # Each rule reads these, so they are written once, and deleted when all rules have been applied.
+    dests, told = kept(destinations(lines, units), "destinations"), kept(declarations(lines, units), "declarations")
     known = [MAP_LINE, COUNT, CHAIN_COUNT, ENTRY_COUNT, DERIVED]
     unread = lines.where(~reduce(lambda a, b: a | b, (F.col("line").rlike(p) for p in known)))
     first_map = lines.where(F.col("line").rlike(MAP_LINE)).groupBy("doc_id").agg(F.min("line_no").alias("first"))
     early = told.join(first_map, "doc_id", "left").where("line_no < first or first is null")
     wrong = dests.where("error is not null")
-    ranges = dests.where("error is null").select("doc_id", "start", "end", "parent_code", "parent", "code").distinct().persist()
+    ranges = dests.where("error is null").select("doc_id", "start", "end", "parent_code", "parent", "code").distinct()
     chains = ranges.where("parent_code is not null")
     plain = claims(dests).where("parent_code is null").select("doc_id", "code", "item", "start", "end").distinct()
     inside = intervals.hosted(chains, plain).select("doc_id", "start", "end", "parent_code", "parent", "code")
@@ -164,7 +175,7 @@ def errors(lines: DataFrame, units: DataFrame, sizes: DataFrame) -> DataFrame:
     beyond = ranges.select("doc_id", "start", "end").distinct().join(sizes, "doc_id").where("end >= size")
     bare = intervals.holes(ranges.select("doc_id", "start", "end"), sizes)
     kinds = F.broadcast(units.select("code", "kind"))
-    used = claims(dests).select("doc_id", "code", "parent_code", "parent", "item").distinct().persist()
+    used = claims(dests).select("doc_id", "code", "parent_code", "parent", "item").distinct()
     arrays = told.join(kinds.where("kind = 'array'").select("code"), "code", "left_semi")
     per_unit = used.where("item is not null").groupBy("doc_id", "code", "parent_code", "parent").agg(F.count("*").alias("used"), F.min("item").alias("low"), F.max("item").alias("high"))
     c, u = arrays.where("source is null").alias("c"), per_unit.alias("u")
@@ -194,12 +205,13 @@ def errors(lines: DataFrame, units: DataFrame, sizes: DataFrame) -> DataFrame:
         _error(present, "declared and not mapped", "code"),
         _error(twice, "in two ranges", "code", "item"),
     ]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    found = kept(reduce(DataFrame.unionByName, parts).distinct(), "errors")
+    discard(dests, told)
+    return found
 
 
-def zero_counts(told: DataFrame, dests: DataFrame, units: DataFrame, docs: DataFrame) -> DataFrame:
-    """Counts with a zero for every top-level array that is neither declared nor mapped."""
-    codes = [r.code for r in units.where("kind = 'array' and parent_code is null").select("code").collect()]
+def zero_counts(told: DataFrame, dests: DataFrame, codes: list[str], docs: DataFrame) -> DataFrame:
+    """Counts with a zero for every top-level array (``codes``) that is neither declared nor mapped."""
     every = docs.select("doc_id").distinct().withColumn("code", F.explode(F.array(*map(F.lit, codes)) if codes else F.array().cast("array<string>")))
     seen = told.select("doc_id", "code").unionByName(dests.select("doc_id", "code")).distinct()
     return told.select("doc_id", "code", "n").unionByName(every.join(seen, ["doc_id", "code"], "left_anti").withColumn("n", F.lit(0).cast("long")))
@@ -213,15 +225,46 @@ def token(code: Column, lo: Column, hi: Column, parent_code: Column, parent: Col
 
 def rendered(dests: DataFrame, told: DataFrame) -> DataFrame:
     """``doc_id, text``: the map as text, map lines in order, then declarations. It parses to the same map."""
+    rows = F.sort_array(F.collect_list(F.struct("part", "at", "name", "line")))
+    return drawn_lines(dests).unionByName(told_lines(told)).groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("text"))
+
+
+def drawn_lines(dests: DataFrame) -> DataFrame:
+    """``doc_id, part, at, name, line``: a line for each range of chunks, its hosts before its chains."""
     cell = token(F.col("code"), F.col("item_lo"), F.col("item_hi"), F.col("parent_code"), F.col("parent"))
     by_line = dests.where("error is null").groupBy("doc_id", "start", "end").agg(F.sort_array(F.collect_list(F.struct(F.col("parent_code").isNotNull().alias("chain"), "line_no", "pos", cell.alias("token")))).alias("cells"))
     span = F.when(F.col("start") == F.col("end"), F.col("start").cast("string")).otherwise(F.concat_ws("-", F.col("start").cast("string"), F.col("end").cast("string")))
-    mapped = by_line.select("doc_id", F.lit(0).alias("part"), F.col("start").alias("at"), F.lit("").alias("name"), F.concat(span, F.lit(" "), F.array_join(F.transform("cells", lambda c: c["token"]), ",")).alias("line"))
+    return by_line.select("doc_id", F.lit(0).alias("part"), F.col("start").alias("at"), F.lit("").alias("name"), F.concat(span, F.lit(" "), F.array_join(F.transform("cells", lambda c: c["token"]), ",")).alias("line"))
+
+
+def told_lines(told: DataFrame) -> DataFrame:
+    """``doc_id, part, at, name, line``: a line for each declaration, with its budget's well-formed parts."""
     name = F.when(F.col("parent_code").isNull(), F.col("code")).otherwise(F.concat_ws(".", "parent_code", F.col("parent").cast("string"), "code"))
     value = F.when(F.col("source").isNull(), F.concat(F.lit(": "), F.col("n").cast("string"))).otherwise(F.concat(F.lit(" = "), F.col("source")))
-    counted = told.select("doc_id", F.lit(1).alias("part"), F.lit(0).cast("long").alias("at"), name.alias("name"), F.concat(name, value, F.coalesce(F.concat(F.lit(" "), F.trim("budget")), F.lit(""))).alias("line"))
-    rows = F.sort_array(F.collect_list(F.struct("part", "at", "name", "line")))
-    return mapped.unionByName(counted).groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("text"))
+    tokens = budgets.declared(F.coalesce("budget", F.lit("")))
+    suffix = F.when(F.size(tokens) > 0, F.concat(F.lit(" @"), F.array_join(tokens, ","))).otherwise("")
+    return told.select("doc_id", F.lit(1).alias("part"), F.lit(0).cast("long").alias("at"), name.alias("name"), F.concat(name, value, suffix).alias("line"))
+
+
+def cover(points: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``doc_id, chunk_id, value``: the destinations of every chunk as they are written, chains after their hosts, ``-`` for none.
+
+    ``points`` are as ``assignments`` has them; a range that stands alone stays one destination.
+    """
+    cell = token(F.col("code"), F.coalesce("item_lo", "item"), F.coalesce("item_hi", "item"), F.col("parent_code"), F.col("parent"))
+    cells = points.select("doc_id", "chunk_id", F.struct(F.col("parent_code").isNotNull().alias("chain"), "code", F.coalesce("parent", F.lit(-1).cast("long")).alias("parent"), F.coalesce("item_lo", "item").alias("lo"), cell.alias("token")).alias("cell"))
+    by_chunk = cells.groupBy("doc_id", "chunk_id").agg(F.array_sort(F.collect_set("cell")).alias("cells"))
+    every = sizes.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)).alias("chunk_id"))
+    return every.join(by_chunk, ["doc_id", "chunk_id"], "left").select("doc_id", "chunk_id", F.coalesce(F.array_join(F.transform("cells", lambda c: c["token"]), ","), F.lit("-")).alias("value"))
+
+
+def redrawn(points: DataFrame, told: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``doc_id, line_no, line``: lines of a map that is given chunk by chunk; neighbours of equal destinations share a line."""
+    spans = intervals.merged_neighbours(cover(points, sizes), F.col("value"), ["doc_id"])
+    span = F.when(F.col("start") == F.col("end"), F.col("start").cast("string")).otherwise(F.concat_ws("-", F.col("start").cast("string"), F.col("end").cast("string")))
+    mapped = spans.select("doc_id", F.lit(0).alias("part"), F.col("start").alias("at"), F.lit("").alias("name"), F.concat_ws(" ", span, "value").alias("line"))
+    order = Window.partitionBy("doc_id").orderBy("part", "at", "name")
+    return mapped.unionByName(told_lines(told)).withColumn("line_no", F.row_number().over(order) - 1).select("doc_id", "line_no", "line")
 
 
 def edits(replies: DataFrame) -> DataFrame:
@@ -234,6 +277,22 @@ def edits(replies: DataFrame) -> DataFrame:
     return kept.select("doc_id", "line_no", F.coalesce("sign", F.lit("+")).alias("sign"), F.when(F.col("sign").isNotNull(), strip(F.substring("line", 2, 1 << 30))).otherwise(F.col("line")).alias("line"))
 
 
+def overlays(replies: DataFrame, base: DataFrame) -> DataFrame:
+    """Changes that a reply without signs means if its map lines are chains alone: they join the map, and its counts take the place of those of the same units.
+
+    A reply with a line that covers anything else is a map of its own. ``base (doc_id, line_no, line)``.
+    """
+    lines = lines_of(replies)
+    chain = F.exists(F.split(_part("line", MAP_LINE, 3, "string"), r"\s*,\s*"), lambda t: F.length(t) - F.length(F.replace(t, F.lit("."), F.lit(""))) >= 2)
+    kind = F.when(F.col("line").rlike(MAP_LINE), F.when(chain, "chain").otherwise("cover")).when(F.col("line").rlike(COUNT), "count")
+    read = lines.withColumn("kind", kind).where("kind is not null")
+    fit = read.groupBy("doc_id").agg(F.max(F.col("kind") == "chain").alias("some"), F.max(F.col("kind") == "cover").alias("other")).where("some and not other").select("doc_id")
+    added = read.join(fit, "doc_id").select("doc_id", "line_no", F.lit("+").alias("sign"), "line", _part("line", COUNT, 1, "string").alias("code"))
+    old = base.select("doc_id", "line_no", "line", _part("line", COUNT, 1, "string").alias("code")).where("code is not null")
+    gone = old.join(added.where("code is not null").select("doc_id", "code").distinct(), ["doc_id", "code"]).select("doc_id", "line_no", F.lit("-").alias("sign"), "line")
+    return added.drop("code").unionByName(gone)
+
+
 def net_edits(changes: DataFrame) -> DataFrame:
     """Changes less those that undo each other, copies counted one by one."""
     order = Window.partitionBy("doc_id", "sign", "line").orderBy("line_no")

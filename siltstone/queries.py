@@ -674,7 +674,7 @@ def item_budgets(spark, sf_dir):
     return found.select("doc_id", "unit", F.size("budgets").cast("long").alias("n"), F.array_max("budgets").cast("long").alias("top"))
 
 
-@query("SELECT conv_id AS doc_id, CAST(sum(CASE WHEN turn % 4 = 3 THEN 2 ELSE 0 END) AS BIGINT) AS overlap, count(*) FILTER (turn % 4 = 3) AS lost FROM conversations GROUP BY conv_id HAVING count(*) > 0")
+@query("SELECT conv_id AS doc_id, CAST(sum(CASE WHEN turn % 4 = 3 THEN 2 ELSE 0 END) AS BIGINT) AS overlap, count(*) FILTER (turn % 4 = 3) AS lost, count(*) FILTER (turn % 4 = 3) = 0 AS passed FROM conversations GROUP BY conv_id HAVING count(*) > 0")
 def routed_and_done(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit("jobs").alias("unit"), F.col("turn").alias("item"), F.array(F.col("turn"), F.col("turn") + 1).alias("chunks"))
     calls = rows.where("item % 4 <> 3").withColumns({"strategy": F.lit("per-item"), "batch": F.lit(None).cast("array<bigint>")}).withColumnRenamed("chunks", "chunk_ids")

@@ -171,7 +171,7 @@ def test_audits(spark):
     assert {r.unit: r.budgets for r in evals.per_item_budgets(calls).collect()} == {"j": [5, 6, 7], "w": [8, 9]}
     assert [r.unit for r in evals.whole_units(calls).collect()] == ["w"]
     assigned = spark.createDataFrame([(0, "j", 0, [1]), (0, "j", 3, [2, 3]), (0, "w", 5, [4]), (0, "n", None, [4])], "doc_id long, unit string, item long, chunks array<long>")
-    assert tuple(evals.overlap(assigned, calls).first()) == (0, 0, 1)
+    assert tuple(evals.overlap(assigned, calls).first()) == (0, 0, 1, False)
     items = spark.createDataFrame([(0, "a", 0, 100, 30, "abs"), (0, "a", 1, 100, 90, "abs"), (0, "a", 2, 20, 44, "abs"), (0, "k", 0, 100, 500, "kw"), (0, "k", 1, 300, 0, "kw")], "doc_id long, unit string, item long, budget long, chars long, kind string")
     assert {r.unit: (r.low, r.high, r.wild) for r in evals.budget_fit(items).collect()} == {"a": (0.3, 2.2, 1), "k": (1.25, 1.25, 0)}
 
@@ -230,6 +230,7 @@ def test_hints(spark):
 
 def test_claims_and_splices(spark):
     units = units_table(spark, decompose(SCHEMA))
+    assert [(r.code, r.n) for r in route_map.zero_counts(route_map.declarations(lines_of(spark, ["0 a\nb: 1"]), units), route_map.destinations(lines_of(spark, ["0 a\nb: 1"]), units), ["b", "d"], lines_of(spark, ["0 a"])).orderBy("code").collect()] == [("b", 1), ("d", 0)]
     replies = spark.createDataFrame([(0, "b: 0\n- Acme\n2. Beta\nd: 3\nnone here\nq: 2")], "doc_id long, text string")
     assert {r.label: (r.n, r.quotes) for r in recounts.claims_of(replies, ["b", "d"]).collect()} == {"b": (2, ["Acme", "Beta"]), "d": (3, ["none here", "q: 2"])}
     dests = route_map.destinations(lines_of(spark, ["0 a\n1-4 -\n5 b.0"]), units)
@@ -255,6 +256,19 @@ def test_fresh_counts(spark):
     assert texts[1] == ["0 a", "1 d.0", "3 d.1", "2-2 -", "4-4 -", "d: 2"]
 
 
+def test_fresh_counts_on_other_units_lines(spark):
+    units = units_table(spark, decompose(SCHEMA))
+    lines = lines_of(spark, ["0 a\n1 b.0\n2 b.1\n3 -\nb: 2\nd: 0"]).select("doc_id", F.col("line_no").cast("int").alias("line_no"), "line")
+    parts = spark.createDataFrame([(0, "[0] x", 4, "text")], "doc_id long, parts string, size long, content string")
+
+    class Runner:
+        def run(self, **_):
+            return "1 d.0\n2 d.1", None
+
+    got = routing.recounted(lines, parts, parts.select("doc_id", "size"), units, Runner)
+    assert [r.line for r in got.orderBy("line_no").collect()] == ["0 a", "1 b.0", "2 b.1", "3-3 -", "b: 2", "d = b"]
+
+
 def test_judge(spark):
     cases = spark.createDataFrame([(0, "s", "o"), (1, "s", "o")], "doc_id long, source string, output string").coalesce(1)
     got = judged(cases, "all is well", lambda: ScriptedRunner([{"ok": True, "reason": "r"}, "?"])).orderBy("doc_id").collect()

@@ -203,6 +203,28 @@ def test_vector_edges(spark):
     assert ann.nearest(one, one, 5).count() == 0
 
 
+def test_cells_keep_recall_and_save_work(spark, monkeypatch):
+    """Clustered vectors, a third of them in one cluster: queries look into few cells, and nearly all neighbours are found."""
+    monkeypatch.setattr(ann, "CELL_ROWS", 200)
+    draw = np.random.default_rng(9)
+    centres = 3 * draw.normal(size=(40, 16))
+    of = np.where(draw.random(8000) < 0.33, 0, draw.integers(0, 40, 8000))
+    x = centres[of] + 0.4 * draw.normal(size=(8000, 16))
+    rows = [(n, v.tolist()) for n, v in enumerate(x)]
+    made = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    _, cells = ann.fit(ann.usable(made))
+    assert len(cells.centroids) == 40 and cells.probes <= 12
+    found = {}
+    for r in ann.nearest(made.where("vec_id % 50 = 0"), made, 5).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    ids = np.arange(8000)
+    hits = sum(len(found[q] & {n for n, _ in exact(x, ids, q, 5)}) for q in range(0, 8000, 50))
+    assert hits / (5 * 160) >= 0.95
+    # Without clusters every query scans every row.
+    plain = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(draw.normal(size=(8000, 64)))], "vec_id long, embedding array<double>")
+    assert len(ann.fit(ann.usable(plain))[1].centroids) == 1
+
+
 def test_repeated_queries(spark):
     draw = np.random.default_rng(5)
     x = draw.normal(size=(300, 8))

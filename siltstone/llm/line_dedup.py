@@ -3,8 +3,9 @@
 Lines are hashed, and a rolling hash goes over the hashes of ``SPAN`` lines that are not blank, at every line.
 ``remove_runs``, which the query and the pipeline use, chooses boundaries where that hash begins or ceases to be one
 that stands in several places: a chunk is a run of lines whose rolling hashes all repeat. Boundaries thus depend on
-the chunk's own lines alone, wherever it begins and whatever stands beside it, and a repeated run of ``SPAN`` lines or
-more goes as a whole. A line of more than ``LONG`` words is a chunk by itself; other lines that repeat alone stay.
+the chunk's own lines alone, wherever it begins and whatever stands beside it, and a repeated chunk of more than
+``LONG`` words goes as a whole, be it of several lines or one. Shorter ones stay, as does a line that repeats alone:
+they are headings, notices and turns of phrase, and a document that is near another one stays near it.
 
 ``remove_repeats`` chooses boundaries without a look at other documents, where the rolling hash is 0 modulo
 ``PERIOD``. It keeps the head and the tail of each repeated run, up to the first boundary and from the last one on,
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import map_batches, written
 
 SPAN, PERIOD, LEAST = 2, 3, 2
-#: A line of more words than these is a piece by itself.
+#: A chunk goes if it has more words than these, and such a line is a piece by itself.
 LONG = 50
 #: Hashes of repeated pieces that may be broadcast with their first places, about 100 bytes each; more meet the pieces in a shuffle.
 BROADCAST_HASHES = 250_000
@@ -176,12 +177,26 @@ def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return _remove(docs, _least(least))
 
 
-def remove_runs(docs: DataFrame) -> DataFrame:
-    """Documents without repeated runs of lines; ``removed_lines`` tells how many lines went, ``kept`` whether any line is left."""
-    return _remove(docs, windows)
+def remove_runs(docs: DataFrame, words: int = LONG) -> DataFrame:
+    """Documents without repeated chunks of more than ``words`` words; ``removed_lines`` tells how many lines went, ``kept`` whether any line is left."""
+    return _remove(docs, windows, words)
 
 
-def _remove(docs: DataFrame, pieces: Callable[[list[str]], list[tuple[int, int]]]) -> DataFrame:
+def _long_runs(lines: list[str], taken: set[int], words: int) -> set[int]:
+    """Of lines that go, those of runs of more than so many words; blank lines between two of them belong to the run."""
+    out: set[int] = set()
+    run: list[int] = []
+    for at, line in enumerate([*lines, "end"]):
+        if at in taken:
+            run.append(at)
+        elif line and not line.isspace() and run:
+            if sum(len(lines[n].split()) for n in run) > words:
+                out.update(run)
+            run = []
+    return out
+
+
+def _remove(docs: DataFrame, pieces: Callable[[list[str]], list[tuple[int, int]]], words: int = 0) -> DataFrame:
     docs = docs.drop("removed_lines", "kept", "places", "row_key_", "gone_id", "gone_key")
     gone = written(repeats(docs, pieces).withColumnsRenamed({"doc_id": "gone_id", "row_key": "gone_key"}), "gone")
     places = gone.agg(F.sum(2 * F.size("places") + 4)).first()[0] or 0
@@ -202,10 +217,12 @@ def _remove(docs: DataFrame, pieces: Callable[[list[str]], list[tuple[int, int]]
                     continue
                 lines = text.split("\n")
                 taken = {at for place in places for at in range(place["at"], place["after"])}
+                if words:
+                    taken = _long_runs(lines, taken, words)
                 left = [line for at, line in enumerate(lines) if at not in taken]
                 texts.append("\n".join(left))
                 removed.append(len(lines) - len(left))
-                kept.append(any(line and not line.isspace() for line in left))
+                kept.append(not taken or any(line and not line.isspace() for line in left))
             columns = {n: batch.column(names.index(n)) for n in names if n != "places"} | {"text": pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(removed, pa.int64()), pa.array(kept, pa.bool_())], [*columns, "removed_lines", "kept"])
 

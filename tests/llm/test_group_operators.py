@@ -411,7 +411,7 @@ def test_pipeline_equals_its_stages(spark):
 
     source = spark.read.parquet(f"{SF}/documents.parquet")
     rows = source.orderBy("doc_id").collect()
-    texts = brute_runs([r.text for r in rows])
+    texts = brute_runs([r.text for r in rows], 50)
     lines = {rows[n].doc_id: t for n, t in texts.items()}
     classes = brute_components(lines.items(), 5)
     left = {n for n, (_, _, kept) in classes.items() if kept}

@@ -284,8 +284,8 @@ def test_line_dedup_equals_brute_force(spark):
     assert line_dedup.remove_repeats(docs(spark, [])).count() == 0
 
 
-def brute_runs(texts):
-    """Lines that go because a window or a long line over them stands in an earlier place as well."""
+def brute_runs(texts, least=0):
+    """Lines that go because a window or a long line over them stands in an earlier place as well, in runs of more than ``least`` words."""
     seen, out = {}, {}
     for n, text in enumerate(texts):
         if text is None:
@@ -297,6 +297,12 @@ def brute_runs(texts):
             doc, _, last = seen.setdefault("\n".join(lines[start : end + 1]), (n, start, end))
             if (doc, _, last) != (n, start, end):
                 gone |= {at for at in range(start, end + 1) if doc != n or at > last}
+        blocks = re.findall(r"[01]+", "".join("0" if at in gone else "1" if not line.strip() else "2" for at, line in enumerate(lines)))
+        places = [m.span() for m in re.finditer(r"[01]+", "".join("0" if at in gone else "1" if not line.strip() else "2" for at, line in enumerate(lines)))]
+        for block, (a, b) in zip(blocks, places, strict=True):
+            run = [at for at in range(a, b) if at in gone]
+            if "0" in block and sum(len(lines[at].split()) for at in run) <= least:
+                gone -= set(run)
         left = [line for at, line in enumerate(lines) if at not in gone]
         if not gone or any(line.strip() for line in left):
             out[n] = "\n".join(left)
@@ -312,7 +318,7 @@ def test_repeated_runs_go_whole(spark):
     long = "long line " * 26
     texts += ["\n".join([*fresh(1), long, *fresh(1)]) for _ in range(3)] + ["a\n\nb\n", "x\na\n\nb", "a\n\nb\n\n", "a\nb", "\n\n", None, "", "one", "one", "\n".join(["z"] * 5)]
     texts += texts[:70:7]
-    got = line_dedup.remove_runs(docs(spark, texts, extra=True)).where("kept").collect()
+    got = line_dedup.remove_runs(docs(spark, texts, extra=True), words=0).where("kept").collect()
     left = {r.doc_id: r.text for r in got}
     assert left == brute_runs(texts)
     assert all(r.key == "x" and (r.removed_lines == 0 or r.n_chars == len(r.text)) for r in got)
@@ -325,19 +331,32 @@ def test_repeated_runs_go_whole(spark):
 def test_runs_of_few_lines_equal_brute_force(spark):
     draw = random.Random(10)
     texts = ["\n".join(draw.choice(["a", "b", "c", "d", "", "e"]) for _ in range(draw.randint(0, 9))) for _ in range(80)]
-    got = line_dedup.remove_runs(docs(spark, texts)).where("kept").collect()
+    got = line_dedup.remove_runs(docs(spark, texts), words=0).where("kept").collect()
     assert {r.doc_id: r.text for r in got} == brute_runs(texts)
 
 
+def test_short_chunks_stay(spark):
+    draw = random.Random(14)
+    line = lambda n: " ".join(f"w{draw.randint(0, 10**6)}" for _ in range(n))
+    passages = [[line(n) for n in sizes] for sizes in ((20, 20), (25, 26), (20, 20, 20), (51,), (50,), (10, 10, 10, 10, 10, 10))]
+    texts = ["\n".join([line(6), *p, line(6)]) for _ in range(3) for p in passages]
+    texts += ["\n".join(["", *passages[0], "", *passages[2][:2], line(9)]), "\n".join(passages[1]), "\n".join(passages[0]), texts[0]]
+    got = {r.doc_id: r.text for r in line_dedup.remove_runs(docs(spark, texts)).where("kept").collect()}
+    assert got == brute_runs(texts, 50)
+    for p in passages:
+        holds = [n for n, t in got.items() if t and all(x in t.split("\n") for x in p)]
+        assert len(holds) == 1 if sum(len(x.split()) for x in p) > 50 else len(holds) >= 3
+
+
 def test_shuffled_repeats_equal_broadcast(spark, monkeypatch):
     draw = random.Random(18)
     texts = ["\n".join(draw.choice(["a", "b", "c", "d", "", "e", "long " * 60]) for _ in range(draw.randint(0, 9))) for _ in range(60)]
     rows = [(n % 50, t, "en", "s", 1) for n, t in enumerate(texts)] + [(None, "a\nb", "en", "s", 1), (7, texts[7], "en", "s", 1)]
     made = spark.createDataFrame(rows, DOCS)
-    want = sorted(map(repr, line_dedup.remove_runs(made).collect()))
+    want = sorted(map(repr, line_dedup.remove_runs(made, words=0).collect()))
     monkeypatch.setattr(line_dedup, "BROADCAST_HASHES", -1)
     monkeypatch.setattr(line_dedup, "BROADCAST_PLACES", -1)
-    assert sorted(map(repr, line_dedup.remove_runs(made).collect())) == want
+    assert sorted(map(repr, line_dedup.remove_runs(made, words=0).collect())) == want
 
 
 def test_chunks_are_shift_resistant():
@@ -360,7 +379,7 @@ def test_op6_equals_brute_force(spark):
 
     sf = SF.replace("0.001", "0.01")
     rows = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
-    want = brute_runs([r.text for r in rows])
+    want = brute_runs([r.text for r in rows], 50)
     got = {r.doc_id: r for r in op6_line_dedup(spark, sf).collect()}
     assert len(got) == len(rows)
     for n, row in enumerate(rows):

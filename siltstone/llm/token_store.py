@@ -1,6 +1,7 @@
 """Token ids in ORC.
 
-Documents are put in order of their id by a range exchange, encoded, and written as ORC: ids as integer
+Documents are put in order of their id by a range exchange (one that many rows share is dealt by the beginnings of their
+texts as well), encoded, and written as ORC: ids as integer
 lists in run-length encoding, row indexes, and Bloom filters on document ids, so that a reader takes whole
 stripes in parallel and a lookup skips those that cannot hold its ids. Each row keeps the number of its
 file and the ids before it in that file; adding up the files' totals gives its place in the whole
@@ -39,6 +40,8 @@ LINE_WORDS = 50
 #: Bytes of texts whose distinct words are looked up together.
 GATHER_BYTES = 8 << 20
 STRIPE_BYTES, STRIDE = 16 << 20, 2000
+#: Rows of one id from which on their texts' first characters deal them.
+TIES, PREFIX = 10_000, 64
 
 
 def _plain_library(whole):
@@ -172,7 +175,10 @@ def store(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFra
                 total = int(ends[-1])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    # Ids alone are read for the ranges' bounds, unless one has so many rows that it must be dealt.
+    most = docs.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 0
+    ranges = ["doc_id"] if most <= TIES else ["doc_id", F.substring("text", 1, PREFIX)]
+    ordered = docs.select("doc_id", "text").repartitionByRange(*ranges).sortWithinPartitions("doc_id", "text")
     encoded = map_batches(ordered, run, f"doc_id {kind}, ids array<int>, n_tokens long, part long, before long")
     options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": str(STRIDE), "orc.stripe.size": str(STRIPE_BYTES), "compression": "zstd"}
     return written(encoded, "token-store", "orc", **options)

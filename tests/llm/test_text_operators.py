@@ -411,6 +411,23 @@ def test_store_round_trip(spark):
     assert token_store.digests(token_store.store(docs(spark, []), path)).count() == 0
 
 
+def test_rows_of_one_id_stand_in_order_of_their_text(spark, monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [f"{'ab'[n % 2]} text {n}" for n in range(300)]
+    rows = [(5 if n % 3 else n, t, "en", "s", 1) for n, t in enumerate(texts)] + [(5, None, "en", "s", 1), (None, "z", "en", "s", 1)]
+    made = spark.createDataFrame(rows, DOCS).repartition(5)
+    found = []
+    for ties in (10_000, 3):
+        monkeypatch.setattr(token_store, "TIES", ties)
+        stored = token_store.store(made, path)
+        found.append(sorted((r.start, r.doc_id, r.n_tokens) for r in token_store.digests(stored).collect()))
+    assert found[0] == found[1]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    assert [doc for _, doc, _ in found[0]] == [r[0] for r in order]
+    sizes = [len(token_store.WordEncoder(path).library.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in order[:20]]
+    assert [n for _, _, n in found[0]][:20] == sizes
+
+
 def test_store_writes_bloom_filters(spark):
     stored = token_store.store(docs(spark, ["a b", "c"]), public_tokenizers.path("word_bpe_49k.json"))
     import glob

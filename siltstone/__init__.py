@@ -7,7 +7,7 @@ they use.
 from importlib import import_module
 
 _HOMES = {
-    "siltstone.extraction": ["Extraction", "ExtractionConfig", "extract", "typed"],
+    "siltstone.extraction": ["Extraction", "ExtractionConfig", "audited", "extract", "typed"],
     "siltstone.functions.chunking": ["chunk"],
     "siltstone.operators.corrections": ["ISSUES"],
     "siltstone.plans.quota": ["Quota", "parse_quota"],

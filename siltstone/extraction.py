@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.chunking import MAX_CHARS, chunk
-from siltstone.operators import budgets, copies, corrections, execution, routing, verdicts
+from siltstone.operators import budgets, copies, corrections, evals, execution, routing, verdicts
 from siltstone.plans import schema as schemas
 from siltstone.plans.quota import Quota, parse_quota
 from siltstone.plans.units import Unit, decompose, stripped, units_table, yields
@@ -161,8 +161,7 @@ def extract(documents: DataFrame, schema: dict, factory: Callable[[], Runner], v
     # Counts that differ are looked at afresh before anything is repaired.
     start = first.where("error is null").select("doc_id", "call_seq", "data", "history")
     values = kept(execution.values(calls, start), "values")
-    sizes = corrections.list_sizes(values)
-    apart = counts.join(sizes, ["doc_id", "path"], "left").select("doc_id", "path", "declared", F.coalesce("actual", F.lit(0).cast("long")).alias("actual")).where("declared <> actual")
+    apart = corrections.mismatches(counts, corrections.list_sizes(values))
     cases = kept(verdicts.checks(apart, values, documents), "checks")
     answers = kept(ask(verdicts.check_requests(cases), router, config.router_limits), "answers")
     told = answers.where("error is null").select("doc_id", F.substring("call_key", 7, 1 << 30).alias("path"), _text(F.col("data")).alias("text"))
@@ -198,6 +197,11 @@ def extract(documents: DataFrame, schema: dict, factory: Callable[[], Runner], v
     return Extraction(data, issues, chunks, routing.spans_of(lines), calls, counts, errors.unionByName(failed), recounts, trace, config.prompts())
 
 
+def audited(extraction: Extraction, schema: dict) -> DataFrame:
+    """``doc_id, key, budget, chars, fits``: how the values of budgeted units keep what they were to have."""
+    return evals.value_fit(extraction.data, extraction.calls, [u.path for u in decompose(schema)])
+
+
 def typed(extraction: Extraction, ddl: str) -> DataFrame:
     """The data as columns of a Spark schema."""
     return extraction.data.select("doc_id", F.from_json("data", ddl).alias("value")).select("doc_id", "value.*")

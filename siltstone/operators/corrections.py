@@ -27,7 +27,7 @@ def count_issues(counts: DataFrame, sizes: DataFrame, disputed: DataFrame | None
 
     ``counts`` have ``doc_id, path, declared``. A surplus of a disputed path is reported and not repaired.
     """
-    both = counts.join(sizes, ["doc_id", "path"], "left").select("doc_id", F.col("path").alias("key"), F.col("declared").cast("long").alias("expected"), F.coalesce("actual", F.lit(0).cast("long")).alias("got"))
+    both = mismatches(counts, sizes).select("doc_id", F.col("path").alias("key"), F.col("declared").alias("expected"), F.col("actual").alias("got"))
     if disputed is not None:
         both = both.join(disputed.select("doc_id", F.col("path").alias("key")).distinct().withColumn("soft", F.lit(True)), ["doc_id", "key"], "left")
     else:
@@ -38,14 +38,10 @@ def count_issues(counts: DataFrame, sizes: DataFrame, disputed: DataFrame | None
     return missing.unionByName(surplus)
 
 
-def mismatches(issues: DataFrame) -> DataFrame:
-    """``doc_id, key, expected, got`` of counts that differ, one a key."""
-    return issues.groupBy("doc_id", "key").agg(F.first("expected").alias("expected"), F.first("got").alias("got"))
-
-
-def under(path: Column, root: Column) -> Column:
-    """Whether a path is the root or below it."""
-    return (path == root) | F.startswith(path, F.concat(root, F.lit("."))) | F.startswith(path, F.concat(root, F.lit("[")))
+def mismatches(counts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``doc_id, path, declared, actual`` of counts that differ from the entries that there are."""
+    both = counts.join(sizes, ["doc_id", "path"], "left").select("doc_id", "path", F.col("declared").cast("long").alias("declared"), F.coalesce("actual", F.lit(0).cast("long")).alias("actual"))
+    return both.where("declared <> actual")
 
 
 #: Columns of issues: ``origin`` ranks their sources (host, copies, counts), ``key`` is the path whose count is meant.

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions.json_values import MISC, at
+from siltstone.operators import corrections
+
 #: The band of actual to budgeted characters, and the difference that is let be.
 LOW, HIGH, SLACK = 0.4, 2.0, 25
 
@@ -61,6 +66,15 @@ def budget_fit(items: DataFrame) -> DataFrame:
     return both.groupBy("doc_id", "unit").agg(F.min(ratio).alias("low"), F.max(ratio).alias("high"), F.sum(F.when(fits(F.col("budget"), F.col("chars")), 0).otherwise(1)).alias("wild"))
 
 
+def value_fit(data: DataFrame, calls: DataFrame, paths: list[str]) -> DataFrame:
+    """``doc_id, key, budget, chars, fits`` of the budgeted values in ``data (doc_id, data)``; units that ran whole are judged by their total."""
+    told = per_item_budgets(calls).withColumnRenamed("unit", "path").where(F.col("path").isin(paths))
+    values = [data.select("doc_id", F.lit(path).alias("path"), F.to_json(at(F.col("data"), path, "variant")).alias("value")) for path in paths if path != MISC]
+    found = reduce(DataFrame.unionByName, values).where("value is not null")
+    rows = corrections.item_chars(told, found, whole_units(calls).withColumnRenamed("unit", "path"))
+    return rows.withColumn("fits", fits(F.col("budget"), F.col("chars")))
+
+
 def realigned(budgets: Column, order: Column) -> Column:
     """A list of budgets for items that were sorted: place i holds the item ``order[i]``."""
     return F.transform(order, lambda p: F.element_at(budgets, F.least(p.cast("int") + 1, F.size(budgets))))

@@ -96,7 +96,7 @@ def block_plans(shared: DataFrame, dests: DataFrame, material: DataFrame, resolv
     is cut by its material. Lazily drawn and guessed runs are left to a fresh count.
     """
     wanted = shared.where(F.col("short_n").isNull() & (F.col("n") >= EXCESS) & ~lazy(F.col("span"), F.col("n"))).select("doc_id", F.col("code").alias("unit"), F.col("n").cast("long").alias("items"))
-    dense = material.groupBy("doc_id", "unit").agg(F.sum("material").alias("m")).where(F.col("m") >= DENSE)
+    dense = material.groupBy("doc_id", "unit").agg(F.round(F.sum("material"), 6).alias("m")).where(F.col("m") >= DENSE)
     total = resolved.groupBy("doc_id", "unit").agg(F.sum("chars").alias("c"))
     chars = F.when(F.coalesce("c", F.lit(0)) > 0, F.col("c")).otherwise(F.col("m"))
     ends = dests.where("error is null and parent_code is null").groupBy("doc_id", F.col("code").alias("unit")).agg(F.min("start").alias("start"), F.max("end").alias("end"))
@@ -144,17 +144,6 @@ def uncovered_by(removed: DataFrame, holes: DataFrame) -> DataFrame:
     return both.groupBy("doc_id", "hole_start").agg(F.min_by("line", "start").alias("line"))
 
 
-def overruns(material: DataFrame, resolved: DataFrame) -> DataFrame:
-    """``doc_id, unit, blocks``: units with much material and budgets for two blocks or more.
-
-    ``material (doc_id, unit, item, material)`` and ``resolved (doc_id, unit, chars)``.
-    """
-    dense = material.groupBy("doc_id", "unit").agg(F.sum("material").alias("m")).where(F.col("m") >= DENSE)
-    total = resolved.groupBy("doc_id", "unit").agg(F.sum("chars").alias("c"))
-    blocks = F.bround(F.col("c") / BLOCK, 0).cast("long")
-    return dense.join(total, ["doc_id", "unit"]).select("doc_id", "unit", blocks.alias("blocks")).where("blocks >= 2")
-
-
 def block_lines(blocks: DataFrame, code: str | None = None) -> DataFrame:
     """``doc_id, block, line``: map lines of blocks that ``intervals.even_blocks`` has cut, of one unit or of their ``code``."""
     span = F.concat_ws("-", F.col("block_start").cast("string"), F.col("block_end").cast("string"))

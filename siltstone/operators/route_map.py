@@ -284,11 +284,13 @@ def overlays(replies: DataFrame, base: DataFrame) -> DataFrame:
     """
     lines = lines_of(replies)
     chain = F.exists(F.split(_part("line", MAP_LINE, 3, "string"), r"\s*,\s*"), lambda t: F.length(t) - F.length(F.replace(t, F.lit("."), F.lit(""))) >= 2)
-    kind = F.when(F.col("line").rlike(MAP_LINE), F.when(chain, "chain").otherwise("cover")).when(F.col("line").rlike(COUNT), "count")
+    told = reduce(lambda a, b: a | b, (F.col("line").rlike(p) for p in (COUNT, CHAIN_COUNT, ENTRY_COUNT, DERIVED)))
+    name = F.when(told, F.regexp_extract("line", r"^([\w.]+)", 1))
+    kind = F.when(F.col("line").rlike(MAP_LINE), F.when(chain, "chain").otherwise("cover")).when(told, "count")
     read = lines.withColumn("kind", kind).where("kind is not null")
     fit = read.groupBy("doc_id").agg(F.max(F.col("kind") == "chain").alias("some"), F.max(F.col("kind") == "cover").alias("other")).where("some and not other").select("doc_id")
-    added = read.join(fit, "doc_id").select("doc_id", "line_no", F.lit("+").alias("sign"), "line", _part("line", COUNT, 1, "string").alias("code"))
-    old = base.select("doc_id", "line_no", "line", _part("line", COUNT, 1, "string").alias("code")).where("code is not null")
+    added = read.join(fit, "doc_id").select("doc_id", "line_no", F.lit("+").alias("sign"), "line", F.when(F.col("kind") == "count", name).alias("code"))
+    old = base.where(~F.col("line").rlike(MAP_LINE)).select("doc_id", "line_no", "line", name.alias("code")).where("code is not null")
     gone = old.join(added.where("code is not null").select("doc_id", "code").distinct(), ["doc_id", "code"]).select("doc_id", "line_no", F.lit("-").alias("sign"), "line")
     return added.drop("code").unionByName(gone)
 
@@ -311,13 +313,6 @@ def applied(base: DataFrame, changes: DataFrame) -> DataFrame:
     return every.select("doc_id", (F.row_number().over(order) - 1).alias("line_no"), "line")
 
 
-def shared_spans(dests: DataFrame, told: DataFrame, load: int = 4, least: int = 5) -> DataFrame:
-    """Units whose runs look too long for what they declare: ``span >= count * load`` and ``span - count >= least``."""
-    span = assignments(dests).groupBy("doc_id", "code").agg(F.countDistinct("chunk_id").alias("span"))
-    joined = span.join(told.where("parent_code is null and n is not null").select("doc_id", "code", "n"), ["doc_id", "code"])
-    return joined.where((F.col("span") >= F.col("n") * load) & (F.col("span") - F.col("n") >= least))
-
-
 def resolved_budgets(told: DataFrame, material: DataFrame) -> DataFrame:
     """``doc_id, code, item, chars`` of declared budgets against ``material (doc_id, code, item, material)``.
 

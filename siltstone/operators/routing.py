@@ -275,7 +275,7 @@ def recounted(lines: DataFrame, parts: DataFrame, sizes: DataFrame, table: DataF
     dests, told = route_map.destinations(lines, table), route_map.declarations(lines, table)
     if codes is not None:
         # A repeating unit that a map does not mention reads as zero.
-        blank = route_map.zero_counts(told.where("false"), told.select("doc_id", "code").unionByName(dests.select("doc_id", "code")), codes, lines).select("doc_id", "code", F.col("n").cast("long").alias("n"))
+        blank = route_map.zero_counts(told.where("false"), told.select("doc_id", "code").unionByName(hints.drawn_pairs(dests).select("doc_id", "code")), codes, lines).select("doc_id", "code", F.col("n").cast("long").alias("n"))
         silent = blank.join(dests.select("doc_id", "code"), ["doc_id", "code"], "left_anti").join(told.select("doc_id", "code"), ["doc_id", "code"], "left_anti")
         zero = silent.withColumns({c: F.lit(None).cast(told.schema[c].dataType) for c in told.columns if c not in ("doc_id", "code", "n")})
         told = told.unionByName(zero.select(*told.columns))

@@ -397,12 +397,12 @@ def applied_edits(spark, sf_dir):
     return route_map.applied(base, changes(spark, sf_dir)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
 
 
-@query(LINES_SQL + ", s AS (SELECT doc_id, code, count(*) AS span FROM coded WHERE code <> '-' GROUP BY ALL), t AS (SELECT doc_id, code, 1 AS n FROM runs WHERE code IN ('b', 'c') GROUP BY ALL) SELECT doc_id, code, span, n FROM s JOIN t USING (doc_id, code) WHERE span >= n * 4 AND span - n >= 5")
-def shared_spans(spark, sf_dir):
+@query(LINES_SQL + "SELECT doc_id, code, 1 AS n, \"end\" - start + 1 AS span, CASE WHEN \"end\" - start >= 7 THEN \"end\" - start + 1 END AS merged FROM runs WHERE code IN ('b', 'c') AND \"end\" > start AND (SELECT count(*) FROM runs r WHERE r.doc_id = runs.doc_id AND r.code = runs.code) = 1")
+def shared_runs(spark, sf_dir):
+    """Units whose only instance has a run of several chunks."""
     units = units_table(spark, decompose(SCHEMA))
-    found = route_map.destinations(route_map.lines_of(map_texts(spark, sf_dir)), units)
-    told = runs(spark, sf_dir).where("code in ('b', 'c')").select("doc_id", "code").distinct().withColumns({"n": F.lit(1).cast("long"), "parent_code": F.lit(None).cast("string")})
-    return route_map.shared_spans(found, told).select("doc_id", "code", "span", F.col("n").cast("int").alias("n"))
+    found = route_map.lines_of(map_texts(spark, sf_dir))
+    return hints.shared_runs(route_map.destinations(found, units), route_map.declarations(found, units)).select("doc_id", "code", F.col("n").cast("int").alias("n"), "span", "merged")
 
 
 # --- recounts and verdicts
@@ -724,13 +724,31 @@ def error_regressions(spark, sf_dir):
 
 
 @query(
-    ASSIGNED_SQL
-    + """, m AS (SELECT doc_id, unit, sum(material) AS m, sum(CAST(round(material) AS BIGINT)) AS c FROM material GROUP BY ALL)
-SELECT doc_id, unit, CAST(round_even(c / 300.0, 0) AS BIGINT) AS blocks FROM m WHERE m >= 1000 AND round_even(c / 300.0, 0) >= 2"""
+    LINES_SQL
+    + """, m AS (SELECT doc_id, count(*) AS s, sum(content_len) AS m FROM coded GROUP BY doc_id), b AS (SELECT *, CAST(least(round_even(m / 300.0, 0), s - 1) AS BIGINT) AS blocks FROM m WHERE s >= 6 AND m >= 1000)
+SELECT doc_id, 'b' AS code, 0 AS start, s - 1 AS "end", s - 1 AS items, blocks FROM b WHERE blocks >= 2"""
 )
-def overrun_hints(spark, sf_dir):
-    found = budgets.material(assigned(spark, sf_dir), lines(spark, sf_dir))
-    return hints.overruns(found, found.select("doc_id", "unit", F.round("material").cast("long").alias("chars")))
+def block_plans(spark, sf_dir):
+    """Documents that are one range of nearly as many instances as lines, cut by their material."""
+    units = units_table(spark, decompose(SCHEMA))
+    size = F.col("size").cast("string")
+    said = F.concat(F.lit("0-"), (F.col("size") - 1).cast("string"), F.lit(" b.0-"), (F.col("size") - 2).cast("string"), F.lit("\nb: "), (F.col("size") - 1).cast("string"))
+    found = route_map.lines_of(sizes(spark, sf_dir).where("size > 2").select("doc_id", said.alias("text"), size.alias("s")))
+    dests, told = route_map.destinations(found, units), route_map.declarations(found, units)
+    points = route_map.assignments(dests).select("doc_id", F.col("code").alias("unit"), "item", "chunk_id")
+    material = budgets.material(points, lines(spark, sf_dir))
+    none = material.select("doc_id", "unit", F.lit(0).cast("long").alias("chars")).where("false")
+    return hints.block_plans(hints.shared_runs(dests, told), dests, material, none).select("doc_id", "code", "start", "end", "items", "blocks")
+
+
+@query("SELECT conv_id AS doc_id, 'jobs[' || (turn) || ']' AS key, 20 + turn AS budget, length(text) AS chars, length(text) / (20.0 + turn) BETWEEN 0.4 AND 2.0 OR abs(length(text) - 20 - turn) <= 25 AS fits FROM conversations")
+def value_fit(spark, sf_dir):
+    """Turns as a list's entries, against a budget for each."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", "text")
+    data = rows.groupBy("doc_id").agg(F.to_json(F.struct(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda r: F.struct(r["text"].alias("t"))).alias("jobs"))).alias("data"))
+    none = F.lit(None).cast("array<bigint>")
+    calls = rows.select("doc_id", F.col("turn").alias("call_seq"), F.lit("jobs").alias("unit"), F.lit("per-item").alias("strategy"), F.col("turn").alias("item"), none.alias("batch"), F.array(F.col("turn") + 20).alias("budget"))
+    return evals.value_fit(data, calls, ["jobs"])
 
 
 @query(

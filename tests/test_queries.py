@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+import siltstone.case_queries  # noqa: F401
 from siltstone.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -65,6 +66,6 @@ def test_core_stands_without_the_llm_package():
     import subprocess
     import sys
 
-    code = "import sys; sys.modules['siltstone.llm'] = None; sys.modules['corpus_pipeline'] = None\nimport siltstone.queries, siltstone.extraction, siltstone.streaming.chunks\nprint(len(siltstone.queries.QUERIES))"
+    code = "import sys; sys.modules['siltstone.llm'] = None; sys.modules['corpus_pipeline'] = None\nimport siltstone.queries, siltstone.case_queries, siltstone.extraction, siltstone.streaming.chunks\nprint(len(siltstone.queries.QUERIES))"
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=__file__.rsplit("/tests/", 1)[0])
     assert int(done.stdout) == len(QUERIES), done.stderr

@@ -53,7 +53,7 @@ def test_chains_without_signs_join_the_map(spark):
     changes = route_map.overlays(replies, base)
     assert {r.doc_id for r in changes.collect()} == {0}
     got = [r.line for r in route_map.applied(base.where("doc_id = 0"), route_map.net_edits(changes)).orderBy("line_no").collect()]
-    assert got[:4] == ["0 a", "1-3 b.0", "1 b.0.c.0", "2 b.0.c.1"] and set(got[4:]) == {"d: 0", "b: 1 @50%"}
+    assert got[:4] == ["0 a", "1-3 b.0", "1 b.0.c.0", "2 b.0.c.1"] and set(got[4:]) == {"d: 0", "b: 1 @50%", "b.0.c: 2"}
 
 
 def test_drawing_anew_keeps_a_map(spark):

@@ -8,12 +8,16 @@ the JVM without a shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import BLANK, content_len, is_blank, normalize_newlines
 
 MAX_CHARS = 250
+#: Items that are folded at once.
+GROUP = 256
 #: Line classes and sentence ends.
 HEADING = rf"^#{{1,6}}{BLANK}"
 ITEM = rf"^{BLANK}*(?:[-*+]+{BLANK}+|•{BLANK}*|\p{{Nd}}+[、)]{BLANK}*|\p{{Nd}}+\.{BLANK}+)"
@@ -29,6 +33,25 @@ def _none() -> Column:
     return F.array().cast(_STRINGS)
 
 
+def _folded(items: Column, name: str, start: Column, step: Callable[[Column, Column], Column], last: Callable[[Column], Column]) -> Column:
+    """An array of strings from a fold with a state of ``done`` strings and one more field.
+
+    A fold's state is copied at every step, so one fold over a long text would copy it as often as it has pieces. Items
+    are folded in groups from an empty ``done``, and groups into the whole.
+    """
+
+    def finished(a: Column) -> Column:
+        return F.when(last(a[name]), a["done"]).otherwise(F.concat(a["done"], F.array(a[name])))
+
+    def over(all_: Column) -> Column:
+        groups = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(all_) - 1) / GROUP), F.lit(0)).cast("int")), lambda i: F.slice(all_, i * GROUP + 1, F.lit(GROUP)))
+        state = lambda done, open_: F.struct(done.alias("done"), open_.alias(name))
+        return F.aggregate(groups, state(_none(), start), lambda a, g: F.aggregate(g, state(_none(), a[name]), step, lambda s: state(F.concat(a["done"], s["done"]), s[name])), finished)
+
+    # The array is bound once, as the only element of an outer transform.
+    return F.get(F.transform(F.array(items), over), F.lit(0))
+
+
 def is_heading(line: Column) -> Column:
     return line.rlike(HEADING)
 
@@ -49,21 +72,17 @@ def breaks_meaningless(n: Column, m: Column, max_chars: int = MAX_CHARS) -> Colu
 
 
 def blocks(text: Column) -> Column:
-    """Paragraphs, and list items and table rows by themselves; a heading begins a paragraph."""
-    state = F.struct(_none().alias("done"), F.lit(None).cast("string").alias("open"))
+    """Paragraphs, and list items and table rows by themselves; a heading begins a paragraph.
+
+    Blank lines are put where blocks end, and the text is cut at them: no state grows with the text.
+    """
 
-    def step(a: Column, line: Column) -> Column:
-        closed = F.when(a["open"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["open"])))
-        none = F.lit(None).cast("string")
+    def parted(line: Column) -> Column:
         alone = line.rlike(ITEM) | line.rlike(ROW)
-        return (
-            F.when(is_heading(line), F.struct(closed.alias("done"), line.alias("open")))
-            .when(is_blank(line), F.struct(closed.alias("done"), none.alias("open")))
-            .when(alone, F.struct(F.concat(closed, F.array(line)).alias("done"), none.alias("open")))
-            .otherwise(F.struct(a["done"].alias("done"), F.concat_ws("\n", a["open"], line).alias("open")))
-        )
+        return F.when(is_heading(line), F.concat(F.lit("\n"), line)).when(is_blank(line), "").when(alone, F.concat(F.lit("\n"), line, F.lit("\n"))).otherwise(line)
 
-    return F.aggregate(F.split(text, "\n", -1), state, step, lambda a: F.when(a["open"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))))
+    whole = F.concat(F.lit("\n\n"), F.array_join(F.transform(F.split(text, "\n", -1), parted), "\n"), F.lit("\n\n"))
+    return F.filter(F.split(whole, "\n{2,}", -1), lambda block: block != "")
 
 
 def _count(text: Column, marks: str) -> Column:
@@ -72,14 +91,13 @@ def _count(text: Column, marks: str) -> Column:
 
 def healed(pieces: Column) -> Column:
     """Pieces that a sentence end cut out of an open bracket are joined again."""
-    state = F.struct(_none().alias("done"), F.lit(None).cast("string").alias("last"))
 
     def step(a: Column, piece: Column) -> Column:
         goes_on = a["last"].isNotNull() & ~piece.rlike(ENTRY) & (_count(a["last"], "(（") > _count(a["last"], ")）"))
         done = F.when(a["last"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["last"])))
         return F.when(goes_on, F.struct(a["done"].alias("done"), F.concat(a["last"], piece).alias("last"))).otherwise(F.struct(done.alias("done"), piece.alias("last")))
 
-    return F.aggregate(pieces, state, step, lambda a: F.when(a["last"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["last"]))))
+    return _folded(pieces, "last", F.lit(None).cast("string"), step, lambda x: x.isNull())
 
 
 def windows(piece: Column, max_chars: int) -> Column:
@@ -102,7 +120,6 @@ def marked(pieces: Column) -> Column:
 
 def packed(pieces: Column, max_chars: int = MAX_CHARS) -> Column:
     """Pieces ``(text, alone)`` packed up to the limit; overlong pieces are cut."""
-    state = F.struct(_none().alias("done"), F.lit("").alias("open"))
 
     def step(a: Column, x: Column) -> Column:
         piece = x["text"]
@@ -113,7 +130,7 @@ def packed(pieces: Column, max_chars: int = MAX_CHARS) -> Column:
             .otherwise(F.struct(a["done"].alias("done"), F.concat(a["open"], piece).alias("open")))
         )
 
-    return F.aggregate(pieces, state, step, lambda a: F.when(a["open"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))))
+    return _folded(pieces, "open", F.lit(""), step, lambda x: x == "")
 
 
 def cut_block(block: Column, max_chars: int = MAX_CHARS) -> Column:

@@ -167,3 +167,16 @@ def test_structures_equal_a_plain_chunker(spark):
         assert got.get(row.doc_id, []) == want
         kinds |= {x[:2] for x in want}
     assert kinds >= {"# ", "- ", "1.", "| ", "• "}
+
+
+def test_long_texts_take_linear_time(spark):
+    import time
+
+    from siltstone.functions.chunking import chunk
+
+    one = "This is a sentence of some words that ends here. " * 60_000
+    rows = [(0, one), (1, one.replace("here. ", "here.\n")), (2, "\n" * 500_000 + "x" + "\n" * 500_000), (3, "# h\n- i\n" * 50_000)]
+    began = time.monotonic()
+    got = {r.doc_id: r.n for r in chunk(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+    assert time.monotonic() - began < 60
+    assert got[0] == got[1] == 12_000 and got[2] == 1 and got[3] == 100_000

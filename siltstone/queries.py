@@ -17,6 +17,7 @@ from siltstone.operators import budgets, copies, corrections, evals, execution,
 from siltstone.plans.schema import marked_fields
 from siltstone.plans.units import decompose, units_table
 from siltstone.sources.documents import spread
+from siltstone.sources.shared import kept
 from siltstone.sources.shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,8 +57,8 @@ spans AS (SELECT doc_id, chunk_id AS start, chunk_id + length(text) % 4 AS "end"
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    kept = F.filter(F.split(text.normalize_newlines(F.col("text")), "\n"), lambda x: ~text.is_blank(x))
-    rows = docs.select("doc_id", F.posexplode(kept).alias("chunk_id", "text"))
+    full = F.filter(F.split(text.normalize_newlines(F.col("text")), "\n"), lambda x: ~text.is_blank(x))
+    rows = docs.select("doc_id", F.posexplode(full).alias("chunk_id", "text"))
     code = F.element_at(F.array(*map(F.lit, "abc-")), (F.length("text") % 4 + 1).cast("int"))
     return rows.select("doc_id", F.col("chunk_id").cast("long").alias("chunk_id"), "text", text.content_len(F.col("text")).cast("long").alias("content_len"), code.alias("code"))
 
@@ -486,7 +487,8 @@ UNION ALL SELECT doc_id, 'a', 'whole', NULL, min(start), CAST(sum(n) AS BIGINT),
 )
 def planned_calls(spark, sf_dir):
     """Calls of all documents with a budget of 100 an item, so that three items share a call."""
-    groups = call_groups(spark, sf_dir)
+    # Written, as an extraction does: the plan reads groups several times.
+    groups = kept(call_groups(spark, sf_dir), "groups")
     told = groups.select("doc_id", "unit").distinct().withColumn("budgets", F.array(F.lit(100).cast("long")))
     calls = execution.plan_calls(groups, told)
     return calls.select("doc_id", "unit", "strategy", "item", F.get("chunk_ids", F.lit(0)).alias("first_chunk"), F.size("chunk_ids").cast("long").alias("chunks"), F.size("budget").cast("long").alias("budgets"), F.md5("scope").alias("scope_md5"))

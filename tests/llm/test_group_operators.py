@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from siltstone.llm import ann, components, html, minhash
@@ -65,6 +66,17 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("bounds", [(3, 1_000_000), (3, 1), (0, 1_000_000)])
+def test_hubs(spark, monkeypatch, bounds):
+    """Hubs told by broadcast, too many to be, and every node a hub."""
+    monkeypatch.setattr(components, "HUB", bounds[0])
+    monkeypatch.setattr(components, "BROADCAST_HUBS", bounds[1])
+    links = [(100, n) for n in range(101, 160)] + [(7, n) for n in range(100, 130, 7)] + [(500 + n, 501 + n) for n in range(20)] + [(900, 900 + n) for n in range(1, 30)] + [(929, 505)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    nodes = {n for pair in links for n in pair}
+    assert got == {n: 7 if n < 200 else 500 for n in nodes}
+
+
 def test_near_duplicates_equal_brute_force(spark):
     draw = random.Random(4)
     vocabulary = [f"w{n}" for n in range(300)]

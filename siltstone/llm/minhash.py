@@ -34,7 +34,7 @@ from siltstone.llm.components import components
 BANDS, ROWS = 40, 5
 #: Pairs of one pivot that go to one task together.
 PIVOT_PAIRS = 256
-#: Tasks that the pairs of a pivot with more of them are dealt to before that, and nodes of a run that are joined together.
+#: Tasks that the pairs of a pivot with more of them are dealt to before that, and nodes of a run and size that are joined together.
 SALTS, RUN_NODES = 64, 256
 #: Ids that may be broadcast, 8 bytes each.
 BROADCAST_IDS = 1_000_000
@@ -213,14 +213,29 @@ def across_components(rest: DataFrame, texts: DataFrame, k: int, percent: int) -
     spread = runs.groupBy("run").agg(F.count("*").alias("nodes"), F.min("component").alias("low"), F.max("component").alias("high"))
     ranked = runs.join(spread, "run").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("nodes", "run", (F.col("low") < F.col("high")).alias("shared")))).alias("all"))
     length = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1
-    prefix = ranked.select("node", "component", "n", F.posexplode(F.slice("all", F.lit(1), length)).alias("at", "p")).where("p.shared").select("node", "component", "n", "at", "p.run", F.ceil(F.col("p.nodes") / RUN_NODES).cast("int").alias("salts"))
-    # A run that many nodes hold is joined in parts: each node of one side meets every part of the other.
-    x = prefix.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).alias("x")
-    y = prefix.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
-    both = F.col("x.n") + F.col("y.n")
-    least = F.ceil(F.lit(percent) * both / (100 + percent))
-    near = (F.col("x.component") < F.col("y.component")) & (F.col("x.at") <= F.col("x.n") - least) & (F.col("y.at") <= F.col("y.n") - least)
-    return x.join(y, (F.col("x.run") == F.col("y.run")) & (F.col("x.salt") == F.col("y.salt")) & near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    # The size of the largest set that a node can be linked with if this run is the first that both have.
+    reach = F.floor(F.lit(100 + percent) * (F.col("n") - F.col("at")) / percent) - F.col("n")
+    prefix = ranked.select("node", "component", "n", F.posexplode(F.slice("all", F.lit(1), length)).alias("at", "p")).where("p.shared")
+    return meeting(written(prefix.select("node", "component", "n", "p.run", reach.alias("reach")), "prefix"))
+
+
+def meeting(prefix: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, of ``prefix (node, component, n, run, reach)`` that share a run, lie in two components and reach each other's size.
+
+    A run's nodes lie where their size is. Those outside the run's most frequent component go to the sizes that hold a node
+    which they can meet, so a node is told to no more sizes than it has partners, and a large component to none.
+    """
+    held = prefix.groupBy("run", "component").agg(F.count("*").alias("nodes"))
+    most = held.groupBy("run").agg(F.max(F.struct("nodes", "component"))["component"].alias("most"))
+    # A size that many nodes of a run have is joined in parts.
+    sizes = written(prefix.groupBy("run", F.col("n").alias("size")).agg(F.max("reach").alias("far"), F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / RUN_NODES).cast("int").alias("parts")), "sizes")
+    others = prefix.join(most, "run").where("component <> most")
+    told = others.join(sizes, "run").where("size <= reach and n <= far and (low <> component or high <> component)")
+    y = told.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
+    x = prefix.withColumn("size", F.col("n")).join(sizes, ["run", "size"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).alias("x")
+    same = (F.col("x.run") == F.col("y.run")) & (F.col("x.size") == F.col("y.size")) & (F.col("x.part") == F.col("y.part"))
+    apart = (F.col("x.component") == F.col("y.most")) | (F.col("x.component") < F.col("y.component"))
+    return x.join(y, same & apart & (F.col("y.n") <= F.col("x.reach"))).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -123,6 +123,42 @@ def test_salted_joins_lose_nothing(spark, monkeypatch):
     assert got == brute_components(enumerate(texts), 2)
 
 
+def rows_made(spark, run):
+    """The most rows that a join or generator of the plans that ``run`` executes gave."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    most, found = 0, store.executionsList()
+    for e in (found.apply(n) for n in range(before, found.size())):
+        values, nodes = store.executionMetrics(e.executionId()), store.planGraph(e.executionId()).allNodes()
+        for node in (nodes.apply(n) for n in range(nodes.size())):
+            if node.name() == "Generate" or "Join" in node.name():
+                metrics = node.metrics()
+                own = (metrics.apply(n) for n in range(metrics.size()))
+                most = max([most, *(int(values.apply(m.accumulatorId()).replace(",", "")) for m in own if m.name() == "number of output rows" and values.contains(m.accumulatorId()))])
+    return most
+
+
+def test_group_of_near_copies_is_told_to_few(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "RUN_NODES", 4)
+
+    def searched(n):
+        words = [f"w{i}" for i in range(40)]
+        texts = [" ".join(words[: i % 39] + [f"own{i}"] + words[i % 39 + 1 :]) for i in range(n)]
+        rest = minhash.written(spark.createDataFrame([(i, 0 if i < n - 3 else i) for i in range(n)], "node long, component long"), "rest")
+        made = minhash.written(docs(spark, texts).select("doc_id", "text"), "texts")
+        found = []
+        made_rows = rows_made(spark, lambda: found.extend(minhash.across_components(rest, made, 2, 80).collect()))
+        sets = [shingles(t, 2) for t in texts]
+        links = {(a, b) for b in range(n - 3, n) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+        assert links and links <= {(r.a, r.b) for r in found}
+        return made_rows
+
+    # Four times the group: four times the rows, not sixteen times.
+    assert searched(400) <= 6 * searched(100)
+
+
 def test_near_duplicate_edges(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
     rows = [(1, "a b c d e f", "en", "s", 1), (1, "a b c d e f", "en", "s", 1), (None, "a b c d e f", "en", "s", 1), (2, "a b c d e f", "en", "s", 1), (3, "x", "en", "s", 1)]

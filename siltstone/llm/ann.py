@@ -8,8 +8,8 @@ table of products with the centroids, two pieces to a byte, scores every code by
 chunk are scored again with the original vectors in double precision. Rows of equal code share one place among
 the best, so copies of a vector push no other out; of equal vectors a chunk scans those with the smallest ids.
 
-Centroids are fitted on a bounded sample: the ``SAMPLE`` vectors with the smallest hash of their id. Every row
-is indexed. Large tables are cut into cells as well, one for every ``CELL_ROWS`` rows up to ``CELLS``: a row lies in the
+Centroids are fitted on a bounded sample: the ``SAMPLE`` vectors with the smallest hash of their id, fewer if they are
+longer than 512, so that no more than ``SAMPLE_VALUES`` components reach the driver. Every row is indexed. Large tables are cut into cells as well, one for every ``CELL_ROWS`` rows up to ``CELLS``: a row lies in the
 cell of its nearest coarse centroid, and a query looks into as many of the nearest cells as the sample needs for a
 recall of ``TARGET``, each sampled vector being sought among the others. The sample is sparser than the table, so its
 neighbours lie further off and its recall is the lower one. Where it needs most of the cells, as for vectors without
@@ -42,6 +42,8 @@ from siltstone.llm.common import map_batches, written
 PIECE, CENTROIDS = 2, 16
 WEIGHT = 4.0
 SAMPLE, ROUNDS = 8192, 8
+#: Components of all sampled vectors together, 8 bytes each in the driver, and losses that are weighed at once.
+SAMPLE_VALUES, SLAB_VALUES = 1 << 22, 1 << 20
 CHUNK, BLOCK = 2048, 1024
 #: Of a chunk's rows, the share of places for codes whose rows are scored exactly for each query.
 RERANK = 1 / 16
@@ -96,8 +98,12 @@ class Quantiser:
         """Codes by coordinate descent; the parallel residual couples the pieces of a vector.
 
         The loss of residual r of y, which is a unit vector x less its base, is |r|^2 + (weight - 1) (r . x)^2.
+        Vectors are independent, and are coded in slabs, so what is held doesn't grow with their number or length.
         """
         y = x if y is None else y
+        slab = max(1, SLAB_VALUES // (self.pieces * CENTROIDS))
+        if len(x) > slab:
+            return np.concatenate([self._codes(x[n : n + slab], passes, y[n : n + slab]) for n in range(0, len(x), slab)])
         codes = np.empty((len(x), self.pieces), np.uint8)
         gap = np.empty((self.pieces, len(x), CENTROIDS))
         along = np.empty_like(gap)
@@ -265,9 +271,11 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> tuple[Quantiser, Cells] | None
     total = rows.count()
     if not total:
         return None
+    first = rows.first().embedding
+    sample = max(1, min(sample, SAMPLE_VALUES // len(first)))
     draw = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    found = rows.where(draw <= min(1.0, (sample + 4 * sample**0.5) / total)).orderBy(draw, "vec_id").limit(sample).select("embedding").collect()
-    x = np.array([r.embedding for r in found] or [rows.first().embedding])
+    found = rows.where(draw <= min(1.0, (sample + 4 * sample**0.5) / total)).orderBy(draw, "vec_id").limit(sample).select("embedding").toArrow().column(0).combine_chunks()
+    x = found.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(first)) if len(found) else np.array([first])
     cells = Cells(x, min(CELLS, total // CELL_ROWS))
     return Quantiser(x, base=cells.base(cells.nearest(x, 1)[:, 0])), cells
 

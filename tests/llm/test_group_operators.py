@@ -3,6 +3,7 @@
 import html as entities
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -308,6 +309,24 @@ def test_quantiser_weighs_parallel_error():
 # --- pages
 
 
+def test_fitting_holds_little_at_once(spark, monkeypatch):
+    draw = np.random.default_rng(6)
+    wide = draw.normal(size=(4096, 256))
+    tracemalloc.start()
+    quantiser = ann.Quantiser(wide, rounds=1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6
+    whole = quantiser.encode(wide[:300])
+    monkeypatch.setattr(ann, "SLAB_VALUES", 7 * quantiser.pieces * ann.CENTROIDS)
+    assert (quantiser.encode(wide[:300]) == whole).all()
+    monkeypatch.setattr(ann, "SAMPLE_VALUES", 50 * 16)
+    seen = []
+    monkeypatch.setattr(ann, "Quantiser", lambda x, **_: seen.append(x.shape))
+    ann.fit(spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(draw.normal(size=(400, 16)))], "vec_id long, embedding array<double>"))
+    assert seen[0][1] == 16 and 20 <= seen[0][0] <= 50
+
+
 def page(n, body, extra=""):
     return f'<!DOCTYPE html><html><head><title>T {n}</title><style>p{{}}</style><script>var a="</p>";</script></head><body class="nav-open"><nav><a href="/">Home {n}</a></nav><header><h1>Site</h1></header><div class="cookie-notice">We use cookies</div><article><h2>Title {n}</h2>{body}<p>Subscribe   to our letter</p></article><div class="comments"><p>Nice {n}</p></div>{extra}<footer>&copy; {n}</footer></body></html>'
 

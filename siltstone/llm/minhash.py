@@ -222,8 +222,9 @@ def across_components(rest: DataFrame, texts: DataFrame, k: int, percent: int) -
 def meeting(prefix: DataFrame) -> DataFrame:
     """Pairs ``(a, b)``, a < b, of ``prefix (node, component, n, run, reach)`` that share a run, lie in two components and reach each other's size.
 
-    A run's nodes lie where their size is. Those outside the run's most frequent component go to the sizes that hold a node
-    which they can meet, so a node is told to no more sizes than it has partners, and a large component to none.
+    A run's nodes lie where their size is. Those outside the run's most frequent component go to the sizes in their reach
+    that reach theirs and hold another component; the most frequent component's go nowhere. Many small components that all
+    reach each other are still pairs in the square of their number, for each such pair is a candidate.
     """
     held = prefix.groupBy("run", "component").agg(F.count("*").alias("nodes"))
     most = held.groupBy("run").agg(F.max(F.struct("nodes", "component"))["component"].alias("most"))

@@ -302,26 +302,33 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, rerank: float =
     asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & valid() & (F.size("embedding") == quantiser.dims)).distinct()
     few = max(1, -(-asked.count() * cells.probes // BLOCK))
     salt = F.pmod(F.xxhash64("vec_id"), F.lit(-(-few // len(cells.centroids))))
-    blocks = _packed(_probing(asked, cells).repartition(few, "cell", salt), BLOCK, None).select("cell", F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"), F.explode(F.sequence(F.lit(0), of_cell - 1)).alias("slot"))
-    met = chunks.select("cell", "slot", "ids", "vectors", "codes").join(blocks, ["cell", "slot"]).select("ids", "vectors", "codes", "query_ids", "query_vectors")
+    # A task packs many blocks if there are many, so tasks do not grow with the queries; sorted, a cell's rows come together.
+    dealt = _probing(asked, cells).repartition(min(few, 4 * parts), "cell", salt).sortWithinPartitions("cell", salt)
+    blocks = _packed(dealt, BLOCK, None).select("cell", F.col("pack").alias("block"), F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"), F.explode(F.sequence(F.lit(0), of_cell - 1)).alias("slot"))
+    # Blocks are as many times larger as there are slots than they are thought to be when a join is planned, so they must
+    # never be broadcast. A merge join holds one slot's chunks, SLOT_CHUNKS or so, and lets its blocks pass.
+    met = blocks.join(chunks.hint("merge"), ["cell", "slot"]).select("ids", "vectors", "codes", "query_ids", "query_vectors", "slot", "block")
     shared = spark.sparkContext.broadcast(quantiser)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = shared.value
+        coder, last, block = shared.value, None, None
         for batch in batches:
             for n in range(batch.num_rows):
-                ids, queries_ids = (np.frombuffer(batch.column(c)[n].as_py(), np.int64) for c in (0, 3))
-                x, q = (np.frombuffer(batch.column(c)[n].as_py(), np.float64).reshape(-1, coder.dims) for c in (1, 4))
+                ids = np.frombuffer(batch.column(0)[n].as_py(), np.int64)
+                x = np.frombuffer(batch.column(1)[n].as_py(), np.float64).reshape(-1, coder.dims)
                 codes = np.frombuffer(batch.column(2)[n].as_py(), np.uint8).reshape(len(ids), -1)
-                # Tells queries of one id apart, whichever block or attempt they come from.
-                names = np.array([xxhash.xxh64_intdigest((v + 0.0).tobytes()) for v in q], np.uint64).view(np.int64)
+                key = batch.column(5)[n].as_py(), batch.column(6)[n].as_py()
+                if key != last:
+                    if block is not None:
+                        yield block.rows()
+                    last, block = key, _Block(np.frombuffer(batch.column(3)[n].as_py(), np.int64), np.frombuffer(batch.column(4)[n].as_py(), np.float64).reshape(-1, coder.dims), k)
                 places = max(4 * k + 4, int(len(ids) * rerank))
                 rows = leading(ids, x, k)
                 ids, x = ids[rows], x[rows]
                 codes, code = np.unique(codes[rows], axis=0, return_inverse=True)
                 code = code.reshape(-1)
-                for start in range(0, len(q), 256):
-                    part, part_ids, part_names = q[start : start + 256], queries_ids[start : start + 256], names[start : start + 256]
+                for start in range(0, len(block.ids), 256):
+                    part, part_ids = block.vectors[start : start + 256], block.ids[start : start + 256]
                     score = scan(coder.tables(part), codes)
                     cut = -np.partition(-score, places - 1, axis=1)[:, places - 1 : places] if places < len(codes) else -np.inf
                     score = score[:, code]
@@ -332,10 +339,9 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, rerank: float =
                         best = np.argpartition(-score[own], most - 1, axis=1)[:, :most] if most < len(ids) else np.tile(np.arange(len(ids)), (len(part[own]), 1))
                         exact = cosines(part[own], x, best)
                         exact[ids[best] == part_ids[own, None]] = -np.inf
-                        order = np.lexsort((ids[best], -exact))[:, :k]
-                        found, top = np.take_along_axis(ids[best], order, 1), np.take_along_axis(exact, order, 1)
-                        real = top > -np.inf
-                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part_ids[own], real.sum(1))), pa.array(np.repeat(part_names[own], real.sum(1))), pa.array(found[real]), pa.array(top[real])], ["query_id", "query", "vec_id", "score"])
+                        block.meet(start + own.start, ids[best], exact)
+        if block is not None:
+            yield block.rows()
 
     found = map_batches(met, run, kinds)
     order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
@@ -343,6 +349,27 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, rerank: float =
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
+class _Block:
+    """Queries of a block and the k nearest of the rows that they have met in a slot."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.found, self.top = np.zeros((len(ids), k), np.int64), np.full((len(ids), k), -np.inf)
+
+    def meet(self, start: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Rows ``ids`` with their scores for the queries from ``start`` on; ties go to the smaller id."""
+        own = slice(start, start + len(ids))
+        ids, scores = np.hstack([self.found[own], ids]), np.hstack([self.top[own], scores])
+        order = np.lexsort((ids, -scores))[:, : self.k]
+        self.found[own], self.top[own] = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+
+    def rows(self) -> pa.RecordBatch:
+        # Tells queries of one id apart, whichever block or attempt they come from.
+        names = np.array([xxhash.xxh64_intdigest((v + 0.0).tobytes()) for v in self.vectors], np.uint64).view(np.int64)
+        real = self.top > -np.inf
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, real.sum(1))), pa.array(np.repeat(names, real.sum(1))), pa.array(self.found[real]), pa.array(self.top[real])], ["query_id", "query", "vec_id", "score"])
+
+
 def leading(ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
     """Rows that can be among the k nearest of any query: of equal vectors those with the smallest ids.
 

@@ -327,6 +327,16 @@ def test_fitting_holds_little_at_once(spark, monkeypatch):
     assert seen[0][1] == 16 and 20 <= seen[0][0] <= 50
 
 
+def test_blocks_of_queries_are_not_broadcast(spark):
+    """A copy of every block goes to every slot, and the driver must hold none of them, however small the queries look."""
+    draw = np.random.default_rng(31)
+    made = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(draw.normal(size=(600, 8)))], "vec_id long, embedding array<double>")
+    found = ann.nearest(made.where("vec_id % 50 = 0"), made, 5, parts=40)
+    assert len(found.collect()) == 60
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def page(n, body, extra=""):
     return f'<!DOCTYPE html><html><head><title>T {n}</title><style>p{{}}</style><script>var a="</p>";</script></head><body class="nav-open"><nav><a href="/">Home {n}</a></nav><header><h1>Site</h1></header><div class="cookie-notice">We use cookies</div><article><h2>Title {n}</h2>{body}<p>Subscribe   to our letter</p></article><div class="comments"><p>Nice {n}</p></div>{extra}<footer>&copy; {n}</footer></body></html>'
 

@@ -287,3 +287,17 @@ def test_streams(spark, tmp_path):
     assert spark.table("chunked").count() == 4 * len(rows)
     assert spark.table("once").count() == 30
     assert sorted(r.documents for r in spark.table("counted").collect()) == [10, 10, 11]
+
+
+def test_kept_tables_are_broadcast_by_what_they_hold(spark):
+    """Files of equal texts are small, and what the driver would hold of them is not."""
+    from siltstone.sources.shared import kept
+
+    def joined(n):
+        made = kept(spark.range(n).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 1000).alias("text")), "made")
+        few = made.where("doc_id % 2 = 0")
+        found = spark.range(2 * n).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("name")).join(few, "doc_id")
+        assert len(found.collect()) == n // 2
+        return found._jdf.queryExecution().executedPlan().toString()
+
+    assert "BroadcastExchange" not in joined(20_000)

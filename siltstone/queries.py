@@ -63,8 +63,21 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("chunk_id").cast("long").alias("chunk_id"), "text", text.content_len(F.col("text")).cast("long").alias("content_len"), code.alias("code"))
 
 
+#: Bytes of the documents' files for one part of what is keyed by document.
+PART_BYTES = 8 << 20
+
+
+def parts(spark: SparkSession, sf_dir: str) -> int:
+    """Parts that grow with the documents, however well their rows compress in a shuffle."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return max(spark.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.runs(lines(spark, sf_dir), ["doc_id", "code"])
+    rows = lines(spark, sf_dir).select("doc_id", "code", "chunk_id")
+    # Adaptive plans join small shuffles to a part a core, and all steps behind them keep that many.
+    return intervals.runs(rows.repartition(parts(spark, sf_dir), "doc_id"), ["doc_id", "code"])
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -301,3 +301,11 @@ def test_kept_tables_are_broadcast_by_what_they_hold(spark):
         return found._jdf.queryExecution().executedPlan().toString()
 
     assert "BroadcastExchange" not in joined(20_000)
+
+
+def test_parts_of_runs_grow_with_the_documents(spark, monkeypatch):
+    from siltstone import queries
+
+    assert queries.runs(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
+    monkeypatch.setattr(queries, "PART_BYTES", 10_000)
+    assert queries.runs(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 30

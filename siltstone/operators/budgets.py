@@ -46,6 +46,12 @@ def material(assignments: DataFrame, chunks: DataFrame) -> DataFrame:
     return shared.groupBy("doc_id", "unit", "item").agg(F.sum(F.col("content_len") / F.col("claims")).alias("material"))
 
 
+def unit_material(drawn: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``doc_id, unit, material`` of all items of a unit together: every chunk that it claims (``doc_id, unit, chunk_id``) counts once."""
+    met = drawn.join(chunks.select("doc_id", "chunk_id", "content_len"), ["doc_id", "chunk_id"])
+    return met.groupBy("doc_id", "unit").agg(F.sum("content_len").cast("double").alias("material"))
+
+
 def mirrored(rows: DataFrame, derived: DataFrame) -> DataFrame:
     """Rows of units that mirror a source: ``derived`` has ``doc_id, unit, source``. It is one row a unit and document."""
     source = derived.select("doc_id", F.col("unit").alias("mirror"), F.col("source").alias("unit"))

@@ -92,7 +92,7 @@ def split_hints(shared: DataFrame) -> DataFrame:
 def block_plans(shared: DataFrame, dests: DataFrame, material: DataFrame, resolved: DataFrame) -> DataFrame:
     """``doc_id, code, start, end, items, blocks``: dense runs that are worth cutting, and into how many blocks.
 
-    ``material (doc_id, unit, item, material)`` and ``resolved (doc_id, unit, chars)`` by code; a unit without budgets
+    ``material (doc_id, unit, material)``, a row an item or a unit, and ``resolved (doc_id, unit, chars)`` by code; a unit without budgets
     is cut by its material. Lazily drawn and guessed runs are left to a fresh count.
     """
     wanted = shared.where(F.col("short_n").isNull() & (F.col("n") >= EXCESS) & ~lazy(F.col("span"), F.col("n"))).select("doc_id", F.col("code").alias("unit"), F.col("n").cast("long").alias("items"))

@@ -153,6 +153,12 @@ def assignments(dests: DataFrame) -> DataFrame:
     return points.groupBy("doc_id", "code", "item", "parent_code", "parent", "chunk_id").agg(F.min("item_lo").alias("item_lo"), F.min("item_hi").alias("item_hi"))
 
 
+def drawn_chunks(dests: DataFrame) -> DataFrame:
+    """``doc_id, code, chunk_id``: chunks of each unit, whatever its items, each once."""
+    real = dests.where("error is null and code <> '-'")
+    return intervals.expand(real.select("doc_id", "code", "start", "end").distinct()).distinct()
+
+
 def _error(rows: DataFrame, rule: str, *parts) -> DataFrame:
     return rows.select("doc_id", F.lit(rule).alias("rule"), F.concat_ws(" ", *(F.col(p).cast("string") if isinstance(p, str) else p for p in parts)).alias("detail"))
 

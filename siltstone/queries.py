@@ -750,8 +750,8 @@ def block_plans(spark, sf_dir):
     said = F.concat(F.lit("0-"), (F.col("size") - 1).cast("string"), F.lit(" b.0-"), (F.col("size") - 2).cast("string"), F.lit("\nb: "), (F.col("size") - 1).cast("string"))
     found = route_map.lines_of(sizes(spark, sf_dir).where("size > 2").select("doc_id", said.alias("text"), size.alias("s")))
     dests, told = route_map.destinations(found, units), route_map.declarations(found, units)
-    points = route_map.assignments(dests).select("doc_id", F.col("code").alias("unit"), "item", "chunk_id")
-    material = budgets.material(points, lines(spark, sf_dir))
+    # A range of as many items as chunks has the square of them as assignments, and a plan needs the unit's material alone.
+    material = budgets.unit_material(route_map.drawn_chunks(dests).withColumnRenamed("code", "unit"), lines(spark, sf_dir))
     none = material.select("doc_id", "unit", F.lit(0).cast("long").alias("chars")).where("false")
     return hints.block_plans(hints.shared_runs(dests, told), dests, material, none).select("doc_id", "code", "start", "end", "items", "blocks")
 

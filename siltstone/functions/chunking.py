@@ -139,7 +139,8 @@ def cut_block(block: Column, max_chars: int = MAX_CHARS) -> Column:
     split = F.split(block, SENTENCE, -1)
     alone = lambda pieces: F.transform(pieces, lambda p: F.struct(p.alias("text"), F.lit(False).alias("alone")))
     # Only blocks with brackets can have pieces to join again, and only those with marks can have entries.
-    pieces = F.when(plain & ~block.rlike("[(（]"), alone(split)).when(plain, alone(healed(split))).otherwise(marked(healed(split)))
+    opened = block.rlike("[(（]")
+    pieces = F.when(plain & ~opened, alone(split)).when(plain, alone(healed(split))).when(~opened, marked(split)).otherwise(marked(healed(split)))
     return F.when(plain & (F.length(block) <= max_chars), F.array(block)).otherwise(packed(pieces, max_chars))
 
 
